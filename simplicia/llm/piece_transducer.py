@@ -14,6 +14,7 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from simplicia.llm.common import Cache, text_rows, workers
 from simplicia.llm.pieces import SPACE, Pieces, load
@@ -98,37 +99,49 @@ def machine(path: str) -> Transducer:
     return _machines[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids (packed little-endian unsigned 32-bit), n_tokens, decoded (text from the ids), round_trip.
+def with_pieces(docs: DataFrame, model_path: str) -> DataFrame:
+    """``docs`` with token_ids (packed little-endian unsigned 32-bit), n_tokens and round_trip behind its own columns.
 
     round_trip: decoding gives the normalised text (a literal mark reads as a space). Null text: empty, no ids.
-    Null doc_id: kept. Repeated rows: each on its own. Empty table: no rows. Other columns are ignored."""
+    Repeated rows: each on its own. Empty table: no rows. A column of ``docs`` that has one of the new names is
+    replaced; all others pass through."""
     workers(docs.sparkSession)
+    docs = docs.drop("token_ids", "n_tokens", "round_trip")
+    at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField("token_ids", BinaryType()), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
 
     def run(batches):
         m = machine(model_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
             packed = [m.encode_packed(t) for t in texts]
-            back = [m.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
+            right = [m.decode(np.frombuffer(p, dtype="<u4").tolist()) == t.replace(SPACE, " ") for p, t in zip(packed, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(packed, pa.binary()),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array(back, pa.string()),
-                    pa.array([b == t.replace(SPACE, " ") for b, t in zip(back, texts, strict=True)]),
-                ],
-                names=["doc_id", "ids", "n_tokens", "decoded", "round_trip"],
+                [*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(right, pa.bool_())],
+                names=[*batch.schema.names, "token_ids", "n_tokens", "round_trip"],
             )
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded string, round_trip boolean")
+    return docs.mapInArrow(run, schema)
+
+
+def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id and text from doc_id and token_ids as :func:`with_pieces` gives them. Null ids: null text."""
+    workers(encoded.sparkSession)
+
+    def run(batches):
+        m = machine(model_path)
+        for batch in batches:
+            back = [None if p is None else m.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
 
 
 def encoding_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, text_sha256 of the decoded text, round_trip: :func:`encode_pieces` without its long columns.
+    """doc_id, n_tokens, ids_sha256, text_sha256 of the decoded text, round_trip: :func:`with_pieces` without its long column.
 
-    Hashes are taken beside the encoder, so neither ids nor texts leave the worker. Edge cases as there."""
+    Hashes are taken beside the encoder, so neither ids nor texts leave the worker. Null doc_id: kept. Other edge cases
+    as there; other columns are ignored."""
     workers(docs.sparkSession)
 
     def run(batches):

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from simplicia.llm.common import ascii_lower, text_rows, without, write_table
 
-#: A word after A-Z is lower case (fixed pattern).
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word after A-Z is lower case (fixed pattern): all but 00-2F, 3A-60 and 7B-7F, written without a negated class,
+#: which Java matches twenty times slower.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: Windows looked up in one pass over the corpus: bounds what is broadcast (terms of at most so many windows).
 BLOCK_WINDOWS = 200_000
 #: Index lists that are intersected for each window.

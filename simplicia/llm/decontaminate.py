@@ -80,12 +80,11 @@ def _match_block(docs: DataFrame, phrases: DataFrame, size: int) -> DataFrame:
 
     at = F.col("position") - F.col("offset")
     same = F.slice("near", F.col("before") + 1 - F.col("offset"), F.size("window")) == F.col("window")
-    proposed = postings.join(F.broadcast(anchors), "term").where((F.col("before") >= F.col("offset")) & (at >= 1))
-    # the rarest list also compares the whole window, next to its own posting
-    proposed = proposed.select("doc_id", "row", "window_id", at.alias("start"), F.size("window").alias("length"), "lists", F.when(F.col("rank") == 1, same).alias("same"))
-    agreed = proposed.groupBy("doc_id", "row", "window_id", "start", "length", "lists").agg(F.count("*").alias("n"), F.min("same").alias("same"))
-    # repeated rows propose the same start again; without the rarest list ``same`` is null
-    return agreed.where("same and n >= lists").select("doc_id", "row", "window_id", "start", "length")
+    # a posting whose neighbours differ from the window proposes nothing, so few proposals move
+    proposed = postings.join(F.broadcast(anchors), "term").where((F.col("before") >= F.col("offset")) & (at >= 1)).where(same)
+    proposed = proposed.select("doc_id", "row", "window_id", at.alias("start"), F.size("window").alias("length"), "lists", "rank")
+    agreed = proposed.groupBy("doc_id", "row", "window_id", "start", "length", "lists").agg(F.countDistinct("rank").alias("n"))
+    return agreed.where("n = lists").select("doc_id", "row", "window_id", "start", "length")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:

@@ -95,7 +95,7 @@ class Encoder:
         if not word:
             return b""
         core = word.rstrip(".,!?;:#$%&*")
-        if not core.isalpha():
+        if not core.isalpha() or "İ" in core:  # that letter ends in a mark when lower case
             return self.parts[word]
         return self.parts[core.lower() if core.isascii() else core] + (self.parts[word[len(core) :]] if len(core) < len(word) else b"")
 

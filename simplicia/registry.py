@@ -2,18 +2,436 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simplicia.functions import distances as D
+from simplicia.functions import filters as L
+from simplicia.functions import scalars
+from simplicia.functions.scale import BiggestGap, Danifold, FirstGap, Fixed, Histogram
+from simplicia.operators import colour, inspect, knn, laplacian, lsh, mapper, pairs
+from simplicia.operators.cover import Filter, level_sets
+from simplicia.plans.pipeline import Params
+from simplicia.plans.pipeline import mapper as run_mapper
+from simplicia.plans.session import Session
+from simplicia.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.points(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.points(_read(spark, sf_dir, "customer"), "c_custkey", ["c_acctbal"], "c_mktsegment", "c_nationkey")
+
+
+def _r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+# --- lens functions ---------------------------------------------------------------------------------------------------
+
+
+def _lens(lens: L.Lens, digits: int = 6) -> Query:
+    return lambda spark, d: lens.frame(vectors(spark, d)).select(F.col("index").alias("vec_id"), _r("value", digits).alias("value"))
+
+
+_V = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) "
+
+
+def _lens_sql(expression: str, digits: int = 6) -> str:
+    return f"{_V}SELECT vec_id, round({expression}, {digits}) AS value FROM v"
+
+
+def _pair_sql(aggregate: str, distance: str) -> str:
+    return f"{_V}SELECT vec_id, round({aggregate}, 4) AS value FROM (SELECT a.vec_id, {distance} AS d FROM v a, v b WHERE a.vec_id <> b.vec_id), (SELECT count(*) AS n FROM v) GROUP BY vec_id, n"
+
+
+# --- distances --------------------------------------------------------------------------------------------------------
+
+
+def _distance(distance: D.Distance, threshold: float | None = None) -> Query:
+    """Sum and maximum of each point's distances to points of larger id, by blocks; Jaccard on features above a threshold."""
+
+    def run(spark, d):
+        p = vectors(spark, d)
+        if threshold is not None:
+            p = p.withColumn("features", F.transform("features", lambda x: F.when(x > threshold, 1.0).otherwise(0.0)))
+        return pairs.distances(p, distance).groupBy(F.col("src").alias("vec_id")).agg(_r(F.sum("distance"), 4).alias("total"), _r(F.max("distance"), 4).alias("largest"))
+
+    return run
+
+
+_ABS = "list_transform(list_zip(a.e, b.e), lambda z: abs(z[1] - z[2]))"
+_DOT = "list_dot_product({0}.e, {1}.e)"
+
+
+def _distance_sql(distance: str, vectors_sql: str = _V) -> str:
+    return f"{vectors_sql}SELECT vec_id, round(sum(d), 4) AS total, round(max(d), 4) AS largest FROM (SELECT a.vec_id, {distance} AS d FROM v a, v b WHERE a.vec_id < b.vec_id) GROUP BY vec_id"
+
+
+_SETS = "WITH v AS (SELECT vec_id, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0.1) AS e FROM embeddings) "
+
+# --- cover ------------------------------------------------------------------------------------------------------------
+
+
+def _lines(spark, d):
+    return readers.points(_read(spark, d, "lineitem"), F.col("l_orderkey") * 10 + F.col("l_linenumber"), ["l_quantity", "l_extendedprice"])
+
+
+def cover_1d(spark, d):
+    return level_sets(_lines(spark, d), (Filter(L.Feature(0), 10, 0.5),)).select("index", F.col("level_set")[0].alias("bin"))
+
+
+def cover_2d_counts(spark, d):
+    cells = level_sets(_lines(spark, d), (Filter(L.Feature(0), 5, 0.25), Filter(L.Feature(1), 8, 0.5)))
+    return cells.groupBy(F.col("level_set")[0].alias("bin0"), F.col("level_set")[1].alias("bin1")).agg(F.count("*").alias("n"))
+
+
+def cover_bin_counts(spark, d):
+    return level_sets(customers(spark, d), (Filter(L.Feature(0), 20, 0.6),)).groupBy(F.col("level_set")[0].alias("bin")).agg(F.count("*").alias("n"))
+
+
+def cover_balanced(spark, d):
+    return level_sets(customers(spark, d), (Filter(L.Feature(0), 10, 0.25, balanced=True),)).groupBy(F.col("level_set")[0].alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _cover_sql(value: str, bins: int, overlap: float, extra: int, suffix: str = "") -> str:
+    step = f"((high{suffix} - low{suffix}) / ({bins} - ({bins} - 1) * {overlap}::DOUBLE) * (1 - {overlap}::DOUBLE))"
+    top = f"CAST(floor(round(({value} - low{suffix}) / {step}, 9)) AS INT)"
+    return f"CAST(unnest(generate_series({top} - {extra}, {top})) AS INT)"
+
+
+# --- the pipeline on one feature ----------------------------------------------------------------------------------------
+
+_PARAMS_1D = Params((Filter(L.Feature(0), 10, 0.5),), scale=Histogram(10))
+
+
+def graph_1d(spark, d, collapse: bool = True, colouring: colour.Colouring = colour.nop):
+    return run_mapper(customers(spark, d), _PARAMS_1D.with_collapse(collapse) if colouring is colour.nop else Params(_PARAMS_1D.filters, scale=_PARAMS_1D.scale, collapse=collapse, colouring=colouring))
+
+
+def _nodes(clusters: DataFrame) -> DataFrame:
+    return clusters.select("cluster_id", F.col("level_set")[0].alias("bin"), F.col("size").cast("long").alias("size"), F.array_min("members").alias("least"), F.array_max("members").alias("greatest"))
+
+
+_MAPPER = f"""
+WITH ranged AS (SELECT c_custkey AS i, c_acctbal AS x, c_mktsegment, min(c_acctbal) OVER () AS low, max(c_acctbal) OVER () AS high FROM customer),
+cells AS (SELECT i, x, {_cover_sql("x", 10, 0.5, 1)} AS bin FROM ranged),
+gaps AS (SELECT i, x, bin, x - lag(x) OVER (PARTITION BY bin ORDER BY x, i) AS gap FROM cells),
+heights AS (
+  SELECT bin, gap AS h FROM gaps WHERE gap IS NOT NULL
+  UNION ALL SELECT bin, max(x) - min(x) FROM cells GROUP BY bin HAVING count(*) > 1
+),
+ends AS (SELECT bin, min(h) AS lo, max(h) AS hi, (max(h) - min(h)) / 10 AS w FROM heights GROUP BY bin),
+slots AS (SELECT DISTINCT bin, CAST(floor((h - lo) / w) AS INT) AS slot FROM heights JOIN ends USING (bin) WHERE w > 0),
+free AS (SELECT bin, min(k) AS k FROM (SELECT bin, unnest(range(10)) AS k FROM ends) c WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.bin = c.bin AND s.slot = c.k) GROUP BY bin),
+cutoffs AS (SELECT bin, hi, CASE WHEN w = 0 OR k IS NULL THEN hi ELSE lo + k * w END AS cutoff FROM ends LEFT JOIN free USING (bin)),
+labelled AS (
+  SELECT i, bin, sum(CASE WHEN gap >= cutoff THEN 1 ELSE 0 END) OVER (PARTITION BY bin ORDER BY x, i) AS label
+  FROM gaps LEFT JOIN cutoffs USING (bin)
+),
+every AS (SELECT bin, label, list(i ORDER BY i) AS members FROM labelled GROUP BY bin, label),
+clusters AS (
+  SELECT md5(bin || ':' || array_to_string(members, ',')) AS cluster_id, bin, members, len(members) AS size
+  FROM (SELECT members, min(bin) AS bin FROM every GROUP BY members)
+),
+loose AS (SELECT md5(bin || ':' || array_to_string(members, ',')) AS cluster_id, bin, members, len(members) AS size FROM every),
+member AS (SELECT cluster_id, size, unnest(members) AS i FROM clusters),
+edges AS (
+  SELECT a.cluster_id AS src, b.cluster_id AS dst, count(*) AS shared FROM member a JOIN member b USING (i)
+  WHERE a.size > b.size OR (a.size = b.size AND a.cluster_id < b.cluster_id) GROUP BY ALL
+)
+"""
+_RECURSIVE = _MAPPER.replace("WITH ranged", "WITH RECURSIVE ranged", 1)
+
+
+def _bin_sql(share: str, bins: int) -> str:
+    return f"CAST(least(floor(coalesce({share}, 0) * {bins}), {bins - 1}) AS INT)"
+
+
+def _coloured(colouring: colour.Colouring) -> Query:
+    return lambda spark, d: graph_1d(spark, d, colouring=colouring).colours.select("cluster_id", F.coalesce(F.col("bin").cast("int"), F.lit(-1)).alias("bin"))
+
+
+def components_1d(spark, d):
+    g = graph_1d(spark, d)
+    return inspect.components(g.clusters, g.edges)
+
+
+def graph_export(spark, d):
+    g = graph_1d(spark, d)
+    degree = g.edges.select(F.explode(F.array("src", "dst")).alias("cluster_id")).groupBy("cluster_id").agg(F.count("*").alias("degree"))
+    return g.clusters.join(degree, "cluster_id", "left").select("cluster_id", F.col("size").cast("long").alias("size"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+
+
+def mapper_nd(spark, d):
+    """Embeddings under two lenses, Euclidean single linkage."""
+    g = run_mapper(vectors(spark, d), Params((Filter(L.Feature(0), 10, 0.5), Filter(L.FeatureMean(), 5, 0.25)), D.EUCLIDEAN, scale=FirstGap(10)))
+    return g.clusters.select("cluster_id", F.array_join(F.col("level_set").cast("array<string>"), ",").alias("level_set"), F.col("size").cast("long").alias("size"))
+
+
+def mapper_fixed_1d(spark, d):
+    g = run_mapper(customers(spark, d), Params((Filter(L.Feature(0), 10, 0.5),), scale=Fixed(20.0)))
+    return _nodes(g.clusters)
+
+
+def mapper_linkages(spark, d):
+    """Sizes of the graph under every linkage."""
+    from simplicia.functions.linkage import METHODS
+
+    cells = level_sets(vectors(spark, d), (Filter(L.Feature(0), 20, 0.25),)).persist()
+    out = None
+    for method in METHODS:
+        one = mapper.form_clusters(mapper.local_clusters(cells, D.EUCLIDEAN, method, Histogram(10))).agg(F.count("*").alias("clusters"), F.sum("size").alias("memberships")).select(F.lit(method).alias("method"), "clusters", "memberships")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- heights and scale selection ----------------------------------------------------------------------------------------
+
+
+def _cut_by_segment(selector) -> Query:
+    """The height at which the balances of every market segment and nation would be cut."""
+
+    def run(spark, d):
+        cells = customers(spark, d).withColumn("level_set", F.array(F.col("c_nationkey").cast("int")))
+        trees = mapper.dendrograms(cells)
+
+        def select(batches):
+            import numpy as np
+            import pandas as pd
+
+            for pdf in batches:
+                cuts = [selector(np.append(h, x) if len(h) else np.asarray(h)) for h, x in zip(pdf["heights"], pdf["diameter"], strict=True)]
+                yield pd.DataFrame({"nation": [int(c[0]) for c in pdf["level_set"]], "cutoff": np.asarray(cuts, float)})
+
+        return trees.mapInPandas(select, "nation int, cutoff double").select("nation", _r("cutoff", 4).alias("cutoff"))
+
+    return run
+
+
+_HEIGHTS = """
+WITH gaps AS (SELECT c_nationkey AS nation, c_acctbal - lag(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS h FROM customer),
+heights AS (
+  SELECT nation, h FROM gaps WHERE h IS NOT NULL
+  UNION ALL SELECT c_nationkey, max(c_acctbal) - min(c_acctbal) FROM customer GROUP BY c_nationkey HAVING count(*) > 1
+),
+ends AS (SELECT nation, min(h) AS lo, max(h) AS hi FROM heights GROUP BY nation),
+ordered AS (SELECT nation, h, lead(h) OVER (PARTITION BY nation ORDER BY h) AS next, row_number() OVER (PARTITION BY nation ORDER BY h) AS k FROM heights)
+"""
+
+
+def _free_slot_sql(base: str, width: str, edge: int) -> str:
+    return (
+        f"{_HEIGHTS}, slots AS (SELECT DISTINCT nation, CAST(floor((h - {base}) / {width}) AS INT) AS slot FROM heights JOIN ends USING (nation) WHERE {width} > 0), "
+        "free AS (SELECT nation, min(k) AS k FROM (SELECT nation, unnest(range(10)) AS k FROM ends) c WHERE NOT EXISTS (SELECT 1 FROM slots s WHERE s.nation = c.nation AND s.slot = c.k) GROUP BY nation) "
+        f"SELECT nation, round(CASE WHEN k IS NULL OR {width} = 0 THEN hi ELSE {base} + (k + {edge}) * {width} END, 4) AS cutoff FROM ends LEFT JOIN free USING (nation)"
+    )
+
+
+def heights_1d(spark, d):
+    cells = customers(spark, d).withColumn("level_set", F.array(F.col("c_nationkey").cast("int")))
+    h = mapper.dendrograms(cells).select(F.col("level_set")[0].alias("nation"), F.explode("heights").alias("h"))
+    return h.groupBy("nation").agg(F.count("*").alias("n"), _r(F.sum("h"), 4).alias("total"), _r(F.max("h"), 4).alias("largest"))
+
+
+# --- neighbour graphs ---------------------------------------------------------------------------------------------------
+
+_K = 5
+
+
+def _graph(spark, d):
+    return knn.exact_knn(vectors(spark, d), _K, D.EUCLIDEAN)
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", _r("distance").alias("distance"))
+
+
+_KNN = _V + f"""
+, every AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.e, b.e) AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id),
+knn AS (SELECT src, dst, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst DESC) AS place FROM every) WHERE place <= {_K})
+"""
+_BOTH = _KNN + ", both_ends AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n, min(distance) AS d FROM knn GROUP BY ALL) "
+
+
+def _symmetric(**how) -> Query:
+    return lambda spark, d: _edges(knn.symmetricize(_graph(spark, d), **how))
+
+
+def _symmetric_sql(weight: str, where: str = "true") -> str:
+    return f"{_BOTH}SELECT a AS src, b AS dst, round({weight}, 6) AS distance FROM both_ends WHERE {where} UNION ALL SELECT b, a, round({weight}, 6) FROM both_ends WHERE {where}"
+
+
+def _affinity(spark, d):
+    return laplacian.affinities(knn.symmetricize(_graph(spark, d)), 1.0)
+
+
+_AFFINITY = _BOTH + """
+, affinity AS (SELECT a AS i, b AS j, exp(-d * d / 2) AS value FROM both_ends UNION ALL SELECT b, a, exp(-d * d / 2) FROM both_ends),
+degree AS (SELECT i, sum(value) AS degree FROM affinity GROUP BY i)
+"""
+
+
+def knn_accuracy(spark, d):
+    p = vectors(spark, d)
+    return knn.relative_accuracy(knn.sampled_knn(p, _K, D.MANHATTAN, amount=100), knn.exact_knn(p, _K, D.EUCLIDEAN)).select(_r("accuracy").alias("accuracy"))
+
+
+def fast_knn(spark, d):
+    return _edges(knn.fast_knn(vectors(spark, d), 10, D.EUCLIDEAN, tables=15, block=100, params=lsh.Params(10, 1.0, D.EUCLIDEAN, seed=7)))
+
+
+def fast_knn_accuracy(spark, d):
+    p = vectors(spark, d)
+    found = knn.fast_knn(p, 10, D.EUCLIDEAN, tables=15, block=100, params=lsh.Params(10, 1.0, D.EUCLIDEAN, seed=7))
+    return knn.relative_accuracy(found, knn.exact_knn(p, 10, D.EUCLIDEAN))
+
+
+def laplacian_embedding(spark, d):
+    rows = laplacian.embedding(_affinity(spark, d), 5)
+    return rows.select("index", *(F.round(F.col("values")[j], 4).alias(f"v{j}") for j in range(5)))
+
+
+def tanimoto_embedding(spark, d):
+    rows = laplacian.tanimoto_embedding(vectors(spark, d), 3)
+    return rows.select("index", *(F.round(F.col("values")[j], 4).alias(f"v{j}") for j in range(3)))
+
+
+def pca_lens(spark, d):
+    return L.PrincipalComponent(0).frame(vectors(spark, d)).select("index", F.round("value", 4).alias("value"))
+
+
+def _sketched(kind: str) -> Query:
+    def run(spark, d):
+        s = lsh.sketch(vectors(spark, d), lsh.Params(2, 1.0, D.EUCLIDEAN, seed=3), kind)
+        return s.select("prototype", F.size("members").cast("long").alias("size"), _r(F.col("features")[0], 4).alias("x0"))
+
+    return run
+
+
+def session_steps(spark, d):
+    """A session's answers to four parameter sets, of which two differ only in what comes after clustering."""
+    s = Session(customers(spark, d))
+    sets = [_PARAMS_1D, _PARAMS_1D.with_collapse(False), _PARAMS_1D.with_collapse(False), _PARAMS_1D.with_resolution(20), _PARAMS_1D.with_bins(0, 5)]
+    out = None
+    for step, g in enumerate(s.run(sets)):
+        one = g.clusters.agg(F.count("*").alias("clusters"), F.sum("size").cast("long").alias("memberships")).select(F.lit(step).alias("step"), "clusters", "memberships")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- small relational forms ---------------------------------------------------------------------------------------------
+
+
+def event_runs(spark, d):
+    """Runs of equal event types of each user, in time."""
+    runs = scalars.group_repeats(_read(spark, d, "events").withColumn("at", F.struct("ts", "event_id")), "event_type", "at", ("user_id",))
+    return runs.groupBy("user_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n")).select("user_id", F.col("run").cast("long").alias("run"), "event_type", "n")
+
+
+def category_frequencies(spark, d):
+    return inspect.category_frequencies(customers(spark, d), graph_1d(spark, d).clusters, "c_mktsegment")
+
+
+_MACHINERY = "c_mktsegment = 'MACHINERY'"
+
+
+def _registered() -> dict[str, tuple[Query, str | None]]:
+    euclid, manhattan = "list_distance(a.e, b.e)", f"list_sum({_ABS})"
+    dots = f"({_DOT.format('a', 'b')})", f"({_DOT.format('a', 'a')})", f"({_DOT.format('b', 'b')})"
+    shared = "len(list_intersect(a.e, b.e))"
+    node_columns = "cluster_id, bin, CAST(size AS BIGINT) AS size, list_min(members) AS least, list_max(members) AS greatest"
+    return {
+        "filter_feature": (_lens(L.Feature(0)), _lens_sql("e[1]")),
+        "filter_meta": (_lens(L.Meta("label")), _lens_sql("CAST(label AS DOUBLE)")),
+        "filter_min": (_lens(L.FeatureMin()), _lens_sql("list_min(e)")),
+        "filter_max": (_lens(L.FeatureMax()), _lens_sql("list_max(e)")),
+        "filter_mean": (_lens(L.FeatureMean()), _lens_sql("list_avg(e)")),
+        "filter_variance": (_lens(L.FeatureVariance()), _lens_sql("list_var_samp(e)")),
+        "filter_stdev": (_lens(L.FeatureStDev()), _lens_sql("list_stddev_samp(e)")),
+        "filter_ecc_inf": (_lens(L.Eccentricity(math.inf, D.EUCLIDEAN), 4), _pair_sql("max(d)", euclid)),
+        "filter_ecc_1": (_lens(L.Eccentricity(1), 4), _pair_sql("sum(d) / n", manhattan)),
+        "filter_ecc_2": (_lens(L.Eccentricity(2, D.EUCLIDEAN), 4), _pair_sql("sqrt(sum(d * d)) / n", euclid)),
+        "filter_density": (_lens(L.Density(1.0, D.EUCLIDEAN), 4), _pair_sql("sum(exp(-d * d / 2))", euclid)),
+        "dist_euclidean": (_distance(D.EUCLIDEAN), _distance_sql(euclid)),
+        "dist_manhattan": (_distance(D.MANHATTAN), _distance_sql(manhattan)),
+        "dist_chebyshev": (_distance(D.CHEBYSHEV), _distance_sql(f"list_max({_ABS})")),
+        "dist_cosine": (_distance(D.COSINE), _distance_sql(f"1 - {dots[0]} / (sqrt({dots[1]}) * sqrt({dots[2]}))")),
+        "dist_minkowski": (_distance(D.minkowski(3)), _distance_sql("pow(list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(abs(z[1] - z[2]), 3))), 1.0 / 3)")),
+        "dist_lp": (_distance(D.lp_norm(0.5)), _distance_sql("pow(list_sum(list_transform(list_zip(a.e, b.e), lambda z: sqrt(abs(z[1] - z[2])))), 2)")),
+        "dist_tanimoto": (_distance(D.TANIMOTO), _distance_sql(f"1 - {dots[0]} / ({dots[1]} + {dots[2]} - {dots[0]})")),
+        "dist_jaccard": (_distance(D.JACCARD, 0.1), _distance_sql(f"1 - CASE WHEN len(a.e) + len(b.e) = 0 THEN 1 ELSE {shared} / (len(a.e) + len(b.e) - {shared}) END", _SETS)),
+        "cover_1d": (cover_1d, f"SELECT l_orderkey * 10 + l_linenumber AS index, {_cover_sql('l_quantity', 10, 0.5, 1)} AS bin FROM lineitem, (SELECT min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem)"),
+        "cover_2d_counts": (cover_2d_counts, f"SELECT bin0, bin1, count(*) AS n FROM (SELECT bin0, {_cover_sql('x1', 8, 0.5, 1, '1')} AS bin1 FROM (SELECT l_extendedprice AS x1, low1, high1, {_cover_sql('l_quantity', 5, 0.25, 1, '0')} AS bin0 FROM lineitem, (SELECT min(l_quantity) AS low0, max(l_quantity) AS high0, min(l_extendedprice) AS low1, max(l_extendedprice) AS high1 FROM lineitem))) GROUP BY ALL"),
+        "cover_bin_counts": (cover_bin_counts, f"SELECT bin, count(*) AS n FROM (SELECT {_cover_sql('c_acctbal', 20, 0.6, 2)} AS bin FROM customer, (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer)) GROUP BY bin"),
+        "cover_balanced": (cover_balanced, None),
+        "heights_1d": (heights_1d, f"{_HEIGHTS}SELECT nation, count(*) AS n, round(sum(h), 4) AS total, round(max(h), 4) AS largest FROM gaps WHERE h IS NOT NULL GROUP BY nation"),
+        "scale_histogram": (_cut_by_segment(Histogram(10)), _free_slot_sql("lo", "((hi - lo) / 10)", 0)),
+        "scale_danifold": (_cut_by_segment(Danifold(10)), _free_slot_sql("0", "(hi / 10)", 1)),
+        "scale_first_gap": (_cut_by_segment(FirstGap(10)), f"{_HEIGHTS}SELECT nation, round(coalesce(min_by((h + next) / 2, k) FILTER (next - h > 0.1 * hi), max(hi)), 4) AS cutoff FROM ordered JOIN ends USING (nation) GROUP BY nation"),
+        "scale_biggest_gap": (_cut_by_segment(BiggestGap()), f"{_HEIGHTS}SELECT nation, round(coalesce(max_by((h + next) / 2, next - h) FILTER (next IS NOT NULL), max(h)), 4) AS cutoff FROM ordered GROUP BY nation"),
+        "mapper_nodes_1d": (lambda s, d: _nodes(graph_1d(s, d, collapse=False).clusters), f"{_MAPPER}SELECT {node_columns} FROM loose"),
+        "mapper_collapsed_1d": (lambda s, d: _nodes(graph_1d(s, d).clusters), f"{_MAPPER}SELECT {node_columns} FROM clusters"),
+        "mapper_edges_1d": (lambda s, d: graph_1d(s, d).edges, f"{_MAPPER}SELECT src, dst, shared FROM edges"),
+        "mapper_fixed_1d": (mapper_fixed_1d, _MAPPER.replace("CASE WHEN w = 0 OR k IS NULL THEN hi ELSE lo + k * w END AS cutoff", "20.0 AS cutoff").replace("gap >= cutoff", "gap >= cutoff AND hi_gap >= cutoff").replace("FROM gaps LEFT JOIN cutoffs USING (bin)", "FROM (SELECT *, max(gap) OVER (PARTITION BY bin) AS hi_gap FROM gaps) LEFT JOIN cutoffs USING (bin)") + f"SELECT {node_columns} FROM clusters"),
+        "mapper_nd": (mapper_nd, None),
+        "mapper_linkages": (mapper_linkages, None),
+        "colour_nop": (_coloured(colour.nop), f"{_MAPPER}SELECT cluster_id, -1 AS bin FROM clusters"),
+        "colour_constant": (_coloured(colour.constantly(2)), f"{_MAPPER}SELECT cluster_id, 2 AS bin FROM clusters"),
+        "colour_size": (_coloured(colour.cluster_size(9)), f"{_MAPPER}SELECT cluster_id, {_bin_sql('(size - low) / nullif(high - low, 0)', 9)} AS bin FROM clusters, (SELECT min(size) AS low, max(size) AS high FROM clusters)"),
+        "colour_percentage": (_coloured(colour.cluster_percentage(7, _MACHINERY)), f"{_MAPPER}SELECT cluster_id, {_bin_sql('avg(CASE WHEN c_mktsegment = $$MACHINERY$$ THEN 1.0::DOUBLE ELSE 0 END)', 7)} AS bin FROM member JOIN ranged USING (i) GROUP BY cluster_id"),
+        "colour_occurrence": (_coloured(colour.local_occurrence(_MACHINERY)), f"{_MAPPER}SELECT cluster_id, CASE WHEN bool_or(c_mktsegment = 'MACHINERY') THEN 0 ELSE -1 END AS bin FROM member JOIN ranged USING (i) GROUP BY cluster_id"),
+        "colour_max_frequency": (_coloured(colour.cluster_max_frequency(9, "c_mktsegment")), f"{_MAPPER}, counted AS (SELECT cluster_id, c_mktsegment, count(*) AS n FROM member JOIN ranged USING (i) GROUP BY ALL), numbered AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS bin FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT cluster_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, c_mktsegment) AS place FROM counted) JOIN numbered USING (c_mktsegment) WHERE place = 1"),
+        "colour_average": (_coloured(colour.average_filter_value(9, L.Feature(0))), f"{_MAPPER}, means AS (SELECT cluster_id, avg(x - low) AS mean FROM member JOIN ranged USING (i) GROUP BY cluster_id) SELECT cluster_id, {_bin_sql('mean / nullif((SELECT max(mean) FROM means), 0)', 9)} AS bin FROM means"),
+        "points_to_clusters": (lambda s, d: inspect.points_to_clusters(graph_1d(s, d).clusters).select("index", F.array_join("cluster_ids", ",").alias("cluster_ids")), f"{_MAPPER}SELECT i AS index, string_agg(cluster_id, ',' ORDER BY cluster_id) AS cluster_ids FROM member GROUP BY i"),
+        "level_sets_to_clusters": (lambda s, d: inspect.level_sets_to_clusters(graph_1d(s, d).clusters).select(F.col("level_set")[0].alias("bin"), "least", "greatest", "clusters", F.array_join("cluster_ids", ",").alias("cluster_ids")), f"{_MAPPER}SELECT bin, min(list_min(members)) AS least, max(list_max(members)) AS greatest, count(*) AS clusters, string_agg(cluster_id, ',' ORDER BY cluster_id) AS cluster_ids FROM clusters GROUP BY bin"),
+        "category_frequencies": (category_frequencies, f"{_MAPPER}SELECT cluster_id, c_mktsegment, count(*) AS n FROM member JOIN ranged USING (i) GROUP BY ALL"),
+        "components": (components_1d, f"{_RECURSIVE}, both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), reach AS (SELECT cluster_id, cluster_id AS seen FROM clusters UNION SELECT r.cluster_id, b.dst FROM reach r JOIN both_ways b ON r.seen = b.src) SELECT cluster_id, min(seen) AS component FROM reach GROUP BY cluster_id"),
+        "graph_export": (graph_export, f"{_MAPPER}SELECT cluster_id, CAST(size AS BIGINT) AS size, (SELECT count(*) FROM edges WHERE src = cluster_id OR dst = cluster_id) AS degree FROM clusters"),
+        "knn_exact": (lambda s, d: _edges(_graph(s, d)), f"{_KNN}SELECT src, dst, round(distance, 6) AS distance FROM knn"),
+        "knn_sampled": (lambda s, d: _edges(knn.sampled_knn(vectors(s, d), _K, D.EUCLIDEAN, amount=50)), f"{_KNN}SELECT src, dst, round(distance, 6) AS distance FROM knn WHERE src IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 50)"),
+        "knn_symmetric_or_weighted": (_symmetric(), _symmetric_sql("d")),
+        "knn_symmetric_or_unweighted": (_symmetric(weighted=False), _symmetric_sql("1.0::DOUBLE")),
+        "knn_symmetric_or_halved": (_symmetric(halve=True), _symmetric_sql("CASE WHEN n = 1 THEN d / 2 ELSE d END")),
+        "knn_symmetric_and_weighted": (_symmetric(mutual=True), _symmetric_sql("d", "n > 1")),
+        "knn_symmetric_and_unweighted": (_symmetric(weighted=False, mutual=True), _symmetric_sql("1.0::DOUBLE", "n > 1")),
+        "knn_accuracy": (knn_accuracy, f"{_KNN}, l1 AS (SELECT a.vec_id AS src, b.vec_id AS dst, {manhattan} AS d FROM v a, v b WHERE a.vec_id <> b.vec_id AND a.vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 100)), near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst DESC) AS place FROM l1) WHERE place <= {_K}) SELECT round(avg(share), 6) AS accuracy FROM (SELECT k.src, count(n.dst) / count(*) AS share FROM knn k LEFT JOIN near n ON k.src = n.src AND k.dst = n.dst GROUP BY k.src)"),
+        "fast_knn": (fast_knn, None),
+        "fast_knn_accuracy": (fast_knn_accuracy, None),
+        "affinity": (lambda s, d: _affinity(s, d).select("i", "j", _r("value").alias("value")), f"{_AFFINITY}SELECT i, j, round(value, 6) AS value FROM affinity"),
+        "degrees": (lambda s, d: laplacian.degrees(_affinity(s, d)).select("i", _r("degree").alias("degree")), f"{_AFFINITY}SELECT i, round(degree, 6) AS degree FROM degree"),
+        "laplacian_matrix": (lambda s, d: laplacian.normalised(_affinity(s, d)).select("i", "j", _r("value").alias("value")), f"{_AFFINITY}SELECT a.i, a.j, round(value / sqrt(x.degree * y.degree), 6) AS value FROM affinity a JOIN degree x ON a.i = x.i JOIN degree y ON a.j = y.i"),
+        "laplacian_embedding": (laplacian_embedding, None),
+        "tanimoto_embedding": (tanimoto_embedding, None),
+        "pca_lens": (pca_lens, None),
+        "sketch_mean": (_sketched("mean"), None),
+        "sketch_random": (_sketched("random"), None),
+        "sketch_median": (_sketched("median"), None),
+        "session_steps": (session_steps, None),
+        "event_runs": (event_runs, "WITH m AS (SELECT user_id, event_id, ts, event_type, CASE WHEN lag(event_id) OVER w IS NULL OR lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT user_id, event_type, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM m) SELECT user_id, run, event_type, count(*) AS n FROM r GROUP BY ALL"),
+    }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Nodes of the graph of the embeddings under one lens."""
+    g = run_mapper(vectors(spark, sf_dir), Params((Filter(L.Feature(0), 10, 0.5),), D.EUCLIDEAN, scale=FirstGap(10)))
+    return g.clusters.select("cluster_id", F.col("level_set")[0].alias("bin"), F.col("size").cast("long").alias("size"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _registered().items() if sql}

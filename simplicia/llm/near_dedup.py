@@ -40,7 +40,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_word_hash = Cache(xxhash.xxh3_64_intdigest)
+_word_hash = Cache(xxhash.xxh3_64_intdigest, limit=100_000)
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:

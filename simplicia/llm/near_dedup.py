@@ -155,7 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first: a hub's row then meets its many neighbours in a join that Spark can split
+        least = write_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = write_table(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -181,7 +182,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     if not usable.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).where("several").isEmpty():
         return _with_split_ids(docs, size, percent)
     # a class is a shingle set; its smallest doc_id represents it
-    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written first: a join of two plain exchanges is one that Spark splits where a class holds very many rows
+    classes = write_table(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "class-heads")
     member = write_table(usable.join(classes, "digest").select("doc_id", "rep"), "classes")
     reps = write_table(usable.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
 

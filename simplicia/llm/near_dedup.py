@@ -1,9 +1,9 @@
 """Near-duplicate detection: universal-hash minima, banding, signature and exact verification, large-star/small-star.
 
 Texts with equal shingle sets form a class, and one representative stands for it from there on. In a band bucket every
-member is compared with the bucket's smallest id (a star, never all pairs); after components are joined, only members
-outside a bucket's main component are compared with members of other components. Two members of one component need no
-comparison, so components are those of all links that share a bucket.
+member is compared with the bucket's smallest id (a star, never all pairs), and once components are joined, members
+outside a bucket's main component with one more member of it. Those still outside are compared with all other members,
+in blocks. Two members of one component need no comparison, so components are those of all links that share a bucket.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
 #: Pairs whose signatures agree in fewer than this share are dropped: five standard deviations below 0.8.
 AGREE = 0.67
+#: Sets of one side that a task compares, about.
+BLOCK = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,6 +172,60 @@ def components(edges: DataFrame) -> DataFrame:
         mark = found
 
 
+def _mixed(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, doc_id, component, in_main for buckets whose members are of several components; main is a bucket's largest."""
+    placed = crowded.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = write_table(placed, "placed")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
+    mixed = placed.join(write_table(main, "main"), "key")
+    return write_table(mixed.select("key", "doc_id", "component", "main", (F.col("component") == F.col("main")).alias("in_main")), "mixed")
+
+
+def _outsider_links(mixed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of outsiders with members of other components, by exact sets, for every pair that shares a bucket.
+
+    For each main component its outsiders meet all members of the buckets concerned, in blocks: a task holds two blocks
+    of at most about BLOCK sets, compares them in place and emits one link for each component that a document reaches.
+    No pair becomes a row, and a large group is many tasks."""
+    placed = mixed.groupBy("main", "doc_id").agg(F.first("component").alias("component"), F.first("in_main").alias("in_main"))
+    placed = write_table(placed, "outsiders")
+    counts = placed.groupBy("main").agg(F.count("*").alias("n"), F.count(F.when(~F.col("in_main"), 1)).alias("outside"))
+    counts = write_table(counts.select("main", F.ceil(F.col("n") / BLOCK).cast("int").alias("right_blocks"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("left_blocks")), "blocks")
+    wanted = placed.select("doc_id").distinct()
+    sets = write_table(_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), size).where("octet_length(shingles) > 0").dropDuplicates(["doc_id"]), "outsider-sets")
+    dealt = placed.join(counts, "main")
+    number = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    left = dealt.where("not in_main").select("main", "doc_id", "component", F.lit(0).alias("side"), number(F.col("left_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"))
+    right = dealt.select("main", "doc_id", "component", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), number(F.col("right_blocks")).alias("j"))
+    met = left.unionByName(right.select(*left.columns)).join(sets, "doc_id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        own = [np.frombuffer(b, np.uint64) for b in y["shingles"]]
+        out: list[tuple[int, int]] = []
+        if len(x) and own:
+            sizes = np.array([len(s) for s in own])
+            hashes, owners = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owners = hashes[order], owners[order]
+            ids, parts = y["doc_id"].to_numpy(), y["component"].to_numpy()
+            for doc_id, part, raw in zip(x["doc_id"], x["component"], x["shingles"], strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                low, high = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owners[at], minlength=len(own))
+                linked = (100 * common >= percent * (len(s) + sizes - common)) & (parts != part)
+                reached: dict[int, int] = {}
+                for k in np.flatnonzero(linked):
+                    reached[parts[k]] = min(ids[k], reached.get(parts[k], ids[k]))
+                out += [(min(doc_id, k), max(doc_id, k)) for k in reached.values()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return met.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row, where documents with 100 * intersection >= percent * union link.
 
@@ -194,18 +251,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = _verified(stars, reps, rows, size, percent)
     groups = components(links)
 
-    # members outside the bucket's main component against members of other components
-    placed = crowded.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = write_table(placed, "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.component").alias("main"))
-    mixed = write_table(placed.join(main, "key"), "mixed")
-    outside = mixed.where("component <> main").select("key", F.col("doc_id").alias("x"), F.col("component").alias("x_component"))
-    others = mixed.select("key", F.col("doc_id").alias("y"), F.col("component").alias("y_component"), (F.col("component") == F.col("main")).alias("in_main"))
-    # a pair of two outsiders is met once; one with a main member is met from the outsider
-    cross = outside.join(others, "key").where((F.col("x_component") != F.col("y_component")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
-    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(pairs, reps, rows, size, percent)
+    # outsiders against one member of the main component and one other outsider of each bucket: stars again
+    mixed = _mixed(crowded, groups)
+    outside = mixed.where("not in_main").select("key", "doc_id", "component")
+    pivots = mixed.groupBy("key", "in_main").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id", "component")).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("pivot_component"))
+    again = outside.join(write_table(pivots, "pivots"), "key").where("component <> pivot_component")
+    again = again.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    again = write_table(again, "second-stars")
+    more = _verified(again, reps, rows, size, percent)
+    if not more.isEmpty():
+        links = write_table(links.unionByName(more), "links")
+        groups = components(links)
+        mixed = _mixed(crowded, groups)
+
+    more = write_table(_outsider_links(mixed, rows, size, percent), "outsider-links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
 

@@ -40,13 +40,13 @@ def embedding(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
     ids = matrix.select(F.col("i").alias("id")).union(matrix.select("j")).distinct()
     numbers = ids.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1).persist()
     n = numbers.count()
-    k = min(columns, n)
+    k = min(COLUMNS, n)  # fewer make the solver fail now and then
     placed = norm.join(numbers.select(F.col("id").alias("i"), F.col("n").alias("r")), "i").join(numbers.select(F.col("id").alias("j"), F.col("n").alias("c")), "j").select("r", "c", "value")
     entries = placed.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))  # mllib's distributed SVD takes RDDs only
     u = CoordinateMatrix(entries, n, n).toIndexedRowMatrix().computeSVD(k, computeU=True).U
     rows = u.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
     frame = matrix.sparkSession.createDataFrame(rows, "n long, u array<double>").persist()
-    width = len(frame.first()["u"])
+    width = min(columns, len(frame.first()["u"]))
     tops = frame.agg(*(F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 9), -F.col("n"))) for j in range(width))).first()
     signs = [s or 1.0 for s in tops]
     turned = F.array(*(F.col("u")[j] * F.lit(float(signs[j])) for j in range(width)))

@@ -32,8 +32,8 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[_END] = name
         self.text_of_byte = {i: b for b, i in pieces.byte_id.items()}
-        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes())
-        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))))
+        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=200_000)
+        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=250_000)
 
     def arcs(self, written: str, start: int) -> list[tuple[int, str]]:
         """Lexicon arcs that leave ``start``: (end, piece); byte fallback, with no piece, where there is none."""

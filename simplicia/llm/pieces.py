@@ -55,7 +55,7 @@ class Pieces:
         key = (left, right)
         known = self.pair.get(key)
         if known is None:
-            if len(self.pair) >= 2_000_000:
+            if len(self.pair) >= 400_000:
                 self.pair.clear()
             known = self.pair[key] = self.merge(left + right) == ([left, right] if left else [right])
         return known

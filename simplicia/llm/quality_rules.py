@@ -127,19 +127,24 @@ def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, b
     return out
 
 
-def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
-    """Logistic regression with an L1 penalty on all but the bias, by accelerated proximal gradient."""
-    n, k = z.shape
-    design = np.hstack([np.ones((n, 1)), z])
-    step = 4 * n / max(np.linalg.norm(design, 2) ** 2, 1e-9)
+def _lasso(masks: list[np.ndarray], y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
+    """Logistic regression on rules with an L1 penalty on all but the bias, by accelerated proximal gradient.
+
+    Rules are scaled by their spread, as common in rule ensembles, so that rare ones aren't favoured."""
+    n, k = len(y), len(masks)
+    scale = np.array([1.0, *(max(m.std(), 1e-6) for m in masks)])
+    design = np.ones((n, k + 1), np.float32)
+    for j, m in enumerate(masks):
+        design[:, j + 1] = m / scale[j + 1]
+    step = 4 * n / max(float(np.linalg.eigvalsh((design.T @ design).astype(float))[-1]), 1e-9)
     w, v, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
     for _ in range(rounds):
-        gradient = design.T @ (1 / (1 + np.exp(-(design @ v))) - y) / n
-        new = v - step * gradient
+        error = 1 / (1 + np.exp(-(design @ v.astype(np.float32)))) - y
+        new = v - step * (design.T @ error.astype(np.float32)) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         v, w = new + (before - 1) / t * (new - w), new
-    return float(w[0]), w[1:]
+    return float(w[0]), w[1:] / scale[1:]
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
@@ -153,14 +158,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
         rows = np.sort(rng.choice(len(y), size=max(1, min(len(y), 4000)), replace=True))
         for path in _paths(x[rows], y[rows], rng, DEPTH):
             found.setdefault(path)
-    rules = list(found)[:RULES]
-    z = np.stack([holds(x, r) for r in rules], axis=1).astype(np.float64) if rules else np.zeros((len(y), 0))
-    z, first = np.unique(z, axis=1, return_index=True)
-    rules = [rules[i] for i in first]
-    # scaled by their spread, as common in rule ensembles, so that rare rules aren't favoured
-    scale = np.maximum(z.std(axis=0), 1e-6)
-    bias, w = _lasso(z / scale, y, PENALTY)
-    return RuleModel(bias, tuple((float(a), r) for a, r in zip(w / scale, rules, strict=True) if a))
+    distinct: dict[bytes, tuple[tuple, np.ndarray]] = {}  # rules that hold for the same rows are one
+    for rule in list(found)[:RULES]:
+        mask = holds(x, rule)
+        distinct.setdefault(np.packbits(mask).tobytes(), (rule, mask))
+    bias, w = _lasso([m for _, m in distinct.values()], y, PENALTY)
+    return RuleModel(bias, tuple((float(a), r) for a, (r, _) in zip(w, distinct.values(), strict=True) if a))
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, sample: int = SAMPLE) -> RuleModel:

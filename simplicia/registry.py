@@ -304,7 +304,8 @@ def laplacian_embedding(spark, d):
 
 
 def tanimoto_embedding(spark, d):
-    rows = laplacian.tanimoto_embedding(vectors(spark, d), 3)
+    sizes = vectors(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))  # row sums must be positive
+    rows = laplacian.tanimoto_embedding(sizes, 3)
     return rows.select("index", *(F.round(F.col("values")[j], 4).alias(f"v{j}") for j in range(3)))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplicia.functions.distances import TANIMOTO
+from simplicia.functions.distances import TANIMOTO, Distance
 from simplicia.functions.scalars import gaussian_similarity
 from simplicia.operators import pairs
 
@@ -35,11 +37,15 @@ def normalised(matrix: DataFrame) -> DataFrame:
 
 
 def embedding(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
-    """index, values: leading left singular vectors of the normalised matrix, rows of unit length, largest entry of a column positive."""
+    """index, values: leading left singular vectors of the normalised matrix, rows of unit length, largest entry of a column positive.
+
+    A matrix without entries has no rows."""
     norm = normalised(matrix)
     ids = matrix.select(F.col("i").alias("id")).union(matrix.select("j")).distinct()
     numbers = ids.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1).persist()
     n = numbers.count()
+    if not n:
+        return matrix.sparkSession.createDataFrame([], "index long, values array<double>")
     k = min(COLUMNS, n)  # fewer make the solver fail now and then
     placed = norm.join(numbers.select(F.col("id").alias("i"), F.col("n").alias("r")), "i").join(numbers.select(F.col("id").alias("j"), F.col("n").alias("c")), "j").select("r", "c", "value")
     entries = placed.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))  # mllib's distributed SVD takes RDDs only
@@ -55,11 +61,18 @@ def embedding(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
     return frame.withColumn("v", turned).withColumn("length", length).join(numbers, "n").select(F.col("id").alias("index"), unit.alias("values"))
 
 
+def _defined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tanimoto distances, NaN where the denominator is zero: between two points that are zero everywhere."""
+    return np.where(np.logical_and.outer(~x.any(1), ~y.any(1)), np.nan, TANIMOTO.block(x, y))
+
+
 def tanimoto_affinities(points: DataFrame) -> DataFrame:
-    """i, j, value: 1 - Tanimoto distance of all pairs, both ways, and 1 for each point with itself."""
-    one = pairs.distances(points, TANIMOTO).select("src", "dst", (1 - F.col("distance")).alias("value"))
-    ways = one.select(F.col("src").alias("i"), F.col("dst").alias("j"), "value").unionByName(one.select(F.col("dst").alias("i"), F.col("src").alias("j"), "value"))
-    return ways.unionByName(points.select(F.col("index").alias("i"), F.col("index").alias("j"), F.lit(1.0).alias("value")))
+    """i, j, value: Gaussian similarity of the Tanimoto distance of all pairs, both ways, so always positive.
+
+    No point meets itself, and pairs of zero denominator have no entry."""
+    edges = pairs.distances(points, Distance(TANIMOTO.name, TANIMOTO.column, _defined), below=math.inf)  # NaN isn't below
+    one = edges.select("src", "dst", gaussian_similarity(F.col("distance")).alias("value"))
+    return one.select(F.col("src").alias("i"), F.col("dst").alias("j"), "value").unionByName(one.select(F.col("dst").alias("i"), F.col("src").alias("j"), "value"))
 
 
 def tanimoto_embedding(points: DataFrame, columns: int = COLUMNS) -> DataFrame:

@@ -1,11 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 
 from simplicia.functions import distances as D
 from simplicia.functions import filters as L
 from simplicia.functions.scale import Histogram
-from simplicia.operators import colour, inspect, knn, pairs
+from simplicia.operators import colour, inspect, knn, laplacian, pairs
 from simplicia.operators.cover import Filter, extra_bins, level_sets
 from simplicia.plans.pipeline import Params, mapper
 from simplicia.plans.session import Session
@@ -60,6 +61,25 @@ def test_symmetric_graph(spark):
     assert {(r.src, r.dst) for r in knn.symmetricize(g, mutual=True).collect()} == {(0, 1), (1, 0)}
 
 
+def test_tanimoto_affinities_of_signed_points(spark):
+    x = np.array([(1, 2), (-1, -2), (2, -1), (-3, 1), (0, 0), (0, 0)], float)
+    inner = x @ x.T
+    below = np.diag(inner)[:, None] + np.diag(inner) - inner
+    expected = {(i, j): math.exp(-((1 - inner[i, j] / below[i, j]) ** 2) / 2) for i in range(6) for j in range(6) if i != j and below[i, j]}
+    assert {(r.i, r.j): r.value for r in laplacian.tanimoto_affinities(points(spark, x)).collect()} == pytest.approx(expected)
+
+
+def test_tanimoto_embedding_of_signed_points(spark):
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    inner = x @ x.T
+    a = np.exp(-((1 - inner / (np.diag(inner)[:, None] + np.diag(inner) - inner)) ** 2) / 2)
+    np.fill_diagonal(a, 0)
+    rows = laplacian.tanimoto_embedding(points(spark, x), 3).orderBy("index").collect()
+    got, expected = np.array([r["values"] for r in rows]), laplacian.local_embedding(a, 3)
+    assert got.shape == (60, 3) and np.abs(got) == pytest.approx(np.abs(expected), abs=1e-6)
+    assert laplacian.tanimoto_embedding(points(spark, [[1, 2]])).count() == 0
+
+
 def test_mapper_and_session(spark):
     p = points(spark, [[v] for v in (*range(0, 10), *range(50, 60))])
     params = Params((Filter(L.Feature(0), 4, 0.5),), D.EUCLIDEAN, scale=Histogram(10), colouring=colour.cluster_size(5))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from simplicia.functions.distances import DEFAULT, Distance
 from simplicia.operators import lsh, pairs
+from simplicia.sources.readers import with_index
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:
@@ -27,32 +30,50 @@ def sampled_knn(points: DataFrame, k: int, distance: Distance = DEFAULT, amount:
     return top_k(pairs.nearest(points, k, distance, of=sample), k)
 
 
-def fast_knn(points: DataFrame, k: int = 50, distance: Distance = DEFAULT, tables: int = 5, block: int = 100, params: lsh.Params | None = None, seed: int = 0) -> DataFrame:
+def _closest(ids: np.ndarray, x: np.ndarray, k: int, distance: Distance, rows: int = 500) -> pd.DataFrame:
+    """src, dst, distance of each point's k nearest among ``x``, by ``rows`` points at a time, so memory stays linear in ``x``."""
+    out, k = [], min(k, len(ids) - 1)
+    square = (x * x).sum(1)
+    for at in range(0, len(ids) if k > 0 else 0, rows):
+        y = x[at : at + rows]
+        if distance.name == "euclidean":  # squares from inner products find candidates; their distances are taken exactly
+            d, slack = square[at : at + rows, None] + square[None, :] - 2 * (y @ x.T), 1e-9 * max(1.0, float(square.max()))
+        else:
+            d, slack = distance.block(y, x), 0.0
+        d[np.arange(len(y)), np.arange(at, at + len(y))] = np.inf
+        r, c = np.nonzero(~(d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack))  # NaN is farthest
+        keep = r + at != c
+        r, c = r[keep], c[keep]
+        found = np.sqrt(((y[r] - x[c]) ** 2).sum(1)) if distance.name == "euclidean" else d[r, c]
+        order = np.lexsort((-ids[c], found, r))  # on a tie the larger id
+        first = np.searchsorted(r, np.arange(len(y)))
+        order = order[np.arange(len(r)) - first[r] < k]
+        out.append(pd.DataFrame({"src": ids[at + r[order]], "dst": ids[c[order]], "distance": found[order]}))
+    return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "distance": []})
+
+
+def fast_knn(points: DataFrame, k: int = 50, distance: Distance = DEFAULT, tables: int = 5, block: int = 100, params: lsh.Params | None = None, seed: int = 0, share: float = 0.0) -> DataFrame:
     """Approximate neighbours: in each table points are ordered by a random projection of their LSH signature, cut into blocks, and compared within one.
 
-    Range partitions and running numbers make the blocks, so no task sees a whole table; nothing goes to the driver."""
+    A block holds ``block`` points or the ``share`` of all, whichever is more: among points without clusters, recall follows
+    the share. Range partitions and running numbers place the points, so blocks are the same for any number of partitions,
+    no task sees a whole table, and nothing goes to the driver."""
     params = params or lsh.Params(distance=distance, seed=seed)
-    size = len(points.first()["features"])
-    keyed = None
+    size, n = len(points.first()["features"]), points.count()
+    blocks = max(1, n // max(block, math.ceil(share * n)))
+    keys = []
     for t in range(tables):
         functions = lsh.hash_functions(params, size, seed=params.seed * 1009 + t)
         weights = np.random.default_rng(params.seed * 7919 + t).uniform(-1, 1, params.length)
-        key = sum((s * F.lit(float(w)) for s, w in zip(functions, weights, strict=True)), F.lit(0.0))
-        own = points.select(F.lit(t).alias("table"), key.alias("key"), "index", "features")
-        keyed = own if keyed is None else keyed.unionByName(own)
-    placed = keyed.repartitionByRange("table", "key", "index").sortWithinPartitions("table", "key", "index")
-    placed = placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    blocks = placed.withColumn("block", F.floor(F.col("at") / block))
+        keys.append(sum((s * F.lit(float(w)) for s, w in zip(functions, weights, strict=True)), F.lit(0.0)))
+    keyed = points.select("index", F.posexplode(F.array(*keys)).alias("table", "key")).persist()
+    placed = with_index(keyed, "table", "key", "index", name="at")  # every table has n rows
+    placed = placed.select("index", "table", F.floor((F.col("at") - F.col("table") * n) * blocks / n).alias("block"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        ids, x = pdf["index"].to_numpy(), np.stack(pdf["features"].to_list())
-        d = distance.block(x, x)
-        np.fill_diagonal(d, np.inf)
-        order = np.lexsort((np.broadcast_to(-ids, d.shape), d), axis=1)[:, : min(k, len(ids) - 1)]
-        return pd.DataFrame({"src": np.repeat(ids, order.shape[1]), "dst": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()})
-
-    found = blocks.groupBy("table", "part", "block").applyInPandas(run, "src long, dst long, distance double")
+        return _closest(pdf["index"].to_numpy(), np.stack(pdf["features"].to_list()).astype(float), k, distance)
+
+    found = placed.join(points.select("index", "features"), "index").groupBy("table", "block").applyInPandas(run, "src long, dst long, distance double")
     return top_k(found, k)
 
 

@@ -54,6 +54,30 @@ def test_blocks_don_t_change_neighbours(spark, monkeypatch):
     assert edges() == whole
 
 
+def test_fast_neighbours_keep_their_recall(spark, tmp_path):
+    """Vectors without clusters, as in the tables: recall of the registered query, and the same blocks for any partitions."""
+    from simplicia import registry
+
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert registry.queries()["fast_knn_accuracy"](spark, str(tmp_path)).first().accuracy >= 0.9
+    edges = lambda: {(r.src, r.dst, r.distance) for r in registry.queries()["fast_knn"](spark, str(tmp_path)).collect()}
+    few = edges()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert edges() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fast_neighbours_in_one_block_are_exact(spark):
+    p = points(spark, [(i % 3, i // 3) for i in range(9)])
+    for d in (D.EUCLIDEAN, D.MANHATTAN):
+        assert {tuple(r) for r in knn.fast_knn(p, 2, d, tables=1).collect()} == {tuple(r) for r in knn.exact_knn(p, 2, d).collect()}
+
+
 def test_symmetric_graph(spark):
     g = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 2.0)], "src long, dst long, distance double")
     either = {(r.src, r.dst): r.distance for r in knn.symmetricize(g, halve=True).collect()}

@@ -36,7 +36,7 @@ _NOT_DIGIT = re.compile("[^0-9]")
 _ANY_DIGIT = re.compile("[0-9]")
 
 # Candidates of the added kinds.
-_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,200}+(?![A-Za-z0-9_/+-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,64}+ ?[\[(]? ?dot ?[\])]? ?[A-Za-z]{2,10}+(?![A-Za-z])")
 _HINTS = {
     "secret": re.compile(r"\b(token|secret|password|passwd|pwd|api[_ -]?key|key|auth|bearer|credential)\b", re.I),

@@ -171,6 +171,12 @@ def test_personal_data(docs, empty):
         assert pii_spans.base_spans(s)["email"] == [m.span() for m in plain.finditer(s)]
 
 
+def test_secrets_of_any_length():
+    for n in (19, 20, 200, 201, 5000):
+        body = ("a1B2c3D4e5" * n)[:n]
+        assert pii_spans.candidates(f"token={body} end", pii_spans.base_spans("")) == ([("secret", 6, 6 + n)] if n >= 20 else [])
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     good = [(i, " ".join(f"plain{(i * 7 + k) % 50}" for k in range(30)), 1, 0) for i in range(200)]

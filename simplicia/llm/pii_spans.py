@@ -4,7 +4,7 @@ Patterns give the base spans (e-mail, ip, card, phone), which always stay. Furth
 digit groups that fail a check and addresses spelled out, are voted on by labelers: shape (regular expressions),
 gazetteer (words around the span) and context (what the span touches). Expectation-maximisation over the counts of all
 vote patterns estimates each labeler's reliability without labels; its posteriors train a logistic span classifier on
-votes and span features, whose accepted candidates join the base spans.
+votes and binned span features (length, share of digits, neighbours), whose accepted candidates join the base spans.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]")
 _ANY_DIGIT = re.compile("[0-9]")
+_DIGIT_RUNS = re.compile("[0-9]+")
 
 # Candidates of the added kinds.
 _SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])")
@@ -47,6 +48,9 @@ _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 NEAR = 40  # characters around a span that labelers see
 LABELERS = ("shape", "gazetteer", "context", "entropy")
+#: Upper ends of the bins of a candidate's length, and how many bins each of its features has.
+_LENGTHS = (16, 24, 40)
+BINS = (4, 4, 3, 3)
 
 
 def luhn(digits: str) -> bool:
@@ -111,6 +115,14 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     return shape, gazetteer, context, entropy
 
 
+def features(text: str, start: int, end: int) -> tuple[int, ...]:
+    """Bins of a candidate's length, its share of digits, and what kind of character stands before and after it."""
+    n = end - start
+    digits = n - len(_DIGIT_RUNS.sub("", text[start:end]))
+    side = lambda c: 0 if c == "" or c.isspace() else 1 if c in "=:\"'`" else 2
+    return sum(n > x for x in _LENGTHS), min(3, 4 * digits // n), side(text[start - 1 : start] if start else ""), side(text[end : end + 1])
+
+
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """Spans of the added kinds that overlap no base span."""
     found: list[tuple[str, int, int]] = []
@@ -130,33 +142,38 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     return out
 
 
-def pattern(kind: str, cast: tuple[int, ...]) -> int:
-    """A number for a kind and its votes; there are ``len(ADDED) * 3 ** len(LABELERS)`` of them."""
+def pattern(kind: str, cast: tuple[int, ...], binned: tuple[int, ...] = (0,) * len(BINS)) -> int:
+    """A number for a kind, its votes and binned features; there are ``len(ADDED) * 3 ** len(LABELERS) * prod(BINS)`` of them."""
     out = ADDED.index(kind)
     for v in cast:
         out = out * 3 + v
+    for v, bins in zip(binned, BINS, strict=True):
+        out = out * bins + v
     return out
 
 
-def unpack(number: int) -> tuple[str, tuple[int, ...]]:
-    cast = []
+def unpack(number: int) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
+    cast, binned = [], []
+    for bins in reversed(BINS):
+        number, v = divmod(number, bins)
+        binned.append(v)
     for _ in LABELERS:
         number, v = divmod(number, 3)
         cast.append(v)
-    return ADDED[number], tuple(reversed(cast))
+    return ADDED[number], tuple(reversed(cast)), tuple(reversed(binned))
 
 
 @dataclass(frozen=True)
 class SpanModel:
     reliability: dict[str, tuple[tuple[float, float], ...]]  # of each kind: P(vote for | real), P(vote for | not) by labeler
-    accepted: dict[int, float]  # vote pattern to the classifier's probability
+    accepted: dict[int, float]  # pattern of votes and features to the classifier's probability
 
 
 def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
-    """Reliabilities by expectation-maximisation and a classifier trained on the posteriors, from counts of vote patterns."""
+    """Reliabilities by expectation-maximisation and a classifier of votes and features trained on the posteriors, from counts of patterns."""
     reliability, accepted = {}, {}
     for kind in ADDED:
-        rows = [(unpack(p)[1], n, p) for p, n in sorted(counts.items()) if unpack(p)[0] == kind]
+        rows = [(cast, n, p, binned) for p, n in sorted(counts.items()) for own, cast, binned in [unpack(p)] if own == kind]
         if not rows:
             continue
         cast, n = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
@@ -171,7 +188,8 @@ def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
             logit = math.log(prior / (1 - prior)) + on @ np.log(p1 / p0) + off @ np.log((1 - p1) / (1 - p0))
             post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         reliability[kind] = tuple((float(a), float(b)) for a, b in zip(p1, p0, strict=True))
-        x = np.hstack([np.ones((len(rows), 1)), on, off])
+        marks = np.hstack([np.eye(bins)[[r[3][j] for r in rows]] for j, bins in enumerate(BINS)])
+        x = np.hstack([np.ones((len(rows), 1)), on, off, marks])
         w = np.zeros(x.shape[1])
         for _ in range(300):  # ridge logistic regression on soft labels, weighted by counts
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -184,7 +202,7 @@ def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind, start, end) and found (candidates with their vote pattern) of each whole text."""
+    """doc_id, base (array of kind, start, end) and found (candidates with their pattern of votes and features) of each whole text."""
     workers(docs.sparkSession)
     span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
 
@@ -194,7 +212,7 @@ def extract(docs: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k in BASE for a, b in own[k]])
-                found.append([{"kind": k, "start": a, "end": b, "votes": pattern(k, votes(text, k, a, b))} for k, a, b in candidates(text, own)])
+                found.append([{"kind": k, "start": a, "end": b, "votes": pattern(k, votes(text, k, a, b), features(text, a, b))} for k, a, b in candidates(text, own)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(base, pa.list_(pa.struct(span))), pa.array(found, pa.list_(pa.struct([*span, ("votes", pa.int32())])))], names=["doc_id", "base", "found"]
             )
@@ -213,10 +231,10 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added for every row.
 
     Offsets are in code points, ends exclusive. Null text: empty, no spans. Null doc_id: kept. Repeated rows: each on
-    its own, and counted in the vote patterns. Empty table: no rows. No candidates: no model, base spans only. Other
+    its own, and counted in the patterns. Empty table: no rows. No candidates: no model, base spans only. Other
     columns are ignored.
 
-    One pass over the text; only spans and vote patterns are kept, and patterns are as many for any input."""
+    One pass over the text; only spans and patterns are kept, and patterns are as many for any input."""
     rows = write_table(extract(docs), "spans")
     counts = {r[0]: r[1] for r in rows.select(F.explode("found.votes").alias("votes")).groupBy("votes").count().collect()}
     model = fit_spans(counts)

@@ -177,6 +177,17 @@ def test_secrets_of_any_length():
         assert pii_spans.candidates(f"token={body} end", pii_spans.base_spans("")) == ([("secret", 6, 6 + n)] if n >= 20 else [])
 
 
+def test_span_classifier_reads_features():
+    for kind, cast, binned in itertools.product(pii_spans.ADDED, [(0, 1, 2, 1), (2, 2, 2, 0)], [(3, 2, 1, 2), (0, 3, 2, 0)]):
+        assert pii_spans.unpack(pii_spans.pattern(kind, cast, binned)) == (kind, cast, binned)
+    assert pii_spans.features('key="a1b2c3d4e5f6a7b8c9d0" x', 5, 25) == (1, 2, 1, 1)
+    short, long = (0, 0, 0, 0), (3, 3, 1, 1)
+    number = lambda cast, binned: pii_spans.pattern("secret", cast, binned)
+    sure, unsure, against = (1, 1, 1, 1), (2, 2, 2, 1), (0, 2, 0, 0)
+    model = pii_spans.fit_spans({number(sure, long): 50, number(unsure, long): 5, number(unsure, short): 5, number(against, short): 50})
+    assert model.accepted[number(unsure, long)] > model.accepted[number(unsure, short)]
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     good = [(i, " ".join(f"plain{(i * 7 + k) % 50}" for k in range(30)), 1, 0) for i in range(200)]

@@ -2,12 +2,14 @@
 
 For every prefix of a stretch that no merge crosses, the table holds the last piece of its encoding and its exact
 number of tokens. A prefix of a text is whole stretches and a prefix of one, so counts at all prefixes of a text,
-truncation to a budget and budget questions follow without encoding again.
+truncation to a budget and budget questions follow without encoding again: tables of stretches are kept, a byte an entry
+(those of up to 64 characters, the most recent ones; others are rebuilt when asked for).
 """
 
 from __future__ import annotations
 
 import itertools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,21 @@ class PrefixCounter:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.parts = Cache(lambda part: self.table(part)[-1], limit=500_000)
-        self.totals = Cache(lambda unit: sum(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))))
+        self.parts = Cache(self._packed, limit=500_000)
+        self.totals = Cache(lambda unit: sum(self.parts[part][-1] for part in pieces.stretches(pieces.written(unit))))
+
+    def _packed(self, part: str) -> bytes | array:
+        """The prefix table of a stretch, a byte an entry while counts fit one."""
+        t = self.table(part)
+        return bytes(t) if max(t) < 256 else array("I", t)
+
+    def prefixes(self, written: str) -> list[int]:
+        """The same as :meth:`table` of a whole unit, from the kept tables of its stretches."""
+        out = [0]
+        for part in self.pieces.stretches(written):
+            before = out[-1]
+            out.extend(before + x for x in self.parts[part][1:])
+        return out
 
     def table(self, written: str) -> list[int]:
         """``table[i]``: tokens of the first ``i`` characters of a stretch, marks written out.
@@ -51,7 +66,7 @@ class PrefixCounter:
         """Tokens of ``text[:i]`` for every ``i`` from 0 to its length."""
         out, before = [0], 0
         for k, unit in enumerate(self.pieces.units(text)):
-            t = self.table(self.pieces.written(unit))
+            t = self.prefixes(self.pieces.written(unit))
             out.extend(before + x for x in t[1 if k else 2 :])  # the first mark is no character of the text
             before += t[-1]
         return np.asarray(out, dtype=np.int64)
@@ -59,7 +74,7 @@ class PrefixCounter:
     def truncate(self, text: str, budget: int) -> int:
         """Characters of the longest prefix for which it and all shorter ones have at most ``budget`` tokens.
 
-        Whole stretches come from the running sum; only the stretch in which the budget ends is looked into."""
+        Whole stretches come from the running sum; only the unit in which the budget ends is looked into, by its kept tables."""
         units = self.pieces.units(text)
         sums = list(itertools.accumulate(map(self.totals.__getitem__, units)))
         at = 0
@@ -67,7 +82,7 @@ class PrefixCounter:
             written, before = self.pieces.written(unit), sums[k - 1] if k else 0
             skip = 1 if k == 0 else 0  # the mark in front of the text
             if sums[k] + len(written) > budget:  # a shorter prefix of a stretch can have more tokens than the whole
-                t = self.table(written)
+                t = self.prefixes(written)
                 for i in range(1, len(t)):
                     if before + t[i] > budget:
                         return max(0, at + i - 1 - skip)

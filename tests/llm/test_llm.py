@@ -56,6 +56,18 @@ def test_token_counts_and_transducer(docs, empty):
         assert c.truncate(text, 2) == next((i - 1 for i, n in enumerate(counts) if n > 2), len(text))
 
 
+def test_budgets_are_answered_from_kept_tables(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    c, text = token_counts.PrefixCounter(token_counts.load(PIECES)), "Hello unbelievable-world \n\u65e5\u672c \u00dcbung 12345x " * 3
+    counts = [len(sp.encode(text[:i])) for i in range(len(text) + 1)]
+    assert c.count(text) == counts[-1]
+    monkeypatch.setattr(c, "table", lambda part: pytest.fail("encoded again"))
+    assert c.prefix_counts(text).tolist() == counts
+    assert [c.truncate(text, b) for b in range(12)] == [next(i - 1 for i, n in enumerate(counts) if n > b) for b in range(12)]
+
+
 def test_chunk_store(spark, docs, empty):
     from tokenizers import Tokenizer
 

@@ -21,8 +21,10 @@ from simplicia.llm.common import fold, text_rows, workers
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
 TREES, DEPTH, LEAF = 40, 3, 20
-#: Lasso penalty and the number of rules it chooses from.
-PENALTY, RULES = 1e-3, 400
+#: Rows that each tree is grown on, at most: drawn from the fitted ones with replacement. The lasso sees all of those.
+TREE_ROWS = 4000
+#: Lasso penalty. It chooses from all distinct rules, TREES * (2 ** (DEPTH + 1) - 2) at most.
+PENALTY = 1e-3
 STATISTICS = (
     "chars", "words", "word_length", "symbols", "capitals", "digits", "stops", "letters", "distinct_words", "top_word", "distinct_lines", "words_a_line", "bars", "longest_word", "marked_words",
 )
@@ -147,19 +149,19 @@ def _lasso(masks: list[np.ndarray], y: np.ndarray, penalty: float, rounds: int =
     return float(w[0]), w[1:] / scale[1:]
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
-    """Rules and weights from rows of statistics and 0/1 labels. One class or no rows: a constant score."""
+def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7, tree_rows: int = TREE_ROWS) -> RuleModel:
+    """Rules and weights from rows of statistics and 0/1 labels; each tree is grown on ``tree_rows`` at most. One class or no rows: a constant score."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return RuleModel(float(np.log(p / (1 - p))), ())
     rng = np.random.default_rng(seed)
     found: dict[tuple, None] = {}
     for _ in range(TREES):
-        rows = np.sort(rng.choice(len(y), size=max(1, min(len(y), 4000)), replace=True))
+        rows = np.sort(rng.choice(len(y), size=max(1, min(len(y), tree_rows)), replace=True))
         for path in _paths(x[rows], y[rows], rng, DEPTH):
             found.setdefault(path)
     distinct: dict[bytes, tuple[tuple, np.ndarray]] = {}  # rules that hold for the same rows are one
-    for rule in list(found)[:RULES]:
+    for rule in found:
         mask = holds(x, rule)
         distinct.setdefault(np.packbits(mask).tobytes(), (rule, mask))
     bias, w = _lasso([m for _, m in distinct.values()], y, PENALTY)

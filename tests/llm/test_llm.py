@@ -221,6 +221,26 @@ def test_quality(judged, docs, empty):
     assert quality_rules.score_quality(empty, quality_rules.train(empty, labels)).count() == 0
 
 
+def test_lasso_chooses_from_rules_of_all_trees(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, len(quality_rules.STATISTICS)))
+    y = (x[:, :6].sum(1) + rng.normal(size=3000) > 0).astype(float)
+    grown, offered, paths, lasso = [], [], quality_rules._paths, quality_rules._lasso
+
+    def grow(x, y, rng, depth, before=()):
+        out = paths(x, y, rng, depth, before)
+        if not before:
+            grown.append((len(y), out))
+        return out
+
+    monkeypatch.setattr(quality_rules, "_paths", grow)
+    monkeypatch.setattr(quality_rules, "_lasso", lambda masks, *a: offered.extend(masks) or lasso(masks, *a))
+    quality_rules.fit_rules(x, y, tree_rows=1000)
+    wanted = {quality_rules.holds(x, p).tobytes() for _, tree in grown for p in tree}
+    assert {m.tobytes() for m in offered} == wanted and len(wanted) > 400
+    assert [n for n, _ in grown] == [1000] * quality_rules.TREES
+
+
 def test_toxicity(judged, docs, empty):
     table, labels = judged
     model = toxicity.train(table, labels)

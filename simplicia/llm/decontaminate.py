@@ -2,8 +2,9 @@
 
 A window is ``size`` consecutive words of a benchmark item (a shorter item is one window). Postings (term, document,
 position) are stored for the two rarest words of every window, where rarity is counted over the whole corpus; each
-posting carries the words around it. A posting moved back by its word's offset in a window proposes a start; a start
-that all of a window's lists agree on is compared with the whole window.
+posting carries the words around it. A posting moved back by its word's offset in a window is compared with the whole
+window by these words, and proposes a start only if they are equal: that decides. The intersection of a window's lists of
+starts comes after and only confirms, as each list alone has every exact occurrence.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from simplicia.llm.common import ascii_lower, text_rows, without, write_table
 WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: Windows looked up in one pass over the corpus: bounds what is broadcast (terms of at most so many windows).
 BLOCK_WINDOWS = 200_000
-#: Index lists that are intersected for each window.
+#: Index lists for each window; the words around a posting decide, intersecting the lists only confirms.
 LISTS = 2
 
 

@@ -1,8 +1,9 @@
 """Exact deduplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Rows are reduced to digests. Leaf runs each hold distinct digests in order, with the smallest doc_id and a count. In
-every round runs meet in groups of ``fan_in`` (run r joins run r // fan_in), equal digests merge, and the smallest
-identifier survives; after the last round one logical run, spread over all partitions by digest, is left.
+Rows are reduced to digests. Leaf runs, one an input partition, each hold distinct digests, with the smallest doc_id and a
+count. In every round runs meet in pairs (run r joins run r // 2), equal digests merge, and the smallest identifier
+survives; after the last round one logical run, spread over all partitions by digest, is left. Runs merge by aggregation:
+its shuffle doesn't use that they are sorted.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ def digests(docs: DataFrame) -> DataFrame:
     return norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("check"))
 
 
-def merge_runs(rows: DataFrame, leaves: int = 64, fan_in: int = 8) -> DataFrame:
+def merge_runs(rows: DataFrame, fan_in: int = 2) -> DataFrame:
     """Digest, keep_id (smallest doc_id; null if all are) and group_size, one row a digest.
 
     Each round is a map-side combined aggregation by (run, digest), so a digest that a third of all rows share reaches
     a merge as one row a task; each round's sorted runs are written to the shared folder."""
-    runs = rows.select((F.pmod(F.xxhash64("doc_id"), F.lit(leaves)).cast("int")).alias("run"), *_DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    leaves = max(1, rows.rdd.getNumPartitions())
+    runs = rows.select(F.pmod(F.spark_partition_id(), F.lit(leaves)).alias("run"), *_DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     while True:
         merged = runs.groupBy("run", *_DIGEST).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
         if leaves == 1:

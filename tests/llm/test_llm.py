@@ -99,6 +99,15 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_runs_of_partitions_meet_in_pairs(spark, monkeypatch):
+    rows = spark.range(0, 60, numPartitions=6).selectExpr("id as doc_id", "cast(id % 10 as string) as text_sha256", "1L as n_bytes", "1L as `check`")
+    seen, write = [], exact_dedup.write_table
+    monkeypatch.setattr(exact_dedup, "write_table", lambda df, name: seen.append({r.run for r in df.select("run").distinct().collect()}) or write(df, name))
+    merged = {(int(r.text_sha256), r.keep_id, r.group_size) for r in exact_dedup.merge_runs(rows).collect()}
+    assert merged == {(i, i, 6) for i in range(10)}
+    assert seen == [set(range(6)), {0, 1, 2}, {0, 1}]
+
+
 def test_near_dedup(spark, docs, empty):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(docs, 4, 80).collect() if r.doc_id}
     sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := _words(t)) else set() for i, t in TEXTS}

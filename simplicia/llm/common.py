@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a one-column id table that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
-#: Records in one Arrow batch; documents may be long.
-BATCH_ROWS = 1000
+#: Records and bytes in one Arrow batch, at most (a batch always holds one record); documents may be long.
+BATCH_ROWS, BATCH_BYTES = 5000, 16 << 20
 _own_folder: str | None = None
 
 
@@ -31,8 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and lost executors cost no rework."""
-    return write_at(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here, and lost executors cost no rework.
+
+    :func:`forget` removes it once nothing reads it; tables that a result still reads stay until the caller clears the folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    out = write_at(df, path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of :func:`write_table` that neither a result nor a later step reads."""
+    for df in tables:
+        drop_path(df.sparkSession, df.written_at)
+
+
+def free_name(base: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def write_at(df: DataFrame, path: str) -> DataFrame:
@@ -48,13 +67,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep their Arrow batches small."""
+    """Let Python workers import this package, and keep the session's Arrow batches small in rows and bytes; smaller settings stay."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
@@ -63,6 +84,17 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
+    """``df`` with the rows of number k of ``column`` (0 to n - 1) in a task of their own: each number meets the key that hashes to its task."""
+    keys = df.sparkSession.range(0, 40 * n + 400).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("k"))
+    found = dict(keys.groupBy("k").agg(F.min("key")).collect())  # a row a task
+    if len(found) < n:
+        raise RuntimeError("too few keys")
+    name = free_name("task", df.columns)
+    keyed = df.withColumn(name, F.array(*(F.lit(found[k]) for k in range(n)))[F.col(column)])
+    return keyed.repartition(n, name).drop(name)
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

@@ -1,15 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled: the normaliser (a mark in front, spaces to marks), the lexicon (a trie of pieces, with
-byte fallback for characters that no piece has) and a context acceptor that gives two neighbouring pieces weight 0 if
-they survive merging and infinity if not. Composing them with an input gives a lattice over (position, last piece);
-its shortest path in the tropical semiring (min, +), each piece weighing 1, is the encoding.
+Three machines are compiled from a model file: the normaliser (from the model's own specification: a mark in front,
+spaces to marks), the lexicon (a trie of pieces, each weighing 1, with byte fallback for characters that no piece has)
+and the context acceptor, which gives two neighbouring pieces weight 0 if they survive merging side by side and infinity
+if not. :func:`compose` joins machines, and :func:`shortest_path` finds the least total weight in the tropical semiring
+(min, +). A byte-pair model's weights leave exactly one path finite, so the search of the composed machine that every
+document takes, :meth:`Transducer.path`, follows the longest arcs first and turns back where the weight is infinite.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
+import itertools
 from array import array
+from collections.abc import Hashable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,60 +24,194 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from simplicia.llm.common import Cache, text_rows, workers
-from simplicia.llm.pieces import SPACE, Pieces, load
+from simplicia.llm.pieces import SPACE, Pieces, load, specification
 
-_END = ""  # the trie's key for "a piece ends here"; no character is the empty string
+#: An arc: what it reads (None: nothing), what it writes (None: nothing), its weight, and the state it leads to.
+Arc = tuple[Hashable, Hashable, float, Hashable]
 
 
-class Transducer:
+class Text:
+    """The machine of one input: it writes a text's characters one after the other."""
+
+    start = 0
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def arcs(self, state: int) -> Iterator[Arc]:
+        if state < len(self.text):
+            yield self.text[state], self.text[state], 0.0, state + 1
+
+    def final(self, state: int) -> bool:
+        return state == len(self.text)
+
+
+@dataclass(frozen=True)
+class Normaliser:
+    """Characters to marked characters: state 0 is before the text, 1 in it."""
+
+    prefix: bool
+    escape: bool
+    start = 0
+
+    def on(self, state: int, symbol: str | None) -> Iterator[tuple[Hashable, float, Hashable]]:
+        """(written, weight, next) of the arcs that read ``symbol``."""
+        if state == 0:
+            if symbol is None and self.prefix:
+                yield SPACE, 0.0, 1
+            elif symbol is not None and not self.prefix:
+                yield self.written(symbol), 0.0, 1
+        elif symbol is not None:
+            yield self.written(symbol), 0.0, 1
+
+    def written(self, symbol: str) -> str:
+        return SPACE if self.escape and symbol == " " else symbol
+
+    def final(self, state: int) -> bool:
+        return True
+
+
+class Lexicon:
+    """Characters to pieces: states are nodes of a trie; where a piece ends, an arc writes it and goes back to the root."""
+
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.trie: dict = {}
+        self.nodes: list[dict[str, int]] = [{}]
+        self.ends: dict[int, str] = {}
         for name in pieces.score:
-            node = self.trie
+            at = 0
             for c in name:
-                node = node.setdefault(c, {})
-            node[_END] = name
-        self.text_of_byte = {i: b for b, i in pieces.byte_id.items()}
-        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=200_000)
-        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=250_000)
-
-    def arcs(self, written: str, start: int) -> list[tuple[int, str]]:
-        """Lexicon arcs that leave ``start``: (end, piece); byte fallback, with no piece, where there is none."""
-        node, out = self.trie, []
-        for end in range(start, len(written)):
-            node = node.get(written[end])
-            if node is None:
-                break
-            if _END in node:
-                out.append((end + 1, node[_END]))
-        return out or [(start + 1, "")]
+                if c not in self.nodes[at]:
+                    self.nodes[at][c] = len(self.nodes)
+                    self.nodes.append({})
+                at = self.nodes[at][c]
+            self.ends[at] = name
+        self.start = 0
+
+    def on(self, state: int, symbol: str | None) -> Iterator[tuple[Hashable, float, Hashable]]:
+        if symbol is None:
+            if state in self.ends:
+                yield self.ends[state], 1.0, 0
+        elif symbol in self.nodes[state]:
+            yield None, 0.0, self.nodes[state][symbol]
+        elif state == 0:  # byte fallback
+            yield symbol.encode("utf-8", "surrogatepass"), 1.0, 0
+
+    def final(self, state: int) -> bool:
+        return state == 0
+
+
+class Context:
+    """Pieces to pieces: the state is the last piece; an arc that would not survive merging has infinite weight, that is, isn't there."""
+
+    start = ""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def on(self, state: str, symbol: Hashable) -> Iterator[tuple[Hashable, float, Hashable]]:
+        if isinstance(symbol, bytes):  # nothing merges with a character that no piece has
+            yield symbol, 0.0, ""
+        elif symbol is not None and self.pieces.stands(state, symbol):
+            yield symbol, 0.0, symbol
+
+    def final(self, state: str) -> bool:
+        return True
+
+
+class Composed:
+    """``first`` writes what ``second`` reads; arcs are made where the search asks for them."""
+
+    def __init__(self, first, second):
+        self.first, self.second, self.start = first, second, (first.start, second.start)
+
+    def arcs(self, state) -> Iterator[Arc]:
+        a, b = state
+        for out, weight, to in self.second.on(b, None):
+            yield None, out, weight, (a, to)
+        for read, out, weight, to in self.first.arcs(a):
+            if out is None:
+                yield read, None, weight, (to, b)
+            else:
+                for written, more, then in self.second.on(b, out):
+                    yield read, written, weight + more, (to, then)
+
+    def final(self, state) -> bool:
+        return self.first.final(state[0]) and self.second.final(state[1])
+
+
+def compose(first, *others):
+    return functools.reduce(Composed, others, first)
+
+
+def shortest_path(machine) -> tuple[float, list[Hashable]]:
+    """Least weight from the start to a final state and what that path writes, by Dijkstra's algorithm; infinity if there is none."""
+    count = itertools.count()
+    queue, seen = [(0.0, next(count), machine.start, None)], set()
+    while queue:
+        weight, _, state, path = heapq.heappop(queue)
+        if state in seen:
+            continue
+        seen.add(state)
+        if machine.final(state):
+            out = []
+            while path is not None:
+                symbol, path = path
+                out.append(symbol)
+            return weight, out[::-1]
+        for _, symbol, more, to in machine.arcs(state):
+            if to not in seen:
+                heapq.heappush(queue, (weight + more, next(count), to, path if symbol is None else (symbol, path)))
+    return float("inf"), []
+
+
+class Transducer:
+    def __init__(self, pieces: Pieces, prefix: bool = True, escape: bool = True):
+        if not (prefix and escape):
+            raise ValueError("texts are cut at spaces, which needs a model that puts marks in front and for spaces")
+        self.pieces = pieces
+        self.normaliser, self.lexicon, self.context = Normaliser(prefix, escape), Lexicon(pieces), Context(pieces)
+        self.raw = np.array([n.replace(SPACE, " ").encode() for n in pieces.names], dtype=object)
+        for b, i in pieces.byte_id.items():
+            self.raw[i] = bytes((b,))
+        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=100_000)
+        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=300_000)
+
+    def composed(self, text: str):
+        """The whole cascade for one input."""
+        return compose(Text(text), self.normaliser, self.lexicon, self.context)
+
+    def ids(self, written: list[Hashable]) -> list[int]:
+        return [i for x in written for i in ([self.pieces.byte_id[b] for b in x] if isinstance(x, bytes) else [self.pieces.id[x]])]
 
     def path(self, written: str) -> list[int]:
-        """Ids on the shortest path through the lattice of one stretch."""
-        best: list[dict[str, tuple[int, int, str]]] = [{} for _ in range(len(written) + 1)]
-        best[0][""] = (0, -1, "")
-        stands, pair = self.pieces.stands, self.pieces.pair
-        for i in range(len(written)):
-            if not best[i]:
-                continue
-            for end, piece in self.arcs(written, i):
-                for last, state in best[i].items():
-                    if piece and not (stands(last, piece) if (known := pair.get((last, piece))) is None else known):
-                        continue  # infinite weight
-                    weight = state[0] + 1
-                    if piece not in best[end] or weight < best[end][piece][0]:
-                        best[end][piece] = (weight, i, last)
-        at, last = len(written), min(best[-1], key=lambda k: best[-1][k][0])
-        out: list[int] = []
-        while at > 0:
-            _, before, previous = best[at][last]
-            if last:
-                out.append(self.pieces.id[last])
+        """Ids on the one path of finite weight through the lattice of a stretch, marks written out.
+
+        Each position is reached by one path at most, so a position that leads nowhere is left for good."""
+        p, n = self.pieces, len(written)
+        own, pair, stands, longest = p.id, p.pair, p.stands, p.longest
+        out: list[str] = []
+        dead: set[int] = set()
+        at, last, end = 0, "", min(n, longest)
+        while at < n:
+            while end > at:
+                piece = written[at:end]
+                if piece in own and end not in dead and (stands(last, piece) if (known := pair.get((last, piece))) is None else known):
+                    break
+                end -= 1
             else:
-                out.extend(self.pieces.byte_id[b] for b in reversed(written[before].encode("utf-8", "surrogatepass")))
-            at, last = before, previous
-        return out[::-1]
+                if written[at] in own:  # no arc is left here: turn back
+                    dead.add(at)
+                    end = at - 1
+                    piece = out.pop()
+                    at -= len(piece)
+                    last = out[-1] if out and out[-1] in own else ""
+                    continue
+                piece, end = written[at].encode("utf-8", "surrogatepass"), at + 1
+            out.append(piece)
+            at, last = end, "" if type(piece) is bytes else piece
+            end = min(n, at + longest)
+        return self.ids(out)
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -81,13 +222,8 @@ class Transducer:
 
     def decode(self, ids) -> str:
         """The inverse machine: pieces to characters, byte runs to UTF-8, marks to spaces, the mark in front gone."""
-        names, byte_of = self.pieces.names, self.text_of_byte
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([names[i] for i in ids])
-        else:
-            raw = b"".join([bytes((byte_of[i],)) if i in byte_of else names[i].encode() for i in ids])
-            text = raw.decode("utf-8", "replace")
-        return text.replace(SPACE, " ")[1 if text[:1] == SPACE else 0 :]
+        text = b"".join(self.raw[np.asarray(ids, dtype=np.int64)].tolist()).decode("utf-8", "replace")
+        return text[1:] if text[:1] == " " else text
 
 
 _machines: dict[str, Transducer] = {}
@@ -95,7 +231,7 @@ _machines: dict[str, Transducer] = {}
 
 def machine(path: str) -> Transducer:
     if path not in _machines:
-        _machines[path] = Transducer(load(path))
+        _machines[path] = Transducer(load(path), *specification(path))
     return _machines[path]
 
 
@@ -115,7 +251,7 @@ def with_pieces(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
             packed = [m.encode_packed(t) for t in texts]
-            right = [m.decode(np.frombuffer(p, dtype="<u4").tolist()) == t.replace(SPACE, " ") for p, t in zip(packed, texts, strict=True)]
+            right = [m.decode(np.frombuffer(p, dtype="<u4")) == t.replace(SPACE, " ") for p, t in zip(packed, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(right, pa.bool_())],
                 names=[*batch.schema.names, "token_ids", "n_tokens", "round_trip"],
@@ -131,7 +267,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         m = machine(model_path)
         for batch in batches:
-            back = [None if p is None else m.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in batch.column(1).to_pylist()]
+            back = [None if p is None else m.decode(np.frombuffer(p, dtype="<u4")) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
@@ -149,7 +285,7 @@ def encoding_digest(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             packed = [m.encode_packed(t) for t in texts]
-            back = [m.decode(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
+            back = [m.decode(np.frombuffer(p, dtype="<u4")) for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

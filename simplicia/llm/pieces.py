@@ -94,6 +94,40 @@ class Pieces:
         return unit if unit[0] in (SPACE, "\n") else SPACE + unit
 
 
+def _number(raw: bytes, at: int) -> tuple[int, int]:
+    """A variable-length whole number and where it ends."""
+    out = shift = 0
+    while True:
+        out |= (raw[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if raw[at - 1] < 128:
+            return out, at
+
+
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol buffer message; values are bytes or whole numbers."""
+    at = 0
+    while at < len(raw):
+        key, at = _number(raw, at)
+        if key & 7 == 0:
+            value, at = _number(raw, at)
+        else:
+            size, at = _number(raw, at) if key & 7 == 2 else (4 if key & 7 == 5 else 8, at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def specification(path: str) -> tuple[bool, bool]:
+    """Of a model file's normaliser: whether a mark goes in front of a text, and whether spaces become marks.
+
+    Field numbers are the file format's. Models that also map characters or drop spaces are refused."""
+    with open(path, "rb") as file:
+        told = dict(_fields(dict(_fields(file.read())).get(3, b"")))
+    if told.get(2) or told.get(4, 1):
+        raise ValueError("the model's normaliser maps characters or drops spaces")
+    return bool(told.get(3, 1)), bool(told.get(5, 1))
+
+
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
     return Pieces(path)

@@ -1,7 +1,8 @@
 """Quality classifier: a sparse ensemble of rules.
 
 Statistics of a text feed shallow trees; every path from a root is a conjunction of conditions, a rule. A lasso
-logistic model weighs the rules, and those of non-zero weight are compiled into one Spark column expression.
+logistic model weighs the rules, and those of non-zero weight are compiled into one Spark column expression. The
+model is fitted in one task on a bounded sample and comes back as one row; no rows go to the driver.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from simplicia.llm.common import fold, text_rows, workers
+from simplicia.llm.common import fold, free_name, text_rows, workers
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -24,11 +25,10 @@ TREES, DEPTH, LEAF = 40, 3, 20
 #: Rows that each tree is grown on, at most: drawn from the fitted ones with replacement. The lasso sees all of those.
 TREE_ROWS = 4000
 #: Lasso penalty. It chooses from all distinct rules, TREES * (2 ** (DEPTH + 1) - 2) at most.
-PENALTY = 1e-3
+PENALTY = 4e-3
 STATISTICS = (
     "chars", "words", "word_length", "symbols", "capitals", "digits", "stops", "letters", "distinct_words", "top_word", "distinct_lines", "words_a_line", "bars", "longest_word", "marked_words",
 )
-_PREFIX = "__quality_"
 _SYMBOLS, _STOPS, _DIGITS = b"#$%&*+<=>@^_`~{}[]\\|", b".,;:!?'\"()-", b"0123456789"
 _CAPITALS = bytes(range(65, 91))
 _LETTERS = _CAPITALS + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -51,19 +51,20 @@ def statistics(text: str) -> tuple[float, ...]:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with a double column for each statistic, names prefixed; all else passes through."""
+def with_statistics(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an array of the statistics behind its own columns, and that column's name, which no other has."""
     workers(docs.sparkSession)
-    at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, *(StructField(_PREFIX + name, DoubleType()) for name in STATISTICS)])
+    at, name = docs.columns.index("text"), free_name("quality_statistics", docs.columns)
+    schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType(), False), False)])
 
     def run(batches):
         for batch in batches:
             rows = [statistics(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
-            cells = np.array(rows, dtype=np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, j]) for j in range(len(STATISTICS)))], names=[*batch.schema.names, *(_PREFIX + n for n in STATISTICS)])
+            flat = pa.array(np.array(rows, dtype=np.float64).ravel())
+            ends = pa.array(np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, flat)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema), name
 
 
 #: A condition: statistic's number, whether it is above (else at most) a value, and that value.
@@ -75,16 +76,14 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[float, tuple[Condition, ...]], ...]
 
-    def column(self) -> Column:
-        """The score as an expression over the statistics' columns."""
-        total = F.lit(self.bias)
-        for weight, conditions in self.rules:
-            test = F.lit(True)
-            for j, above, value in conditions:
-                x = F.col(_PREFIX + STATISTICS[j])
-                test = test & ((x > value) if above else (x <= value))
-            total = total + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+    def column(self, name: str) -> Column:
+        """The score as one expression over the array column of statistics; sums are nested in a balanced way, so the tree stays flat."""
+        at = f"`{name}`"
+        terms = [f"CASE WHEN {' AND '.join(f'{at}[{j}] {('>' if above else '<=')} {value!r}D' for j, above, value in c)} THEN {w!r}D ELSE 0D END" for w, c in self.rules]
+        terms.insert(0, f"{self.bias!r}D")
+        while len(terms) > 1:
+            terms = ["(" + " + ".join(terms[i : i + 8]) + ")" for i in range(0, len(terms), 8)]
+        return F.expr(f"1D / (1D + exp(-{terms[0]}))")
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The same in numpy, for rows of statistics."""
@@ -96,6 +95,11 @@ class RuleModel:
     def to_json(self) -> str:
         return json.dumps({"bias": self.bias, "rules": self.rules})
 
+    @staticmethod
+    def from_json(text: str) -> RuleModel:
+        told = json.loads(text)
+        return RuleModel(told["bias"], tuple((w, tuple((j, above, value) for j, above, value in c)) for w, c in told["rules"]))
+
 
 def holds(x: np.ndarray, conditions) -> np.ndarray:
     out = np.ones(len(x), dtype=bool)
@@ -169,16 +173,30 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7, tree_rows: int = TREE
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, sample: int = SAMPLE) -> RuleModel:
-    """Fit on at most ``sample`` labelled rows whose crc32(doc_id as text) mod ``parts`` isn't ``held``.
+    """Fit on at most ``sample`` labelled documents whose crc32(doc_id as text) mod ``parts`` isn't ``held``.
 
-    Rows without doc_id or label are no examples; repeated labels of a document are averaged and a tie is left out."""
+    Rows without doc_id or label are no examples; repeated labels of a document are averaged and a tie is left out. Where
+    rows share a doc_id, the one of the least statistics is the example. Empty tables: a constant score."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).dropna().where(fold("doc_id", parts) != held)
     marked = marked.groupBy("doc_id").agg(F.avg("quality").alias("quality")).where("quality <> 0.5")
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    rows = with_statistics(text_rows(docs).join(F.broadcast(chosen), "doc_id")).drop("text", "doc_id").limit(2 * sample).collect()
-    cells = np.array([tuple(r) for r in rows], dtype=np.float64).reshape(-1, 1 + len(STATISTICS))
-    cells = cells[np.lexsort(cells.T[::-1])]
-    return fit_rules(cells[:, 1:], (cells[:, 0] > 0.5).astype(np.float64))
+    rows, name = with_statistics(text_rows(docs).join(F.broadcast(chosen), "doc_id"))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(name, "quality")).alias("s")).select("doc_id", F.col(f"s.{name}").alias("x"), "s.quality")
+
+    def fit(batches):
+        ids, x, y = [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            x += batch.column(1).to_pylist()
+            y += batch.column(2).to_pylist()
+        order = np.argsort(np.array(ids, dtype=np.int64))
+        cells = np.array(x, dtype=np.float64).reshape(-1, len(STATISTICS))[order]
+        model = fit_rules(cells, (np.array(y, dtype=np.float64) > 0.5).astype(np.float64)[order])
+        yield pa.RecordBatch.from_arrays([pa.array([model.to_json()])], names=["model"])
+
+    # one task on at most ``sample`` rows of figures
+    told = rows.repartition(1).mapInArrow(fit, "model string").first()
+    return RuleModel.from_json(told.model) if told else fit_rules(np.empty((0, len(STATISTICS))), np.empty(0))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -186,10 +204,15 @@ def score_quality(docs: DataFrame, model: RuleModel, parts: int = 5, held: int =
 
     Null text: empty, scored as such. Null doc_id: kept, not held out. Repeated rows: each on its own. Empty table: no
     rows. Other columns, among them labels, lang and source, are no inputs."""
-    scored = with_statistics(text_rows(docs)).select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), model.column().alias("score"))
+    rows, name = with_statistics(text_rows(docs))
+    scored = rows.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), model.column(name).alias("score"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score reaches ``threshold``; nothing is shuffled."""
-    return with_statistics(docs).where(model.column() >= threshold).select(*docs.columns)
+    """Rows of ``docs``, all columns, whose score reaches ``threshold``; nothing is shuffled.
+
+    Null text: empty, judged as such. Null doc_id and repeated rows: each on its own. Empty table: no rows. Columns of
+    any name pass through."""
+    rows, name = with_statistics(docs)
+    return rows.where(model.column(name) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = chunk_store.write_store(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
-    return chunk_store.read_store(spark, store).drop("ids")
+    return chunk_store.read_store(spark, store, with_ids=False)
 
 
 def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -85,6 +86,54 @@ def test_chunk_store(spark, docs, empty):
     assert chunk_store.read_store(spark, chunk_store.write_store(empty, WORDS, 2)).count() == 0
 
 
+def test_manifest_finds_lost_changed_and_doubled_rows(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    for name, change in (("lost", lambda t: t.slice(1)), ("doubled", lambda t: pa.concat_tables([t.slice(0, 1), t])), ("changed", lambda t: t.set_column(7, "root", pa.array([bytes(16)] * len(t), pa.binary())))):
+        store = chunk_store.write_store(docs, WORDS, 2, path=f"file://{tmp_path}/{name}")
+        assert chunk_store.broken_parts(spark, store).isEmpty()
+        file = max((tmp_path / name / "packs").glob("*.parquet"), key=lambda f: pq.read_metadata(f).num_rows)
+        table = change(pq.read_table(file))
+        file.with_name(f".{file.name}.crc").unlink()
+        pq.write_table(table, file)
+        with pytest.raises(ValueError, match="manifest"):
+            chunk_store.read_store(spark, store)
+    store = chunk_store.write_store(docs, WORDS, 2, path=f"file://{tmp_path}/bytes")
+    file = max((tmp_path / "bytes/packs").glob("*.parquet"), key=lambda f: pq.read_metadata(f).num_rows)
+    table = pq.read_table(file)
+    own = [x and bytes([x[0] ^ 1]) + x[1:] for x in table["own"].to_pylist()]
+    file.with_name(f".{file.name}.crc").unlink()
+    pq.write_table(table.set_column(5, "own", pa.array(own, pa.binary())), file)
+    with pytest.raises(Exception, match="Merkle root"):
+        chunk_store.read_store(spark, store).count()
+
+
+def test_store_shares_chunks_between_documents(spark):
+    shared = " ".join(f"word{i * 7919 % 5003}" for i in range(5000))
+    rows = [(i, f"lead{i} {shared} tail{i}") for i in (5, 3, 9)]
+    store = chunk_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 2)
+    got = {r.doc_id: r for r in chunk_store.read_store(spark, store).collect()}
+    assert got[3].stored_chunks == got[3].n_chunks > 8 and got[5].stored_chunks < 4 > got[9].stored_chunks
+    enc = chunk_store.encoder(WORDS)
+    for i, text in rows:
+        assert np.frombuffer(got[i].ids, enc.kind).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_tree_and_forgetful_encoder():
+    for n in range(10):
+        level = [bytes([i]) for i in range(n)] or [chunk_store.address(b"")]
+        while len(level) > 1:
+            level = [chunk_store.address(level[i] + level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert chunk_store.merkle([bytes([i]) for i in range(n)]) == level[0]
+    rng, letters = np.random.default_rng(1), list("aeiouthesin\u00c4\u00d6\u00df\u00e9\u00c9\u00ff \u00b5\u00ba \n\t.,#'12\u65e5\U0001f600e\u0301-_<\u0130\u017fK")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 14))) for _ in range(3000)] + ["<|endoftext|> a<|startoftext|>b", "don't we've I'LL", "", "x" * 200]
+    enc = chunk_store.Encoder(WORDS, limit=500)
+    for k in range(0, len(texts), 400):
+        flat, stops = enc(pa.array(texts[k : k + 400]), 2)
+        for text, ids in zip(texts[k : k + 400], np.split(flat, stops[:-1]), strict=True):
+            assert ids.tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_exact_dedup(docs, empty):
     norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
     groups = {}

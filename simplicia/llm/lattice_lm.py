@@ -1,13 +1,14 @@
 """Document likelihood from a lattice of subwords.
 
-A document is its words, each behind a mark, and an end. Arcs of the lattice are vocabulary pieces, UTF-8 bytes where a
-character is no piece, and whole words seen in training; all arcs and the end share one unigram distribution. A
-document's probability sums over all segmentations. No piece crosses a mark, so the sum is a product over words, and
-the forward recursion runs once for each distinct word, many words side by side.
-
-Weights of pieces begin from the existing vocabulary's scores (a BPE score is minus a rank, so 1 / (rank + 2)) and are
-re-estimated by expectation-maximisation on the words that training saw once, which stand for those it never saw. The
-pieces' share of all arcs is the share such words had in training (Good-Turing). Word counts are over all documents.
+A document is its words, each behind a mark, and an end. Arcs of a word's lattice are vocabulary pieces and UTF-8 bytes
+where a character is no piece; an arc that ends the word has a weight of its own. No piece crosses a mark, so a
+document's probability, summed over all segmentations, is a product over words, and the log-space forward recursion runs
+once for each distinct word, many words side by side.
+
+Weights come from the existing vocabulary's scores (a BPE score is minus a rank, so 1 / (rank + 2)), which stay in them
+as PRIOR pseudo-uses, and from the expected uses of each piece in all segmentations of all training words. Words seen in
+training are arcs too: each gives up a discount, whose total is the share of the pieces, so a word's probability is
+(c - discount) / words + share * (sum over segmentations). Word counts are over all documents.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import functools
 import math
 import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -22,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import fold, text_rows, workers, write_table
+from simplicia.llm.common import fold, forget, text_rows, workers, write_table
 from simplicia.llm.pieces import SPACE, load
 
 #: Most frequent words whose figures every worker holds; rarer words meet theirs in a join.
 HEAD_WORDS = 150_000
 #: Rounds of expectation-maximisation.
-ROUNDS = 2
+ROUNDS = 3
+#: Uses of the whole vocabulary, dealt by its scores, that are added to those expected from training words.
+PRIOR = 200.0
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
-#: Least probability of a piece within the pieces' share.
-FLOOR = 1e-9
+#: Words of up to so many characters are summed without logarithms when uses are counted; longer ones could underflow.
+PLAIN = 60
 _LANES = 4096  # words side by side
 _MULT = np.uint64(0x100000001B3)
 
@@ -46,6 +50,7 @@ class Lattice:
         self.rank = np.array([-p.score[n] for n in self.names])
         self.longest = p.longest
         self.size = len(self.names) + 256  # bytes come last
+        self.first = np.array([n.startswith(SPACE) for n in self.names] + [False] * 256)
         hashes = np.array([self._hash(n) for n in self.names], dtype=np.uint64)
         self.bits = np.uint64(20)
         self.keys, self.ids = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
@@ -67,10 +72,17 @@ class Lattice:
     def _slot(self, h):
         return (h * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - self.bits)
 
-    def start(self) -> np.ndarray:
-        """Log weights from the vocabulary's scores alone; bytes share a thousandth."""
+    def prior(self) -> np.ndarray:
+        """Shares of pieces and bytes from the vocabulary's scores alone, as (goes on, ends the word); bytes share a thousandth."""
         w = 1 / (np.minimum(self.rank, len(self.names)) + 2)
-        return np.log(np.concatenate([0.999 * w / w.sum(), np.full(256, 0.001 / 256)]))
+        return np.stack([np.concatenate([0.999 * w / w.sum(), np.full(256, 0.001 / 256)]) / 2] * 2)
+
+    def weights(self, uses: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+        """Log weights (goes on, ends) from expected uses: those with the mark in front share one, all others share one."""
+        q = uses + prior * self.prior()
+        for group in (self.first, ~self.first):
+            q[:, group] /= q[:, group].sum()
+        return np.log(q)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
@@ -88,28 +100,46 @@ class Lattice:
             m = n - length + 1
             h = h[:, :m] * _MULT + codes[:, length - 1 :].astype(np.uint64) + np.uint64(1)
             found = self.find(h)
+            own = logp[0][found]
+            own[:, -1] = logp[1][found[:, -1]]
+            own[found < 0] = -np.inf
             ids.append(found)
-            weights.append(np.where(found >= 0, logp[found], -np.inf))
+            weights.append(own)
         lacks = ids[1] < 0
         spelled = {}
         if lacks.any():
             for code in np.unique(codes[lacks]).tolist():
                 spelled[code] = [len(self.names) + b for b in chr(code).encode("utf-8", "surrogatepass")]
             for code, own in spelled.items():
-                weights[1][lacks & (codes == code)] = logp[own].sum()
+                hit = lacks & (codes == code)
+                before = logp[0][own[:-1]].sum()
+                weights[1][hit] = before + logp[0][own[-1]]
+                weights[1][hit[:, -1], -1] = before + logp[1][own[-1]]
         return codes, ids, weights, spelled
 
     @staticmethod
-    def _forward(weights, rows: int, n: int) -> np.ndarray:
-        a = np.full((rows, n + 1), -np.inf)
-        a[:, 0] = 0
+    def _forward(weights, rows: int, n: int, add=np.logaddexp, times=np.add, zero=-np.inf, one=0.0) -> np.ndarray:
+        """Sums over all segmentations of each beginning, in log space unless told otherwise."""
+        a = np.full((rows, n + 1), zero)
+        a[:, 0] = one
         for j in range(1, n + 1):
-            total = a[:, j - 1] + weights[1][:, j - 1]
+            total = times(a[:, j - 1], weights[1][:, j - 1])
             for length in range(2, min(j, len(weights) - 1) + 1):
-                total = np.logaddexp(total, a[:, j - length] + weights[length][:, j - length])
+                total = add(total, times(a[:, j - length], weights[length][:, j - length]))
             a[:, j] = total
         return a
 
+    @staticmethod
+    def _backward(weights, rows: int, n: int, add=np.logaddexp, times=np.add, zero=-np.inf, one=0.0) -> np.ndarray:
+        b = np.full((rows, n + 1), zero)
+        b[:, n] = one
+        for i in range(n - 1, -1, -1):
+            total = times(b[:, i + 1], weights[1][:, i])
+            for length in range(2, min(n - i, len(weights) - 1) + 1):
+                total = add(total, times(b[:, i + length], weights[length][:, i]))
+            b[:, i] = total
+        return b
+
     def groups(self, words: list[str]):
         """(positions, n) of words of one length, a bounded number at a time."""
         by: dict[int, list[int]] = {}
@@ -128,30 +158,36 @@ class Lattice:
             out[at] = self._forward(weights, len(at), n)[:, n]
         return out
 
-    def expected(self, words: list[str], logp: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over the words."""
-        out = np.zeros(self.size)
+    def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Expected uses (goes on, ends) of each piece over the words, each word as often as counted."""
+        out = np.zeros((2, self.size))
         for at, n in self.groups(words):
             codes, ids, weights, spelled = self._arcs([words[i] for i in at], n, logp)
-            a = self._forward(weights, len(at), n)
-            b = np.full((len(at), n + 1), -np.inf)
-            b[:, n] = 0
-            for i in range(n - 1, -1, -1):
-                total = b[:, i + 1] + weights[1][:, i]
-                for length in range(2, min(n - i, len(weights) - 1) + 1):
-                    total = np.logaddexp(total, b[:, i + length] + weights[length][:, i])
-                b[:, i] = total
-            z = a[:, n : n + 1]
+            if n <= PLAIN:
+                weights = [None, *(np.exp(w) for w in weights[1:])]
+                plain = {"add": np.add, "times": np.multiply, "zero": 0.0, "one": 1.0}
+                a, b = self._forward(weights, len(at), n, **plain), self._backward(weights, len(at), n, **plain)
+                share = lambda length, m: a[:, :m] * weights[length] * b[:, length:] / a[:, n:]  # noqa: B023, E731
+            else:
+                a, b = self._forward(weights, len(at), n), self._backward(weights, len(at), n)
+                share = lambda length, m: np.exp(a[:, :m] + weights[length] + b[:, length:] - a[:, n:])  # noqa: B023, E731
+            times = np.asarray(counts, dtype=float)[at][:, None]
             for length in range(1, len(weights)):
                 m = n - length + 1
-                share = np.exp(a[:, :m] + weights[length] + b[:, length:] - z)
-                known = ids[length] >= 0
-                out += np.bincount(ids[length][known], weights=share[known], minlength=self.size)
-                if length == 1 and spelled:
+                used, found = share(length, m) * times, ids[length]
+                known = found >= 0
+                ends = np.zeros_like(known)
+                ends[:, -1] = True
+                for k, where in enumerate((known & ~ends, known & ends)):
+                    out[k] += np.bincount(found[where], weights=used[where], minlength=self.size)
+                if length == 1:
                     for code, own in spelled.items():
-                        used = share[~known & (codes == code)].sum()
-                        for x in own:
-                            out[x] += used
+                        hit = ~known & (codes == code)
+                        last = used[hit & ends].sum()
+                        for x in own[:-1]:
+                            out[0][x] += used[hit].sum()
+                        out[0][own[-1]] += used[hit].sum() - last
+                        out[1][own[-1]] += last
         return out
 
 
@@ -189,49 +225,53 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
-def _fit(words: DataFrame, path: str, n: int, once: int) -> np.ndarray:
-    """Natural log weights of pieces and bytes, already within their share of all arcs."""
+def _fit(words: DataFrame, path: str) -> np.ndarray:
+    """Log weights of pieces and bytes after ROUNDS of expectation-maximisation over all training words."""
     spark, lat = words.sparkSession, lattice(path)
-    logp, used = lat.start(), 2.0
-    sample = words.where("c = 1" if once else "c > 0").select("word")
+    logp = lat.weights(np.zeros((2, lat.size)))
+    sample = words.where("c > 0").select("word", "c")
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(logp)
 
         def expect(batches, sent=sent):
             own = lattice(path)
-            total = np.zeros(own.size)
-            seen = 0
+            total = np.zeros((2, own.size))
             for batch in batches:
-                texts = [SPACE + w.decode() for w in batch.column(0).to_pylist()]
-                seen += len(texts)
-                total += own.expected(texts, sent.value)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([float(seen), *total[at].tolist()])], names=["piece", "uses"])
-
-        uses = np.zeros(lat.size)
-        seen = 0.0
-        for piece, x in sample.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses")).collect():  # at most one row a piece
-            if piece < 0:
-                seen = x
-            else:
-                uses[piece] = x
-        if not seen:
+                total += own.expected([SPACE + w.decode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), sent.value)
+            flat = total.ravel()
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["piece", "uses"])
+
+        found = sample.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()  # two rows a piece at most
+        uses = np.zeros(2 * lat.size)
+        uses[found["piece"].to_numpy()] = found["uses"].to_numpy()
+        logp = lat.weights(uses.reshape(2, -1))
+        sent.unpersist()
+    return logp
+
+
+def _frequent(words: DataFrame, head: int) -> pa.Table:
+    """The most frequent words, ``head`` at most: all whose total reaches a bound that a histogram of totals gives."""
+    band = F.floor(F.log2("total") * 8).cast("int")
+    least, n = None, 0
+    for r in sorted(words.groupBy(band.alias("band")).count().collect(), key=lambda r: -r.band):  # eight rows a power of two
+        n += r["count"]
+        if n > head:
             break
-        used = uses.sum() / seen
-        q = uses / uses.sum() + FLOOR
-        logp = np.log(q / q.sum())
-    once = max(once, 1)
-    share = once * used / (max(n - once, 0) + once * used)
-    return logp + math.log(share)
+        least = r.band
+    return words.where(band >= least if least is not None else F.lit(False)).select("word", "c", "logp", "pieces").toArrow()
+
+
+_head: dict[str, dict] = {}  # the worker's frequent words, under the name of their run
 
 
 def score_documents(docs: DataFrame, model_path: str, parts: int = 7, held: int = 2, head: int = HEAD_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every whole text.
 
     Trained on rows whose crc32(doc_id as text) mod ``parts`` isn't ``held``. base_score: add-one word unigram; score:
-    log10 of the lattice's marginal probability. Null text: empty, only its end. Null doc_id: a training row.
-    Repeated rows: each counted and scored. Empty table: no rows. No training rows: pieces keep the vocabulary's weights
-    and take all mass but the end's. Other columns are ignored.
+    log10 probability with pieces and words as arcs; lattice_score: with pieces alone. Null text: empty, only its end.
+    Null doc_id: a training row. Repeated rows: each counted and scored. Empty table: no rows. No training rows: pieces
+    keep the vocabulary's weights and words have no arcs. Other columns are ignored.
 
     Two passes over the text. Frequent words (at most ``head``) are scored where they stand; the others go to their
     word's row once for each document, summed up front."""
@@ -239,34 +279,44 @@ def score_documents(docs: DataFrame, model_path: str, parts: int = 7, held: int
     rows = text_rows(docs).withColumn("held_out", F.coalesce(fold("doc_id", parts) == held, F.lit(False)))
     counts = write_table(word_counts(rows), "word-counts")
     n_docs = rows.where("not held_out").count()
-    n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    n, v = n + n_docs, v + (n_docs > 0)
-    logp = spark.sparkContext.broadcast(_fit(counts, model_path, n, once))
-    share = float(np.exp(logp.value).sum())
-    whole, base_all = max(0.0, 1 - share), math.log10(n + v + 1)
-    end = (math.log10(whole * n_docs / n) if n_docs and whole else -math.log10(n + v + 1), math.log10(n_docs + 1))
+    is_count = lambda k: F.count(F.when(F.col("c") == k, 1))
+    n_words, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), is_count(1), is_count(2)).first()
+    n, v = n_words + n_docs, distinct + (n_docs > 0)
+    sent = spark.sparkContext.broadcast(_fit(counts, model_path))
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    share = discount * distinct / n_words if n_words else 1.0
+    end = (n_docs + 1) / (n + 2)
+    log_word, log_end, base_all = math.log10(1 - end), math.log10(end), math.log10(n + v + 1)
 
     def weigh(batches):
         lat = lattice(model_path)
         for batch in batches:
             words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            by_pieces = lat.log_likelihood([SPACE + w.decode() for w in words], logp.value)
+            by_pieces = lat.log_likelihood([SPACE + w.decode() for w in words], sent.value)
             with np.errstate(divide="ignore"):
-                by_word = np.log(whole * c / max(n, 1)) if whole else np.full(len(words), -np.inf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.logaddexp(by_pieces, by_word) / math.log(10))], names=["word", "c", "total", "logp"])
-
-    weighed = write_table(counts.mapInArrow(weigh, "word binary, c long, total long, logp double"), "word-weights")
-    top = weighed.orderBy(F.desc("total"), "word").limit(head).collect()  # at most ``head`` rows
-    known = spark.sparkContext.broadcast({bytes(r.word): (math.log10(r.c + 1), r.logp, r.c > 0) for r in top})
-    del top
+                by_word = np.log(np.maximum(c - discount, 0) / max(n_words, 1))
+            both = np.logaddexp(by_pieces + math.log(share), by_word)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both / math.log(10) + log_word), pa.array(by_pieces / math.log(10) + log_word)], names=["word", "c", "total", "logp", "pieces"])
+
+    weighed = write_table(counts.mapInArrow(weigh, "word binary, c long, total long, logp double, pieces double"), "word-weights")
+    forget(counts)
+    name, known = uuid.uuid4().hex, spark.sparkContext.broadcast(_frequent(weighed, head))
+
+    def frequent_words() -> dict:
+        if name not in _head:
+            _head.clear()
+            t = known.value
+            c = t["c"].to_numpy()
+            _head[name] = dict(zip(t["word"].to_pylist(), zip(np.log10(c + 1).tolist(), t["logp"].to_pylist(), t["pieces"].to_pylist(), (c > 0).tolist(), strict=True), strict=True))
+        return _head[name]
 
     def score(batches):
-        frequent = known.value
+        frequent = frequent_words()
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 tokens = _tokens(text)
-                n_known, base, total, tail, times = 0, end[1], end[0], [], []
+                n_known, base, total, pieces, tail, times = 0, math.log10(n_docs + 1), log_end, log_end, [], []
                 for w, k in Counter(tokens).items():
                     found = frequent.get(w)
                     if found is None:
@@ -275,22 +325,26 @@ def score_documents(docs: DataFrame, model_path: str, parts: int = 7, held: int
                     else:
                         base += k * found[0]
                         total += k * found[1]
-                        if found[2]:
+                        pieces += k * found[2]
+                        if found[3]:
                             n_known += k
-                for x, y in zip(out, (int.from_bytes(os.urandom(8), "little", signed=True), len(tokens) + 1, n_known + (n_docs > 0), base, total, list(map(lambda w, k: {"word": w, "k": k}, tail, times))), strict=True):
+                row = int.from_bytes(os.urandom(8), "little", signed=True)
+                for x, y in zip(out, (row, len(tokens) + 1, n_known + (n_docs > 0), base, total, pieces, [{"word": w, "k": k} for w, k in zip(tail, times, strict=True)]), strict=True):
                     x.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "total", "tail"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "total", "pieces", "tail"])
 
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, total double, tail array<struct<word:binary,k:long>>")
+    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, total double, pieces double, tail array<struct<word:binary,k:long>>")
     scored = write_table(scored, "scored")  # the random row numbers are fixed from here on
-    rare = scored.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "row", F.inline("tail")).join(weighed.select("word", "c", "logp"), "word")
+    rare = scored.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "row", F.inline("tail")).join(weighed.select("word", "c", "logp", F.col("pieces").alias("piece")), "word")
     rare = rare.groupBy("key", "row").agg(
-        F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_base"), F.sum(F.col("k") * F.col("logp")).alias("rare_total"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known")
-    )
+        F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("rare_base"), F.sum(F.col("k") * F.col("logp")).alias("rare_total"), F.sum(F.col("k") * F.col("piece")).alias("rare_pieces"),
+        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("rare_known"),
+    )
     both = scored.drop("tail").withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(rare, ["key", "row"], "left")
     zero = F.lit(0.0)
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", zero) - F.col("n_tokens") * F.lit(base_all)).alias("base_score"), (F.col("total") + F.coalesce("rare_total", zero)).alias("score"),
+        (F.col("pieces") + F.coalesce("rare_pieces", zero)).alias("lattice_score"),
     )

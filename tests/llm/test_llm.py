@@ -148,13 +148,31 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
-def test_runs_of_partitions_meet_in_pairs(spark, monkeypatch):
-    rows = spark.range(0, 60, numPartitions=6).selectExpr("id as doc_id", "cast(id % 10 as string) as text_sha256", "1L as n_bytes", "1L as `check`")
+def test_sorted_runs_meet_in_pairs(spark, monkeypatch):
+    keys = {i: hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)}
+    made = spark.createDataFrame([(i, keys[i % 10] if i < 60 else keys[i % 40], 1, 1) for i in range(120)] + [(None, keys[3], 1, 1)] * 2, "doc_id long, text_sha256 string, n_bytes long, `check` long").repartition(6)
+    made = exact_dedup.write_table(made, "test-digests")  # its files are its partitions
     seen, write = [], exact_dedup.write_table
-    monkeypatch.setattr(exact_dedup, "write_table", lambda df, name: seen.append({r.run for r in df.select("run").distinct().collect()}) or write(df, name))
-    merged = {(int(r.text_sha256), r.keep_id, r.group_size) for r in exact_dedup.merge_runs(rows).collect()}
-    assert merged == {(i, i, 6) for i in range(10)}
-    assert seen == [set(range(6)), {0, 1, 2}, {0, 1}]
+
+    def spy(df, name):
+        table = write(df, name)
+        seen.append(table.collect())
+        return table
+
+    monkeypatch.setattr(exact_dedup, "write_table", spy)
+    merged = {r.text_sha256: (r.keep_id, r.group_size) for r in exact_dedup.merge_runs(made, slice_rows=8).collect()}
+    expected = {}
+    for r in made.collect():
+        least, n = expected.get(r.text_sha256, (None, 0))
+        expected[r.text_sha256] = (min((x for x in (least, r.doc_id) if x is not None), default=None), n + 1)
+    assert merged == expected and len(merged) == 40
+    runs, slices = [{r.run for r in rows} for rows in seen], [{r.slice for r in rows} for rows in seen]
+    n = len(runs[0])
+    assert [len(x) for x in runs] == [n, *(-(-n // 2**k) for k in range(1, len(runs)))] and runs[-1] == {0} and max(slices[-1]) > 3
+    for rows in seen:  # every slice is in order and holds a digest once
+        for r in rows:
+            digests = [e.text_sha256 for e in r.entries]
+            assert digests == sorted(set(digests))
 
 
 def test_near_dedup(spark, docs, empty):
@@ -199,35 +217,65 @@ def test_decontamination(spark, docs, empty):
     assert {(r.doc_id, r.start) for r in decontaminate.proximity_matches(docs, phrase, 4).collect()} == {(6, 8), (8, 8)}
 
 
-def test_lattice(spark, docs, empty):
-    lat = lattice_lm.lattice(PIECES)
-    logp = lat.start()
-    names = {n: i for i, n in enumerate(lat.names)}
+def _brute_word(lat, names, logp, w):
+    """Sum over all segmentations of a word with its mark, arc by arc."""
 
-    def brute(w):
-        if not w:
+    def rest(at):
+        if at == len(w):
             return 1.0
         total = 0.0
-        for j in range(1, min(len(w), 16) + 1):
-            if w[:j] in names:
-                total += math.exp(logp[names[w[:j]]]) * brute(w[j:])
-            elif j == 1:
-                total += math.exp(sum(logp[len(lat.names) + b] for b in w[0].encode())) * brute(w[1:])
+        for j in range(at + 1, len(w) + 1):
+            last = int(j == len(w))
+            if w[at:j] in names:
+                total += math.exp(logp[last][names[w[at:j]]]) * rest(j)
+            elif j == at + 1:
+                own = [len(lat.names) + b for b in w[at].encode()]
+                total += math.exp(logp[0][own[:-1]].sum() + logp[last][own[-1]]) * rest(j)
         return total
 
-    words = ["▁then", "▁ñmí", "▁\U0001f600x"]
-    assert lat.log_likelihood(words, logp) == pytest.approx([math.log(brute(w)) for w in words])
-    rows = {r.doc_id: r for r in lattice_lm.score_documents(docs, PIECES, head=3).collect()}
+    return rest(0)
+
+
+def test_lattice(spark, docs, empty):
+    lat = lattice_lm.lattice(PIECES)
+    names = {n: i for i, n in enumerate(lat.names)}
+    start = lat.weights(np.zeros((2, lat.size)))
+    assert [np.exp(start[:, g]).sum() for g in (lat.first, ~lat.first)] == pytest.approx([1, 1])
+    words = ["\u2581then", "\u2581\u00f1m\u00ed", "\u2581\U0001f600x", "\u2581", "\u2581" + "ab" * 40]
+    assert lat.log_likelihood(words[:4], start) == pytest.approx([math.log(_brute_word(lat, names, start, w)) for w in words[:4]])
+    by_logs, plain = [], lattice_lm.PLAIN
+    for limit in (0, 1000):
+        lattice_lm.PLAIN = limit
+        by_logs.append(lat.expected(words, np.array([1, 2, 3, 4, 5]), start))
+    lattice_lm.PLAIN = plain
+    assert by_logs[0] == pytest.approx(by_logs[1]) and by_logs[0][1].sum() == pytest.approx(15)  # every word ends once
+
     train = [(i, t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     count = {}
     for _, t in train:
         for w in _words(t):
             count[w] = count.get(w, 0) + 1
-    n, v = sum(count.values()) + len(train), len(count) + 1
-    for i, t in TEXTS:
-        base = sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in _words(t)) + math.log10((len(train) + 1) / (n + v + 1))
-        assert rows[i].base_score == pytest.approx(base) and rows[i].train_tokens == n and rows[i].n_tokens == len(_words(t)) + 1
-        assert rows[i].n_known == 1 + sum(w in count for w in _words(t)) and rows[i].score < 0
+    n_words = sum(count.values())
+    n, v = n_words + len(train), len(count) + 1
+    own, c = list(count), np.array(list(count.values()))
+    logp = start
+    for _ in range(lattice_lm.ROUNDS):
+        logp = lat.weights(lat.expected([lattice_lm.SPACE + w.decode() for w in own], c, logp))
+    once, twice = (c == 1).sum(), (c == 2).sum()
+    d = once / (once + 2 * twice)
+    end = (len(train) + 1) / (n + 2)
+    every = {w for _, t in TEXTS for w in _words(t)}
+    by_lattice = dict(zip(every, np.exp(lat.log_likelihood([lattice_lm.SPACE + w.decode() for w in every], logp)), strict=True))
+    for head in (0, 3, 100_000):
+        rows = {r.doc_id: r for r in lattice_lm.score_documents(docs, PIECES, head=head).collect()}
+        for i, t in TEXTS:
+            words = _words(t)
+            base = sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words) + math.log10((len(train) + 1) / (n + v + 1))
+            assert rows[i].base_score == pytest.approx(base) and rows[i].train_tokens == n and rows[i].n_tokens == len(words) + 1
+            assert rows[i].n_known == 1 + sum(w in count for w in words)
+            assert rows[i].lattice_score == pytest.approx(math.log10(end) + sum(math.log10((1 - end) * by_lattice[w]) for w in words))
+            known = lambda w: max(count.get(w, 0) - d, 0) / n_words + d * len(count) / n_words * by_lattice[w]
+            assert rows[i].score == pytest.approx(math.log10(end) + sum(math.log10((1 - end) * known(w)) for w in words))
     assert lattice_lm.score_documents(empty, PIECES).count() == 0
 
 

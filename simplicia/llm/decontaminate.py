@@ -1,10 +1,10 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-A window is ``size`` consecutive words of a benchmark item (a shorter item is one window). Postings (term, document,
-position) are stored for the two rarest words of every window, where rarity is counted over the whole corpus; each
-posting carries the words around it. A posting moved back by its word's offset in a window is compared with the whole
-window by these words, and proposes a start only if they are equal: that decides. The intersection of a window's lists of
-starts comes after and only confirms, as each list alone has every exact occurrence.
+A window is ``size`` consecutive words of a benchmark item (a shorter item is one window). The index stores postings
+(term, document, position) of the rarest words of every window, where rarity is counted over the whole corpus. A posting
+moved back by its word's place in an item gives a shift, at which the item would lie in the document. Lists are
+intersected by shift: a window is proposed where all its listed words, the rarest first, agree on one. Only proposals
+meet the words of their documents, which decide on the words that have no list.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import ascii_lower, text_rows, without, write_table
+from simplicia.llm.common import BROADCAST_IDS, ascii_lower, forget, text_rows, without, write_table
 
 #: A word after A-Z is lower case (fixed pattern): all but 00-2F, 3A-60 and 7B-7F, written without a negated class,
 #: which Java matches twenty times slower.
 WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
-#: Windows looked up in one pass over the corpus: bounds what is broadcast (terms of at most so many windows).
+#: Windows looked up in one pass over the corpus: bounds what is broadcast (words of at most so many windows).
 BLOCK_WINDOWS = 200_000
-#: Index lists for each window; the words around a posting decide, intersecting the lists only confirms.
+#: Index lists that a window's proposal needs, those of its rarest words.
 LISTS = 2
 
 
@@ -27,11 +27,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, window (array of words), window_id; windows that items share have one id."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).where("size(w) > 0")
-    starts = items.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1))).alias("at"))
-    return starts.select("item_id", F.slice("w", F.col("at"), size).alias("window")).withColumn("window_id", F.sha2(F.array_join("window", " "), 256))
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """item_id, text_id, words of items that have any; equal texts have one id."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words")).where("size(words) > 0")
+    return items.withColumn("text_id", F.sha2(F.array_join("words", " "), 256))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,57 +44,97 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return used.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """Postings of ``terms``: term, doc_id, row, position (from 1), and the up to ``reach`` words before and after it.
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The written index: term, doc_id, row, position (from 1) of every occurrence of ``terms`` (a bounded table)."""
+    tokens = _keyed(docs).select("doc_id", "row", F.posexplode(words(F.col("text"))).alias("p", "term"))
+    return write_table(tokens.join(F.broadcast(terms), "term").select("term", "doc_id", "row", (F.col("p") + 1).alias("position")), "postings")
 
-    Only terms that a test asks for are indexed; all their postings are."""
-    tokens = _keyed(docs).select("doc_id", "row", words(F.col("text")).alias("w")).select("doc_id", "row", "w", F.posexplode("w").alias("p", "term"))
-    near = F.slice("w", F.greatest(F.lit(1), F.col("p") + 1 - reach), F.least(F.col("p"), F.lit(reach)) + 1 + reach)
-    return tokens.join(F.broadcast(terms), "term").select("term", "doc_id", "row", (F.col("p") + 1).alias("position"), near.alias("near"), F.least(F.col("p"), F.lit(reach)).alias("before"))
 
+def occurrences(docs: DataFrame, texts: DataFrame, size: int, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """doc_id, row, text_id, start (from 1), length: every occurrence of every window of ``texts`` (text_id, words).
 
-def phrase_matches(docs: DataFrame, phrases: DataFrame, size: int, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, row, window_id, start (from 1), length: every exact occurrence of every phrase (window_id, window).
-
-    Phrases are taken in blocks of about ``block``, each a pass over the corpus, so that what is broadcast stays bounded."""
-    phrases = phrases.select("window_id", "window").dropDuplicates(["window_id"])
-    n_blocks = max(1, -(-phrases.count() // block))
+    Texts are taken in blocks of about ``block`` windows, each a pass over the corpus, so that what is broadcast stays
+    bounded. Null text: no words. Null doc_id: as any other. Repeated rows: one answer. Empty tables: no rows."""
+    texts = texts.select("text_id", "words").dropDuplicates(["text_id"])
+    n_windows = texts.agg(F.sum(F.greatest(F.lit(1), F.size("words") - size + 1))).first()[0] or 0
+    n_blocks = max(1, -(-n_windows // block))
     found = None
     for k in range(n_blocks):
-        part = phrases.where(F.pmod(F.xxhash64("window_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else phrases
-        one = _match_block(docs, part, size)
+        part = texts.where(F.pmod(F.xxhash64("text_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else texts
+        one = _block_occurrences(docs, part, size)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _match_block(docs: DataFrame, phrases: DataFrame, size: int) -> DataFrame:
-    placed = phrases.select("window_id", "window", F.posexplode("window").alias("offset", "term"))
+def chosen_lists(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """text_id, p (first word, from 0), length, q (place in the text) and term of the LISTS rarest words of every window.
+
+    Windows with a word that the corpus lacks can't occur and are left out."""
+    placed = texts.select("text_id", F.size("words").alias("n_words"), F.posexplode("words").alias("q", "term"))
     counts = write_table(term_counts(docs, placed.select("term").distinct()), "term-counts")
-    # windows with a word that the corpus lacks can't occur
     rated = placed.join(F.broadcast(counts), "term", "left")
-    rank = F.row_number().over(Window.partitionBy("window_id").orderBy("n", "term", "offset"))
-    missing = F.count(F.when(F.col("n").isNull(), 1)).over(Window.partitionBy("window_id"))
-    anchors = rated.withColumn("missing", missing).where("missing = 0").withColumn("rank", rank).where(F.col("rank") <= LISTS)
-    anchors = write_table(anchors.select("window_id", "window", "offset", "term", "rank", F.least(F.size("window"), F.lit(LISTS)).alias("lists")), "anchors")
-    postings = write_table(build_index(docs, anchors.select("term").distinct(), size), "postings")
-
-    at = F.col("position") - F.col("offset")
-    same = F.slice("near", F.col("before") + 1 - F.col("offset"), F.size("window")) == F.col("window")
-    # a posting whose neighbours differ from the window proposes nothing, so few proposals move
-    proposed = postings.join(F.broadcast(anchors), "term").where((F.col("before") >= F.col("offset")) & (at >= 1)).where(same)
-    proposed = proposed.select("doc_id", "row", "window_id", at.alias("start"), F.size("window").alias("length"), "lists", "rank")
-    agreed = proposed.groupBy("doc_id", "row", "window_id", "start", "length", "lists").agg(F.countDistinct("rank").alias("n"))
-    return agreed.where("n = lists").select("doc_id", "row", "window_id", "start", "length")
+    first, last = F.greatest(F.lit(0), F.col("q") - size + 1), F.least(F.col("q"), F.greatest(F.lit(0), F.col("n_words") - size))
+    inside = rated.withColumn("p", F.explode(F.sequence(first, last)))
+    window = Window.partitionBy("text_id", "p")
+    rank = F.row_number().over(window.orderBy("n", "term", "q"))
+    missing = F.count(F.when(F.col("n").isNull(), 1)).over(window)
+    lists = inside.withColumn("missing", missing).where("missing = 0").withColumn("rank", rank).where(F.col("rank") <= LISTS)
+    lists = write_table(lists.select("text_id", "p", F.least(F.col("n_words"), F.lit(size)).alias("length"), "q", "term"), "lists")
+    forget(counts)
+    return lists
+
+
+def intersected(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, row, text_id, shift, windows (array of p, length): windows whose lists all have a posting at one shift.
+
+    A word's place is a bit, modulo 64, so that lists meet in plain aggregates; longer texts may propose more."""
+    bit = F.expr("shiftleft(1L, q % 64)")
+    slots = lists.select("text_id", "q", "term").distinct()
+    wanted = lists.groupBy("text_id", "p", "length").agg(F.bit_or(bit).alias("mask"))
+    wanted = wanted.groupBy("text_id").agg(F.collect_list(F.struct("p", "length", "mask")).alias("windows"), F.min(F.bit_count("mask")).alias("least"))
+    aligned = postings.join(F.broadcast(slots), "term").select("doc_id", "row", "text_id", (F.col("position") - F.col("q")).alias("shift"), bit.alias("bit"))
+    met = aligned.groupBy("doc_id", "row", "text_id", "shift").agg(F.bit_or("bit").alias("got")).join(F.broadcast(wanted), "text_id").where(F.bit_count("got") >= F.col("least"))
+    agreed = F.filter("windows", lambda w: (w["mask"].bitwiseAND(F.col("got")) == w["mask"]) & (F.col("shift") + w["p"] >= 1))
+    return met.withColumn("windows", F.transform(agreed, lambda w: F.struct(w["p"].alias("p"), w["length"].alias("length")))).where("size(windows) > 0").drop("got", "least")
+
+
+def _block_occurrences(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    lists = chosen_lists(docs, texts, size)
+    postings = build_index(docs, lists.select("term").distinct())
+    proposed = write_table(intersected(postings, lists), "proposals")
+    forget(lists, postings)
+
+    # the documents of proposals, and of these the words at the shift
+    ids = proposed.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).distinct()
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    keyed = _keyed(docs)
+    same = keyed["doc_id"].eqNullSafe(F.col("hit_id")) & (keyed["row"] == F.col("hit_row"))
+    asked = keyed.join(F.broadcast(ids) if small else ids, same, "left_semi").dropDuplicates(["doc_id", "row"]).select("doc_id", "row", words(F.col("text")).alias("own"))
+    asked = asked.withColumnsRenamed({"doc_id": "hit_id", "row": "hit_row"})
+    met = proposed.join(asked, proposed["doc_id"].eqNullSafe(asked["hit_id"]) & (proposed["row"] == asked["hit_row"])).join(F.broadcast(texts), "text_id")
+    equal = F.filter("windows", lambda w: F.slice("own", F.col("shift") + w["p"], w["length"]) == F.slice("words", w["p"] + 1, w["length"]))
+    return met.select("doc_id", "row", "text_id", "shift", F.explode(equal).alias("w")).select("doc_id", "row", "text_id", (F.col("shift") + F.col("w.p")).alias("start"), F.col("w.length").alias("length"))
+
+
+def phrase_matches(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, row, window_id, start (from 1), length: every exact occurrence of every whole phrase (window_id, window).
+
+    Edge cases as :func:`occurrences`; phrases without words match nothing."""
+    texts = phrases.where("size(window) > 0").select(F.col("window_id").alias("text_id"), F.col("window").alias("words"))
+    longest = texts.agg(F.max(F.size("words"))).first()[0] or 1
+    return occurrences(docs, texts, longest).withColumnRenamed("text_id", "window_id")
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     """doc_id, row, window_id, start: places from which all distinct words of a phrase lie within ``span`` words, in any order.
 
-    Postings of all the phrases' words are intersected within a sliding range of positions. Words that a third of all
-    text consists of make long lists, so give this rare phrases; :func:`phrase_matches` needs only rare lists."""
-    wanted = phrases.select("window_id", F.array_distinct("window").alias("terms"))
+    From the same kind of index: lists of all the phrases' words meet within a sliding range of positions. Words that a
+    third of all text consists of make long lists, so give this rare phrases; :func:`phrase_matches` needs only rare
+    lists. Null text: no words. Null doc_id: as any other. Repeated rows: one answer. Empty tables, and phrases without
+    words: no rows. Phrases are a bounded table, as their words are broadcast."""
+    wanted = phrases.where("size(window) > 0").select("window_id", F.array_distinct("window").alias("terms"))
     slots = write_table(wanted.select("window_id", F.size("terms").alias("needed"), F.explode("terms").alias("term")), "slots")
-    postings = build_index(docs, slots.select("term").distinct(), 0).dropDuplicates(["doc_id", "row", "position"]).select("term", "doc_id", "row", "position")
+    postings = build_index(docs, slots.select("term").distinct()).dropDuplicates(["doc_id", "row", "position"])
     near = Window.partitionBy("doc_id", "row", "window_id").orderBy("position").rangeBetween(0, span - 1)
     placed = postings.join(F.broadcast(slots), "term")
     return placed.withColumn("met", F.size(F.collect_set("term").over(near))).where("met = needed").select("doc_id", "row", "window_id", F.col("position").alias("start"))
@@ -106,8 +145,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
     Null text: no words. Null doc_id: kept. Repeated rows: each has the answer of its text. Empty tables: no rows, or
     no hits. item_id may repeat (its texts then belong together). Other columns are ignored."""
-    tests = write_table(windows(benchmark, size), "windows")
-    hits = write_table(phrase_matches(docs, tests, size), "matches")
+    tests = write_table(item_texts(benchmark), "item-texts")
+    hits = write_table(occurrences(docs, tests, size), "matches")
 
     # words under the union of all occurrences: each adds what reaches beyond those before it
     spans = hits.groupBy("doc_id", "row", "start").agg(F.max("length").alias("length"))
@@ -115,8 +154,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     earlier = Window.partitionBy("doc_id", "row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max(end).over(earlier), F.lit(0))
     covered = spans.withColumn("new", F.greatest(F.lit(0), end - F.greatest(F.col("start"), reached))).groupBy("doc_id", "row").agg(F.sum("new").alias("n_hit"))
-    items = hits.select("doc_id", "row", "window_id").distinct().join(tests.select("window_id", "item_id").distinct(), "window_id").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = covered.join(items, ["doc_id", "row"]).withColumnsRenamed({"doc_id": "hit_id", "row": "hit_row"})
+    items = hits.select("doc_id", "row", "text_id").distinct().join(F.broadcast(tests.select("text_id", "item_id").distinct()), "text_id").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = covered.withColumnsRenamed({"doc_id": "hit_id", "row": "hit_row"}).join(
+        items.withColumnsRenamed({"doc_id": "item_doc", "row": "item_row"}), F.col("hit_id").eqNullSafe(F.col("item_doc")) & (F.col("hit_row") == F.col("item_row"))
+    )
 
     base = _keyed(docs).select("doc_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     same = base["doc_id"].eqNullSafe(found["hit_id"]) & (base["row"] == found["hit_row"])
@@ -130,6 +171,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Rows of ``docs``, all columns, whose doc_id has no occurrence of a benchmark window. Rows without doc_id stay."""
-    hits = phrase_matches(docs, write_table(windows(benchmark, size), "windows"), size)
+    """Rows of ``docs``, all columns, whose doc_id has no occurrence of a benchmark window. Rows without doc_id stay.
+
+    Null text: no words, stays. Repeated rows: all stay or go. Empty tables: no rows, or all stay. Columns of any name pass through."""
+    hits = occurrences(docs, write_table(item_texts(benchmark), "item-texts"), size)
     return without(docs, write_table(hits.where("doc_id is not null").select("doc_id").distinct(), "contaminated"))

@@ -215,6 +215,46 @@ def test_decontamination(spark, docs, empty):
     assert kept.columns == docs.columns and {1, 2, 6, 8, 13}.isdisjoint({r.doc_id for r in kept.collect()})
     phrase = spark.createDataFrame([("p", ["alpha9", "alpha7"])], "window_id string, window array<string>")
     assert {(r.doc_id, r.start) for r in decontaminate.proximity_matches(docs, phrase, 4).collect()} == {(6, 8), (8, 8)}
+    assert {(r.doc_id, r.start, r.length) for r in decontaminate.phrase_matches(docs, phrase.selectExpr("window_id", "reverse(window) as window").unionByName(spark.createDataFrame([("q", ["one"]), ("r", ["alpha4", "alpha5"])], phrase.schema))).collect()} == {(13, 1, 1), (6, 5, 2), (7, 5, 2), (8, 5, 2)}
+
+
+def test_lists_meet_before_words_are_compared(spark, monkeypatch):
+    """Random texts of few words against brute force; a window is proposed only if its rarest words agree on a shift."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(12)] + ["rare1", "rare2", "rare3"]
+    weights = np.array([1.0] * 12 + [0.08] * 3)
+    make = lambda n: " ".join(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    texts = {i: make(n) for i, n in enumerate([62, 50, 5, 3, 1, 4])}
+    rows = [(d, make(200)) for d in range(40)]
+    rows += [(100 + i, make(9) + " " + " ".join(t.split()[k : k + 30]) + " " + make(9)) for i, t in texts.items() for k in (0, 20, 40)] + [(None, texts[2]), (500, texts[0]), (500, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    proposals, intersected = [], decontaminate.intersected
+
+    def spy(postings, lists):
+        out = decontaminate.write_table(intersected(postings, lists), "spied")
+        terms = {(r.text_id, r.p): sorted((x.q, x.term) for x in lists.where((lists.text_id == r.text_id) & (lists.p == r.p)).collect()) for r in lists.select("text_id", "p").distinct().limit(12).collect()}
+        proposals.extend((r.doc_id, r.text_id, r["shift"], w.p, terms.get((r.text_id, w.p))) for r in out.collect() for w in r.windows)
+        return out
+
+    monkeypatch.setattr(decontaminate, "intersected", spy)
+    got = sorted((r.doc_id or -1, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items, 6).collect())
+    expected = []
+    for d, text in rows:
+        own, hit, seen = text.split(), set(), set()
+        for i, t in texts.items():
+            t = t.split()
+            for p in range(max(1, len(t) - 5)):
+                w = t[p : p + 6]
+                for at in range(len(own) - len(w) + 1):
+                    if own[at : at + len(w)] == w:
+                        hit |= set(range(at, at + len(w)))
+                        seen.add(str(i))
+        expected.append((d or -1, len(hit), sorted(seen)))
+    assert got == sorted(expected) and any(n > 20 for _, n, _ in got)
+    words = {d: t.split() for d, t in rows if d not in (None, 500)}
+    checked = [x for x in proposals if x[0] in words and x[4]]
+    assert checked and all(words[d][shift + q - 1] == term for d, _, shift, _, terms in checked for q, term in terms)
 
 
 def _brute_word(lat, names, logp, w):

@@ -252,7 +252,7 @@ def test_lists_meet_before_words_are_compared(spark, monkeypatch):
                         seen.add(str(i))
         expected.append((d or -1, len(hit), sorted(seen)))
     assert got == sorted(expected) and any(n > 20 for _, n, _ in got)
-    words = {d: t.split() for d, t in rows if d not in (None, 500)}
+    words = {d: t.split() for d, t in rows if d is not None and d < 40}  # other ids name several texts
     checked = [x for x in proposals if x[0] in words and x[4]]
     assert checked and all(words[d][shift + q - 1] == term for d, _, shift, _, terms in checked for q, term in terms)
 

@@ -84,15 +84,18 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def dealt(df: DataFrame, column: str, n: int) -> DataFrame:
-    """``df`` with the rows of number k of ``column`` (0 to n - 1) in a task of their own: each number meets the key that hashes to its task."""
+def dealt(df: DataFrame, column: str, n: int, keep: str | None = None) -> DataFrame:
+    """``df`` with the rows of number k of ``column`` (0 to n - 1) in a task of their own: each number meets the key that hashes to its task.
+
+    The key stays in a column ``keep`` if named: what is grouped by it and more columns needs no further shuffle."""
     keys = df.sparkSession.range(0, 40 * n + 400).select(F.col("id").cast("int").alias("key"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("k"))
     found = dict(keys.groupBy("k").agg(F.min("key")).collect())  # a row a task
     if len(found) < n:
         raise RuntimeError("too few keys")
-    name = free_name("task", df.columns)
+    name = keep or free_name("task", df.columns)
     keyed = df.withColumn(name, F.array(*(F.lit(found[k]) for k in range(n)))[F.col(column)])
-    return keyed.repartition(n, name).drop(name)
+    keyed = keyed.repartition(n, name)
+    return keyed if keep else keyed.drop(name)
 
 
 def fold(column: str, parts: int) -> Column:

@@ -1,10 +1,12 @@
 """Personal data by weak supervision.
 
 Patterns give the base spans (e-mail, ip, card, phone), which always stay. Further candidates, such as quoted secrets,
-digit groups that fail a check and addresses spelled out, are voted on by labelers: shape (regular expressions),
-gazetteer (words around the span) and context (what the span touches). Expectation-maximisation over the counts of all
-vote patterns estimates each labeler's reliability without labels; its posteriors train a logistic span classifier on
-votes and binned span features (length, share of digits, neighbours), whose accepted candidates join the base spans.
+digit groups that fail a check and addresses spelled out, have to be voted in. Labelers vote for, against or abstain:
+shape (regular expressions), gazetteer (lists of words that speak for a kind or for something else), context (what the
+span touches) and check (entropy, checksums, ranges). Expectation-maximisation over the counts of all vote patterns
+estimates each labeler's reliability for every kind, base ones included, without labels; its posteriors train a logistic
+span classifier on votes and binned span features (length, share of digits, neighbours), which accepts or rejects each
+candidate. :func:`labeler_report` shows reliabilities and how many candidates were rejected.
 """
 
 from __future__ import annotations
@@ -38,19 +40,39 @@ _DIGIT_RUNS = re.compile("[0-9]+")
 
 # Candidates of the added kinds.
 _SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]{1,64}+ ?[\[(]? ?dot ?[\])]? ?[A-Za-z]{2,10}+(?![A-Za-z])")
-_HINTS = {
-    "secret": re.compile(r"\b(token|secret|password|passwd|pwd|api[_ -]?key|key|auth|bearer|credential)\b", re.I),
-    "number": re.compile(r"\b(card|visa|account|iban|ssn|passport|tax|phone|tel|call|mobile|fax)\b", re.I),
-    "spelled": re.compile(r"\b(e-?mail|mail|contact|write|reach)\b", re.I),
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9](?:[\x20-]?[0-9])+(?![A-Za-z0-9])")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(]? ?at ?[\])]? ?[A-Za-z0-9-]++ ?[\[(]? ?dot ?[\])]? ?[A-Za-z]{2,}+(?![A-Za-z])")
+
+# Gazetteers: words near a span that speak for its kind, and words that speak for something else.
+_FOR = {
+    "email": "email mail mailto contact write reach address send reply inbox newsletter correo courriel adresse schreiben escribir",
+    "ip": "ip host server address gateway router dns ping login logged connection client subnet network port proxy adresse servidor serveur",
+    "card": "card visa mastercard amex credit debit payment pay paid charge charged bank expires cvv cvc tarjeta karte carte kreditkarte",
+    "phone": "phone tel telephone call mobile cell fax whatsapp sms dial hotline ring telefon telefono handy llamar appeler anrufen",
+    "secret": "token secret password passwd pwd key apikey auth bearer credential credentials access private client session signature jwt oauth login clave schluessel passwort contrasena motdepasse",
+    "number": "card visa mastercard amex credit debit account iban bank ssn social security passport tax licence license insurance patient member phone tel call mobile fax konto ausweis cuenta pasaporte compte passeport steuer",
+    "spelled": "email mail contact write reach address send reply courriel correo adresse schreiben",
 }
+_AGAINST = {
+    "email": "example import decorator annotation",
+    "ip": "version release build chapter section firmware kernel package",
+    "card": "isbn issn barcode serial tracking order invoice timestamp",
+    "phone": "isbn issn version score formula equation",
+    "secret": "sha commit checksum digest hash md5 revision blob tree path file folder url href src image uuid guid etag css class",
+    "number": "order invoice isbn issn ean barcode serial tracking timestamp epoch id item sku part page count total sum price bytes lines version row",
+    "spelled": "meeting look looked looking stood arrived",
+}
+_FOR, _AGAINST = ({k: frozenset(v.split()) for k, v in x.items()} for x in (_FOR, _AGAINST))
+_NAME = re.compile("[a-z0-9]+")
 _ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_KEYLIKE = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|pk-|xox[bp]-|eyJ|AIza)[A-Za-z0-9_/+-]+")
 NEAR = 40  # characters around a span that labelers see
-LABELERS = ("shape", "gazetteer", "context", "entropy")
+LABELERS = ("shape", "gazetteer", "context", "check")
 #: Upper ends of the bins of a candidate's length, and how many bins each of its features has.
 _LENGTHS = (16, 24, 40)
 BINS = (4, 4, 3, 3)
+KINDS = (*BASE, *ADDED)
 
 
 def luhn(digits: str) -> bool:
@@ -98,21 +120,49 @@ def _entropy(s: str) -> float:
     return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s)))
 
 
+def _shape(kind: str, body: str, digits: str) -> int:
+    if kind == "email":
+        end = body.rsplit(".", 1)[-1]
+        return 1 if end.isalpha() and 2 <= len(end) <= 24 else 0
+    if kind == "ip":
+        return 0 if any(len(x) > 1 and x[0] == "0" for x in body.split(".")) else 1
+    if kind == "card":
+        return 1 if len(digits) in (15, 16) and digits[0] in "3456" else 0
+    if kind == "phone":
+        return 1 if len(digits) < len(body) - 1 else 2
+    if kind == "secret":
+        if _KEYLIKE.fullmatch(body) or (_HEX.fullmatch(body) and len(body) in (32, 40, 48, 56, 64, 96, 128)):
+            return 1
+        parts = re.split("[_/+-]", body)
+        wordy = sum(x.isalpha() or x.isdigit() or not x for x in parts)
+        return 0 if len(parts) > 1 and 2 * wordy > len(parts) else 2
+    if kind == "number":
+        groups = re.split("[ -]", body)
+        return 0 if len(groups) == 1 else 1 if len({len(g) for g in groups[:-1]}) == 1 else 2
+    return 1 if "[" in body or "(" in body else 0 if body.count(" at ") and " dot " not in body else 2
+
+
+def _check(kind: str, body: str, digits: str) -> int:
+    if kind == "email":
+        return 0 if ".." in body or body[0] == "." or ".@" in body else 1
+    if kind == "ip":
+        return 0 if body.split(".")[0].strip("0") == "" else 1
+    if kind == "secret":
+        return 1 if _entropy(body.lower()) >= 3.2 else 0
+    if kind == "phone":
+        return 0 if digits[0] == "0" or len(set(digits)) < 3 else 1
+    return 1 if luhn(digits) and len(set(digits)) > 1 else 0 if kind in ("card", "number") else 2
+
+
 def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
-    """Each labeler's vote on a candidate: 1 for, 0 against, 2 abstains."""
+    """Each labeler's vote on a span: 1 for, 0 against, 2 abstains."""
     body, before, after = text[start:end], text[max(0, start - NEAR) : start], text[end : end + NEAR]
     digits = _NOT_DIGIT.sub("", body)
-    if kind == "secret":
-        shape = 1 if _HEX.fullmatch(body) and len(body) in (32, 40, 64) else 0 if body.isalpha() or body.isdigit() or "//" in body else 2
-    elif kind == "number":
-        shape = 1 if len(digits) == 16 or (len(digits) >= 9 and len(digits) < len(body)) else 0 if len(digits) < 9 else 2
-    else:
-        shape = 1 if "[" in body or "(" in body else 0 if body.count(" at ") and " dot " not in body else 2
-    gazetteer = 1 if _HINTS[kind].search(before) or _HINTS[kind].search(after) else 2
-    lines_up = (before[-1:] in ("", " ", "\n", '"', "'", "(")) and (after[:1] in ("", " ", "\n", '"', "'", ")", ".", ","))
-    context = 1 if _ASSIGNED.search(before) or (kind == "number" and lines_up) else 0 if not lines_up else 2
-    entropy = 1 if _entropy(body.lower()) >= (2.0 if kind == "number" else 3.2) else 0
-    return shape, gazetteer, context, entropy
+    near = {*_NAME.findall(before.lower()), *_NAME.findall(after.lower())}
+    gazetteer = 1 if not near.isdisjoint(_FOR[kind]) else 0 if not near.isdisjoint(_AGAINST[kind]) else 2
+    lines_up = before[-1:] in ("", " ", "\n", "\t", '"', "'", "(", "<", "[") and after[:1] in ("", " ", "\n", "\t", '"', "'", ")", ">", "]", ".", ",", ";")
+    context = 1 if _ASSIGNED.search(before) else 0 if not lines_up else 2
+    return _shape(kind, body, digits), gazetteer, context, _check(kind, body, digits)
 
 
 def features(text: str, start: int, end: int) -> tuple[int, ...]:
@@ -124,27 +174,35 @@ def features(text: str, start: int, end: int) -> tuple[int, ...]:
 
 
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Spans of the added kinds that overlap no base span."""
+    """Spans of the added kinds that overlap neither a base span nor one another; of two that overlap, the one that begins first, then the longer, stays."""
     found: list[tuple[str, int, int]] = []
-    has_digit = bool(_ANY_DIGIT.search(text))
-    if has_digit:
+    if _ANY_DIGIT.search(text):
         found += [("secret", *m.span()) for m in _SECRET.finditer(text) if _ANY_DIGIT.search(m.group()) and not m.group().isdigit()]
-        found += [("number", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 9 and 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 19]
+        found += [("number", *m.span()) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 9 and 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 19]
     if " at " in text or "(at)" in text or "[at]" in text:
         if " dot " in text or "(dot)" in text or "[dot]" in text:
             found += [("spelled", *m.span()) for m in _SPELLED.finditer(text)]
-    taken = sorted(s for spans in base.values() for s in spans)
-    out = []
-    for kind, a, b in sorted(found, key=lambda x: x[1:]):
-        if all(b <= s or e <= a for s, e in taken):
+    if not found:
+        return []
+    taken: list[list[int]] = []  # base spans, joined where they overlap, so ordered by their ends too
+    for a, b in sorted(s for spans in base.values() for s in spans):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    out, at, last = [], 0, 0
+    for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2], ADDED.index(x[0]))):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a >= last and (at == len(taken) or b <= taken[at][0]):
             out.append((kind, a, b))
-            taken.append((a, b))
+            last = b
     return out
 
 
 def pattern(kind: str, cast: tuple[int, ...], binned: tuple[int, ...] = (0,) * len(BINS)) -> int:
-    """A number for a kind, its votes and binned features; there are ``len(ADDED) * 3 ** len(LABELERS) * prod(BINS)`` of them."""
-    out = ADDED.index(kind)
+    """A number for a kind, its votes and binned features; there are ``len(KINDS) * 3 ** len(LABELERS) * prod(BINS)`` of them."""
+    out = KINDS.index(kind)
     for v in cast:
         out = out * 3 + v
     for v, bins in zip(binned, BINS, strict=True):
@@ -160,19 +218,21 @@ def unpack(number: int) -> tuple[str, tuple[int, ...], tuple[int, ...]]:
     for _ in LABELERS:
         number, v = divmod(number, 3)
         cast.append(v)
-    return ADDED[number], tuple(reversed(cast)), tuple(reversed(binned))
+    return KINDS[number], tuple(reversed(cast)), tuple(reversed(binned))
 
 
 @dataclass(frozen=True)
 class SpanModel:
     reliability: dict[str, tuple[tuple[float, float], ...]]  # of each kind: P(vote for | real), P(vote for | not) by labeler
-    accepted: dict[int, float]  # pattern of votes and features to the classifier's probability
+    accepted: dict[int, float]  # pattern of votes and features to the classifier's probability, 1 for base kinds
 
 
 def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
-    """Reliabilities by expectation-maximisation and a classifier of votes and features trained on the posteriors, from counts of patterns."""
+    """Reliabilities by expectation-maximisation and a classifier of votes and features trained on the posteriors, from counts of patterns.
+
+    No patterns: an empty model. Ties of votes begin at one half."""
     reliability, accepted = {}, {}
-    for kind in ADDED:
+    for kind in KINDS:
         rows = [(cast, n, p, binned) for p, n in sorted(counts.items()) for own, cast, binned in [unpack(p)] if own == kind]
         if not rows:
             continue
@@ -197,27 +257,47 @@ def fit_spans(counts: dict[int, int], rounds: int = 50) -> SpanModel:
             if np.abs(w).max() > 30:
                 break
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        accepted |= {r[2]: float(q) for r, q in zip(rows, p, strict=True)}
+        accepted |= {r[2]: 1.0 if kind in BASE else float(q) for r, q in zip(rows, p, strict=True)}
     return SpanModel(reliability, accepted)
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind, start, end) and found (candidates with their pattern of votes and features) of each whole text."""
+    """doc_id, base and found (arrays of kind, start, end and the pattern of votes and features) of each whole text."""
     workers(docs.sparkSession)
-    span = [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32())]))
+
+    def told(text: str, kind: str, a: int, b: int) -> dict:
+        return {"kind": kind, "start": a, "end": b, "votes": pattern(kind, votes(text, kind, a, b), features(text, a, b))}
 
     def run(batches):
         for batch in batches:
             base, found = [], []
             for text in batch.column(1).to_pylist():
                 own = base_spans(text)
-                base.append([{"kind": k, "start": a, "end": b} for k in BASE for a, b in own[k]])
-                found.append([{"kind": k, "start": a, "end": b, "votes": pattern(k, votes(text, k, a, b), features(text, a, b))} for k, a, b in candidates(text, own)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, pa.list_(pa.struct(span))), pa.array(found, pa.list_(pa.struct([*span, ("votes", pa.int32())])))], names=["doc_id", "base", "found"]
-            )
+                base.append([told(text, k, a, b) for k in BASE for a, b in own[k]])
+                found.append([told(text, *c) for c in candidates(text, own)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, spans), pa.array(found, spans)], names=["doc_id", "base", "found"])
+
+    kind = "array<struct<kind:string,start:long,end:long,votes:int>>"
+    return text_rows(docs).mapInArrow(run, f"doc_id long, base {kind}, found {kind}")
+
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, base array<struct<kind:string,start:long,end:long>>, found array<struct<kind:string,start:long,end:long,votes:int>>")
+def _counts(rows: DataFrame) -> dict[int, int]:
+    """How often each pattern occurs; there are only so many patterns, whatever the input."""
+    return {r[0]: r[1] for r in rows.select(F.explode(F.concat("base.votes", "found.votes")).alias("votes")).groupBy("votes").count().collect()}
+
+
+def labeler_report(docs: DataFrame, threshold: float = 0.5) -> list[dict]:
+    """For each kind: spans, accepted ones, and each labeler's P(vote for | real) and P(vote for | not), as estimated."""
+    counts = _counts(extract(docs))
+    model = fit_spans(counts)
+    out = []
+    for kind in KINDS:
+        own = {p: n for p, n in counts.items() if unpack(p)[0] == kind}
+        if own:
+            kept = sum(n for p, n in own.items() if model.accepted[p] >= threshold)
+            out.append({"kind": kind, "spans": sum(own.values()), "accepted": kept} | dict(zip(LABELERS, model.reliability[kind], strict=True)))
+    return out
 
 
 def _listed(spans: Column) -> Column:
@@ -228,7 +308,7 @@ def _listed(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added for every row.
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added, n_spans (all), n_rejected for every row.
 
     Offsets are in code points, ends exclusive. Null text: empty, no spans. Null doc_id: kept. Repeated rows: each on
     its own, and counted in the patterns. Empty table: no rows. No candidates: no model, base spans only. Other
@@ -236,15 +316,15 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     One pass over the text; only spans and patterns are kept, and patterns are as many for any input."""
     rows = write_table(extract(docs), "spans")
-    counts = {r[0]: r[1] for r in rows.select(F.explode("found.votes").alias("votes")).groupBy("votes").count().collect()}
-    model = fit_spans(counts)
+    model = fit_spans(_counts(rows))
     taken = sorted(p for p, q in model.accepted.items() if q >= threshold)
     added = F.filter("found", lambda s: s["votes"].isin(taken)) if taken else F.filter("found", lambda s: F.lit(False))
-    plain = F.transform(added, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(
-        "doc_id", *(number(k).alias(f"n_{k}") for k in BASE), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-        _listed(F.concat("base", plain)).alias("spans"), F.size(added).cast("long").alias("n_added"),
+        "doc_id", *(number(k).alias(f"n_{k}") for k in BASE), F.sha2(_listed(plain(F.col("base"))), 256).alias("base_sha256"),
+        _listed(F.concat(plain(F.col("base")), plain(added))).alias("spans"), F.size(added).cast("long").alias("n_added"),
+        (F.size("base") + F.size(added)).cast("long").alias("n_spans"), (F.size("found") - F.size(added)).cast("long").alias("n_rejected"),
     )
 
 

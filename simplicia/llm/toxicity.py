@@ -156,7 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", parts: int =
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(told, pa.int64())], names=["doc_id", "grade", "ids", "values", "told"])
 
     sampled = rows.select("text", "doc_id", "grade").mapInArrow(vectors, "doc_id long, grade int, ids array<int>, values array<double>, told long")
-    got = sorted(sampled.limit(2 * sample).collect(), key=lambda r: (r.doc_id, r.ids))
+    # of rows that share a doc_id the one of the least features is the example, so there are at most ``sample``
+    sampled = sampled.groupBy("doc_id").agg(F.min(F.struct("grade", "ids", "values", "told")).alias("s")).select("doc_id", "s.*")
+    got = sorted(sampled.collect(), key=lambda r: r.doc_id)
     grades = np.array([r.grade for r in got])
     if grades.max() == 1 and len(more := [r.told for r in got if r.grade]):
         grades = np.where((grades == 1) & (np.array([r.told for r in got]) > np.median(more)), 2, grades)

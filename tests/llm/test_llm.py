@@ -324,9 +324,59 @@ def test_personal_data(docs, empty):
     assert rows[12].spans == "email:5:13,ip:39:47,phone:17:34" or rows[12].spans.startswith("email:5:13,ip:39:47,phone:17:34")
     assert all(rows[i].base_sha256 == pii_spans.base_digest(t or "") for i, t in TEXTS)
     assert pii_spans.find_personal_data(empty).count() == 0
-    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    for s in ("a@b.c@d.e", "x@y x@y.z", "a@b.c.@d.e_f@g.h", "@a.b", "..@a.b.c"):
-        assert pii_spans.base_spans(s)["email"] == [m.span() for m in plain.finditer(s)]
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added == (len(r.spans.split(",")) if r.spans else 0) for r in rows.values())
+
+
+def _plain_spans(text):
+    """Base spans by the patterns as they are defined."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def right(kind, found):
+        digits = [int(c) for c in found if c in "0123456789"]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in found.split("."))
+        if kind == "card":
+            doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits[::-1])]
+            return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    return {k: [m.span() for m in re.finditer(p, text) if right(k, m.group())] for k, p in patterns.items()}
+
+
+def test_base_spans_equal_the_patterns():
+    rng = np.random.default_rng(9)
+    for letters in ("ab.@-_%+ 1", "0123456789.-+ ()", "25.0 1+", "4111 -"):
+        for n in rng.integers(0, 60, 800):
+            text = "".join(rng.choice(list(letters), n))
+            assert pii_spans.base_spans(text) == _plain_spans(text), text
+    for text in ("4111 1111 1111 1111", "4111-1111-1111-1112", "x 999.1.1.1 10.0.0.1.7", "+1 (555) 123-4567 +12", "a@b.c@d.e", "..@a.b.c", "\u0664\u0665@x.y 1" * 3):
+        assert pii_spans.base_spans(text) == _plain_spans(text), text
+
+
+def test_candidates_are_rejected_where_votes_are_against(spark):
+    rng = np.random.default_rng(5)
+    secret = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    rows = [(i, f'the token = "{secret()}" is used') for i in range(60)]
+    rows += [(100 + i, f"see {rng.integers(10**15, 10**16)}$$$ for more") for i in range(40)]
+    rows += [(200 + i, f"page some_long_path_name_number_{i}/and_more_of_it here") for i in range(40)]
+    rows = [(i, t) for i, t in rows if not any(_plain_spans(t).values())]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_spans.find_personal_data(table).collect()}
+    assert all(r.n_added == 1 and r.n_rejected == 0 for i, r in got.items() if i < 100)
+    assert all(r.n_added == 0 and r.n_rejected == 1 and not r.spans for i, r in got.items() if i >= 100)
+    report = {r["kind"]: r for r in pii_spans.labeler_report(table)}
+    assert report["number"]["accepted"] == 0 < report["number"]["spans"] and report["secret"]["accepted"] == 60 < report["secret"]["spans"]
+    assert all(p_real > p_not for p_real, p_not in (report["secret"][k] for k in ("shape", "gazetteer", "context")))
+
+
+def test_candidates_of_long_texts_take_linear_time():
+    import time
+
+    text = " ".join(f'a{i}@mail.org token = "{i:040x}"' for i in range(20_000))
+    began = time.process_time()
+    base = pii_spans.base_spans(text)
+    assert len(base["email"]) == 20_000 and len(pii_spans.candidates(text, base)) == 20_000
+    assert time.process_time() - began < 10
 
 
 def test_secrets_of_any_length():

@@ -1,7 +1,9 @@
 """From raw documents to token ids in five stages.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
-Rows without doc_id can't be named by a duplicate or a hit and stay. Empty tables give empty results.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``, under any
+names. Null and empty texts: judged by the quality rules as they are, equal to one another, near to nothing, without
+words or ids. Rows without doc_id can't be named by a duplicate or a hit and stay. Repeated rows: one stays from the second
+stage on. Ties of copies: the smallest doc_id stays. Empty tables give empty results. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -41,13 +43,16 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("benchmark decontamination", contamination), ("sentencepiece", encode)]
 
-#: SQL has neither the trained classifier nor the transducer; tests hold the stages against brute force.
+#: SQL has neither the trained classifier nor the transducer; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = common.write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), "round_trip")

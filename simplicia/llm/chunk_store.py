@@ -33,8 +33,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import dealt, drop_path, shared_folder, text_rows, workers, write_at
+from simplicia.llm.common import dealt, drop_path, gathered, shared_folder, text_rows, workers, write_at
 
+#: Bytes of text that are encoded at once: new words of so many meet the library together.
+GATHER = 12 << 20
 #: Chunk lengths in ids: at least, on average beyond that, at most; ids under the rolling hash.
 LEAST, MEAN, MOST, SPAN = 64, 256, 1024, 16
 _STOPS = ".,!?;:#$%&*"
@@ -271,17 +273,17 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
 
     def encode(batches):
         enc = encoder(tokenizer_path)
-        for batch in batches:
-            out = {"doc_id": batch.column(0), "ids": [], "ends": [], "addresses": []}
-            flat, stops = enc(batch.column(1), end_id)
+        for table in gathered(batches, GATHER):
+            out: dict[str, list] = {"ids": [], "ends": [], "addresses": []}
+            flat, stops = enc(table.column(1).combine_chunks(), end_id)
             for a, b in zip([0, *stops.tolist()], stops.tolist(), strict=False):
                 ends, raw = cuts(flat[a:b]), flat[a:b].tobytes()
                 out["ids"].append(raw)
                 out["ends"].append(ends)
                 out["addresses"].append([address(raw[x * kind.itemsize : y * kind.itemsize]) for x, y in zip([0, *ends], ends, strict=False)])
             yield pa.RecordBatch.from_arrays(
-                [out["doc_id"], pa.array(out["ids"], pa.binary()), pa.array(out["ends"], pa.list_(pa.int32())), pa.array(out["addresses"], pa.list_(pa.binary()))],
-                names=list(out),
+                [table.column(0).combine_chunks(), pa.array(out["ids"], pa.binary()), pa.array(out["ends"], pa.list_(pa.int32())), pa.array(out["addresses"], pa.list_(pa.binary()))],
+                names=["doc_id", *out],
             )
 
     encoded = text_rows(docs).mapInArrow(encode, "doc_id long, ids binary, ends array<int>, addresses array<binary>")

@@ -7,13 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a one-column id table that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 200_000
 #: Records and bytes in one Arrow batch, at most (a batch always holds one record); documents may be long.
-BATCH_ROWS, BATCH_BYTES = 5000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _own_folder: str | None = None
 
 
@@ -79,6 +80,19 @@ def workers(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def gathered(batches, size: int):
+    """Tables of consecutive Arrow batches that hold ``size`` bytes or a little more, for work that gains by larger ones."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, a null text as the empty one; other columns can't clash with what operators add."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -33,12 +33,8 @@ def _same(x: Column, y: Column) -> Column:
     return (x["text_sha256"] == y["text_sha256"]) & (x["n_bytes"] == y["n_bytes"]) & (x["check"] == y["check"])
 
 
-def _merged(runs: Column, fan_in: int) -> Column:
-    """One ordered array of distinct digests from at most ``fan_in`` such arrays.
-
-    Ordered arrays lie end to end, so the sort (Java's, which finds ordered stretches) only merges them. A digest is in
-    each array once at most: the first of equal neighbours takes the others in, and they go."""
-    every = F.sort_array(F.flatten(runs))
+def _met(every: Column, fan_in: int) -> Column:
+    """Distinct digests of an ordered array column that holds each at most ``fan_in`` times: the first of equal neighbours takes the others in, and they go."""
 
     def first(x: Column, i: Column) -> Column:
         keep, size = x["keep_id"], x["group_size"]
@@ -73,7 +69,10 @@ def merge_runs(rows: DataFrame, fan_in: int = 2, slice_rows: int = SLICE) -> Dat
     runs = write_table(runs, "digest-runs")
     while leaves > 1:
         met = runs.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), "slice").agg(F.collect_list("entries").alias("runs"))
-        merged = write_table(met.select("run", "slice", "runs").withColumn("entries", _merged(F.col("runs"), fan_in)).drop("runs"), "digest-runs")
+        # ordered arrays lie end to end, so the sort (Java's, which finds ordered stretches) only merges them; it is done
+        # before neighbours are looked at, else it would be done again for each
+        ordered = met.select("run", "slice", F.explode(F.array(F.sort_array(F.flatten("runs")))).alias("every"))
+        merged = write_table(ordered.select("run", "slice", _met(F.col("every"), fan_in).alias("entries")), "digest-runs")
         forget(runs)
         runs, leaves = merged, -(-leaves // fan_in)
     return runs.select(F.inline("entries"))

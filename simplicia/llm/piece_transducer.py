@@ -175,7 +175,7 @@ class Transducer:
         for b, i in pieces.byte_id.items():
             self.raw[i] = bytes((b,))
         self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=100_000)
-        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=300_000)
+        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=200_000)
 
     def composed(self, text: str):
         """The whole cascade for one input."""

@@ -57,7 +57,39 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 EUCLIDEAN = Distance("euclidean", lambda a, b: F.sqrt(_fold(a, b, lambda x, y: (x - y) * (x - y))), _by_row(lambda d: np.sqrt((d * d).sum(1))))
 MANHATTAN = Distance("manhattan", lambda a, b: _fold(a, b, lambda x, y: F.abs(x - y)), _by_row(lambda d: d.sum(1)))
 CHEBYSHEV = Distance("chebyshev", lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))), _by_row(lambda d: d.max(1)))
-COSINE = Distance("cosine", lambda a, b: 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), _cosine)
+COSINE = Distance("cosine", lambda a, b: _cosine_column(a, b), _cosine)
+
+
+def _centred(x: np.ndarray) -> np.ndarray:
+    return x - x.mean(1, keepdims=True)
+
+
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """Ranks from 0 within each row, the mean rank for equals."""
+    below = (x[:, None, :] < x[:, :, None]).sum(2)
+    same = (x[:, None, :] == x[:, :, None]).sum(2)
+    return below + (same - 1) / 2
+
+
+def _mean_of(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def _minus_mean(a: Column) -> Column:
+    return F.transform(a, lambda x: x - _mean_of(a))
+
+
+def _ranks(a: Column) -> Column:
+    count = lambda test: F.size(F.filter(a, test)).cast("double")
+    return F.transform(a, lambda x: count(lambda y: y < x) + (count(lambda y: y == x) - 1) / 2)
+
+
+def _cosine_column(a: Column, b: Column) -> Column:
+    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+PEARSON = Distance("pearson", lambda a, b: _cosine_column(_minus_mean(a), _minus_mean(b)), lambda x, y: _cosine(_centred(x), _centred(y)))
+SPEARMAN = Distance("spearman", lambda a, b: _cosine_column(_minus_mean(_ranks(a)), _minus_mean(_ranks(b))), lambda x, y: _cosine(_centred(_ranked(x)), _centred(_ranked(y))))
 TANIMOTO = Distance(
     "tanimoto", lambda a, b: 1 - F.coalesce(dot(a, b) / F.nullif(dot(a, a) + dot(b, b) - dot(a, b), F.lit(0.0)), F.lit(1.0)), _tanimoto
 )
@@ -77,7 +109,7 @@ def minkowski(p: float) -> Distance:
 
 lp_norm = minkowski
 DEFAULT = MANHATTAN
-NAMED = {d.name: d for d in (EUCLIDEAN, MANHATTAN, CHEBYSHEV, COSINE, TANIMOTO, JACCARD)}
+NAMED = {d.name: d for d in (EUCLIDEAN, MANHATTAN, CHEBYSHEV, COSINE, PEARSON, SPEARMAN, TANIMOTO, JACCARD)}
 
 
 def distance_matrix(x: np.ndarray, distance: Distance = DEFAULT) -> np.ndarray:

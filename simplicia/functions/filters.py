@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplicia.functions.distances import DEFAULT, Distance
+from simplicia.functions.scalars import dimension
 from simplicia.operators import pairs
 
 
@@ -33,6 +34,10 @@ class Lens:
     def key(self):
         return self
 
+    def graph(self) -> str | None:
+        """Name of the distance whose neighbour graph the lens reads, if it reads one."""
+        return None
+
 
 @dataclass(frozen=True)
 class Meta(Lens):
@@ -128,7 +133,9 @@ class PrincipalComponent(Lens):
 
     def all(self, points: DataFrame) -> DataFrame:
         """index and values, the array of all coordinates; one fit serves every n."""
-        d = len(points.first()["features"])
+        d = dimension(points)
+        if not d:
+            return points.sparkSession.createDataFrame([], "index long, values array<double>")
         k = min(self.k, d)
         vectors = points.select("index", "features", array_to_vector("features").alias("v"))
         loadings = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray()
@@ -152,6 +159,9 @@ class LaplacianEigenVector(Lens):
     def key(self):
         return LaplacianEigenVector(-1, self.k, self.sigma, self.distance)
 
+    def graph(self):
+        return None if self.distance.name == "tanimoto" else self.distance.name
+
     def all(self, points, knn=None):
         from simplicia.operators import laplacian
 
@@ -165,6 +175,28 @@ class LaplacianEigenVector(Lens):
         return self.all(points, knn).select("index", F.col("values")[self.n].alias("value"))
 
 
+@dataclass(frozen=True)
+class Sketched(Lens):
+    """Another lens evaluated on a sketch: points of one signature share the value of their prototype.
+
+    Lenses over all pairs thereby cost what the prototypes cost; ``params`` and ``prototype`` as :func:`lsh.sketch` takes them."""
+
+    lens: Lens
+    params: object
+    prototype: object = "mean"
+
+    def frame(self, points, knn=None):
+        from simplicia.operators import lsh
+        from simplicia.sources.readers import with_index
+        from simplicia.storage import cut_lineage
+
+        sketched = cut_lineage(lsh.sketch(points, self.params, self.prototype))
+        small = with_index(sketched.select("prototype", "features"), "prototype")
+        values = self.lens.frame(small.select(F.col("index").cast("long").alias("index"), "features"), knn)
+        named = values.join(small.select("index", "prototype"), "index").select("prototype", "value")
+        return lsh.lookup(sketched).join(named, "prototype").select("index", "value")
+
+
 @dataclass(frozen=True, eq=False)
 class Custom(Lens):
     """Any DataFrame of index and value."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,8 @@ import numpy as np
 from simplicia.functions.distances import DEFAULT, Distance, distance_matrix
 from simplicia.functions.scale import Selector
 
+#: What clusters the points of a cell: (rows, distance, method) to a dendrogram; :func:`cluster` unless another is given.
+Provider = Callable[[np.ndarray, Distance, str], "Dendrogram"]
 METHODS = ("single", "complete", "upgma", "wpgma", "upgmc", "wpgmc", "ward")
 
 
@@ -131,9 +134,9 @@ def _lance_williams(d: np.ndarray, method: str) -> Dendrogram:
     return Dendrogram(n, merges, heights, diameter)
 
 
-def local_labels(x: np.ndarray, distance: Distance, method: str, scale: Selector) -> np.ndarray:
+def local_labels(x: np.ndarray, distance: Distance, method: str, scale: Selector, provider: Provider = cluster) -> np.ndarray:
     """Labels of one cell at the height that ``scale`` selects; all points together if it fails."""
-    tree = cluster(x, distance, method)
+    tree = provider(x, distance, method)
     try:
         return tree.labels(scale(tree.all_heights()))
     except (ValueError, ArithmeticError):

@@ -8,6 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dimension(points: DataFrame) -> int:
+    """Features of a point, 0 for an empty table."""
+    first = points.select(F.size("features")).first()
+    return first[0] if first else 0
+
+
+def hashed_share(column: Column | str, seed: int = 0) -> Column:
+    """A number in [0, 1) from the MD5 of a seed and a value as text: the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string") if isinstance(column, str) else column.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def prefix_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: two arrays by their first difference; where one begins the other they are equal."""
+    first = F.filter(F.zip_with(a, b, lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)), lambda s: s != 0)
+    return F.coalesce(F.get(F.filter(first, lambda s: s.isNotNull()), F.lit(0)), F.lit(0))
+
+
 def feature(n: int, features: str = "features") -> Column:
     return F.col(features)[n]
 
@@ -64,4 +82,6 @@ def average_by_key(df: DataFrame, key: str, value: str) -> DataFrame:
 def numbered(df: DataFrame, column: str, name: str = "number") -> DataFrame:
     """Dense numbers from 0 for the distinct values of a column, in their order."""
     keys = df.select(column).distinct()
-    return df.join(keys.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long")), column)
+    from simplicia.sources.readers import with_index
+
+    return df.join(with_index(keys, column, name=name), column)

@@ -27,8 +27,30 @@ ANCHORS = {
 }
 
 
-def palette(name: str, n: int) -> list[str]:
-    """n colours of a scheme, interpolated between its anchors."""
+# The public qualitative schemes. Their smaller sizes are their beginnings.
+QUALITATIVE = {
+    "Accent": "#7fc97f #beaed4 #fdc086 #ffff99 #386cb0 #f0027f #bf5b17 #666666",
+    "Dark2": "#1b9e77 #d95f02 #7570b3 #e7298a #66a61e #e6ab02 #a6761d #666666",
+    "Paired": "#a6cee3 #1f78b4 #b2df8a #33a02c #fb9a99 #e31a1c #fdbf6f #ff7f00 #cab2d6 #6a3d9a #ffff99 #b15928",
+    "Pastel1": "#fbb4ae #b3cde3 #ccebc5 #decbe4 #fed9a6 #ffffcc #e5d8bd #fddaec #f2f2f2",
+    "Pastel2": "#b3e2cd #fdcdac #cbd5e8 #f4cae4 #e6f5c9 #fff2ae #f1e2cc #cccccc",
+    "Set1": "#e41a1c #377eb8 #4daf4a #984ea3 #ff7f00 #ffff33 #a65628 #f781bf #999999",
+    "Set2": "#66c2a5 #fc8d62 #8da0cb #e78ac3 #a6d854 #ffd92f #e5c494 #b3b3b3",
+    "Set3": "#8dd3c7 #ffffb3 #bebada #fb8072 #80b1d3 #fdb462 #b3de69 #fccde5 #d9d9d9 #bc80bd #ccebc5 #ffed6f",
+}
+
+
+def palette(name: str, n: int, table: dict[str, dict[int, list[str]]] | None = None) -> list[str]:
+    """n colours of a scheme: of a table if given, a qualitative scheme's first n, or interpolated between a scheme's anchors.
+
+    The printed sequential and diverging schemes differ a little from the interpolation; who needs them passes their table."""
+    if table is not None:
+        return list(table[name][n])
+    if name in QUALITATIVE:
+        colours = QUALITATIVE[name].split()
+        if n > len(colours):
+            raise ValueError(f"{name} has {len(colours)} colours")
+        return colours[:n]
     stops = [[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in ANCHORS[name]]
     out = []
     for k in range(n):

@@ -42,7 +42,7 @@ def bin_numbers(value: Column, low: Column, high: Column, bins: int, overlap: fl
     return F.when(high == low, F.array(F.lit(0))).otherwise(F.sequence(top - extra_bins(overlap), top))
 
 
-def lens_values(points: DataFrame, filters: tuple[Filter, ...], frames: dict | None = None) -> DataFrame:
+def lens_values(points: DataFrame, filters: tuple[Filter, ...], frames: dict | None = None, knn: dict[str, DataFrame] | None = None) -> DataFrame:
     """``points`` with f0, f1, ...: row-local lenses are columns, others join by index."""
     out = points
     for i, f in enumerate(filters):
@@ -51,16 +51,16 @@ def lens_values(points: DataFrame, filters: tuple[Filter, ...], frames: dict | N
             out = out.withColumn(f"f{i}", column)
         else:
             frame = (frames or {}).get(f.lens)
-            frame = f.lens.frame(points) if frame is None else frame
+            frame = f.lens.frame(points, (knn or {}).get(f.lens.graph())) if frame is None else frame
             out = out.join(frame.select("index", F.col("value").alias(f"f{i}")), "index")
     return out
 
 
-def level_sets(points: DataFrame, filters: tuple[Filter, ...], frames: dict | None = None) -> DataFrame:
+def level_sets(points: DataFrame, filters: tuple[Filter, ...], frames: dict | None = None, knn: dict[str, DataFrame] | None = None) -> DataFrame:
     """``points`` once for each cell they are in: level_set (bin numbers) is added. Points without a lens value are in none.
 
     One aggregate gives all ranges; cells come from arithmetic, so no point meets another."""
-    valued = lens_values(points, filters, frames).dropna(subset=[f"f{i}" for i in range(len(filters))])
+    valued = lens_values(points, filters, frames, knn).dropna(subset=[f"f{i}" for i in range(len(filters))])
     bounds = []
     for i, f in enumerate(filters):
         bounds += [F.min(f"f{i}").alias(f"low{i}"), F.max(f"f{i}").alias(f"high{i}")]

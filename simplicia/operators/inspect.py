@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplicia.operators.mapper import memberships
+from simplicia.sources.readers import with_index
 from simplicia.storage import cut_lineage
 
 
 def numbered_clusters(clusters: DataFrame) -> DataFrame:
     """``clusters`` with ``number``: dense from 0, by level set, members and id."""
-    return clusters.withColumn("number", F.row_number().over(Window.orderBy("level_set", "members", "cluster_id")) - 1)
+    return with_index(clusters, "level_set", "members", "cluster_id", name="number")
 
 
 def cluster_points(clusters: DataFrame) -> DataFrame:
@@ -51,11 +52,32 @@ def components(clusters: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def graph_nodes(clusters: DataFrame) -> DataFrame:
+    """id, label, size, x, y of every node: the label is its number, x and y the first and last bin."""
+    at = F.col("level_set")
+    return numbered_clusters(clusters).select(
+        F.col("cluster_id").alias("id"), F.col("number").cast("string").alias("label"), F.col("size").cast("long").alias("size"),
+        at[0].cast("double").alias("x"), F.when(F.size(at) > 1, F.element_at(at, -1)).otherwise(0).cast("double").alias("y"),
+    )
+
+
+def graph_links(edges: DataFrame) -> DataFrame:
+    """id, source, target of every edge."""
+    return edges.select(F.concat_ws("-", "src", "dst").alias("id"), F.col("src").alias("source"), F.col("dst").alias("target"))
+
+
+def dot_lines(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """line, with a node's number or an edge's two: the graph in DOT without its braces, for graphs too large for the driver."""
+    number = numbered_clusters(clusters).select("cluster_id", "number")
+    a, b = (number.select(F.col("cluster_id").alias(end), F.col("number").alias(x)) for end, x in (("src", "a"), ("dst", "b")))
+    lines = edges.select("src", "dst").join(a, "src").join(b, "dst").select(F.format_string("  %d -- %d;", "a", "b").alias("line"))
+    return number.select(F.format_string("  %d;", "number").alias("line")).unionByName(lines)
+
+
 def to_graph_dict(clusters: DataFrame, edges: DataFrame) -> dict:
     """Nodes and edges for a drawing: id, label, size, x, y; id, source, target. Collects the graph, which is what one draws."""
-    nodes = [{"id": r.cluster_id, "label": f"{r.number}", "size": r["size"], "x": float(r.level_set[0]), "y": float(r.level_set[-1] if len(r.level_set) > 1 else 0)} for r in numbered_clusters(clusters).orderBy("number").collect()]
-    links = [{"id": f"{r.src}-{r.dst}", "source": r.src, "target": r.dst} for r in edges.orderBy("src", "dst").collect()]
-    return {"nodes": nodes, "edges": links}
+    nodes = sorted((r.asDict() for r in graph_nodes(clusters).collect()), key=lambda r: int(r["label"]))
+    return {"nodes": nodes, "edges": [r.asDict() for r in graph_links(edges).orderBy("source", "target").collect()]}
 
 
 def to_json(clusters: DataFrame, edges: DataFrame) -> str:
@@ -64,6 +86,6 @@ def to_json(clusters: DataFrame, edges: DataFrame) -> str:
 
 def to_dot(clusters: DataFrame, edges: DataFrame, name: str = "graph") -> str:
     """The graph in DOT."""
-    number = {r.cluster_id: r.number for r in numbered_clusters(clusters).select("cluster_id", "number").collect()}
-    lines = sorted(f"  {number[r.src]} -- {number[r.dst]};" for r in edges.collect())
-    return "\n".join([f"graph {name} {{", *(f"  {n};" for n in sorted(number.values())), *lines, "}"])
+    lines = [r.line for r in dot_lines(clusters, edges).collect()]
+    order = sorted(lines, key=lambda x: ("--" in x, [int(n) for n in x.strip(" ;").split(" -- ")]))
+    return "\n".join([f"graph {name} {{", *order, "}"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.distances import DEFAULT, Distance
+from simplicia.functions.scalars import dimension, hashed_share
 from simplicia.operators import lsh, pairs
 from simplicia.sources.readers import with_index
+from simplicia.storage import cut_lineage
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:
@@ -26,7 +29,7 @@ def exact_knn(points: DataFrame, k: int, distance: Distance = DEFAULT) -> DataFr
 
 def sampled_knn(points: DataFrame, k: int, distance: Distance = DEFAULT, amount: int | None = None, fraction: float = 0.1, seed: int = 0) -> DataFrame:
     """Exact neighbours, among all points, of the first ``amount`` points by index, or of a random share of them."""
-    sample = points.orderBy("index").limit(amount) if amount is not None else points.where(F.pmod(F.xxhash64(F.lit(seed), "index"), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    sample = points.orderBy("index").limit(amount) if amount is not None else points.where(hashed_share("index", seed) < fraction)
     return top_k(pairs.nearest(points, k, distance, of=sample), k)
 
 
@@ -52,21 +55,63 @@ def _closest(ids: np.ndarray, x: np.ndarray, k: int, distance: Distance, rows: i
     return pd.concat(out) if out else pd.DataFrame({"src": [], "dst": [], "distance": []})
 
 
-def fast_knn(points: DataFrame, k: int = 50, distance: Distance = DEFAULT, tables: int = 5, block: int = 100, params: lsh.Params | None = None, seed: int = 0, share: float = 0.0) -> DataFrame:
+@dataclass(frozen=True)
+class Symmetry:
+    """How a graph is made undirected; see :func:`symmetricize`."""
+
+    weighted: bool = True
+    mutual: bool = True
+    halve: bool = False
+
+
+@dataclass(frozen=True)
+class FastParams:
+    """Parameters of the approximate graph. ``jobs`` splits the tables into groups, each written before the next begins."""
+
+    k: int = 50
+    distance: Distance = DEFAULT
+    tables: int = 5
+    block: int = 100
+    jobs: int = 1
+    share: float = 0.0
+    lsh: lsh.Params | None = None
+    symmetry: Symmetry | None = None
+
+    def exact(self) -> tuple[int, Distance]:
+        """What the exact graph of the same neighbours takes."""
+        return self.k, self.distance
+
+
+def fast_graph(points: DataFrame, params: FastParams) -> DataFrame:
+    """The approximate graph of ``params``: groups of tables one after the other, so that fewer copies of the points are under way, then symmetric if asked."""
+    per_job = -(-params.tables // max(1, params.jobs))
+    graph = None
+    for first in range(0, params.tables, per_job):
+        own = params.lsh or lsh.Params(distance=params.distance)
+        one = fast_knn(points, params.k, params.distance, min(per_job, params.tables - first), params.block, own, share=params.share, first=first)
+        one = cut_lineage(one) if params.jobs > 1 else one
+        graph = one if graph is None else combine(graph, one, params.k)
+    s = params.symmetry
+    return graph if s is None else symmetricize(graph, s.weighted, s.mutual, s.halve)
+
+
+def fast_knn(points: DataFrame, k: int = 50, distance: Distance = DEFAULT, tables: int = 5, block: int = 100, params: lsh.Params | None = None, seed: int = 0, share: float = 0.0, first: int = 0) -> DataFrame:
     """Approximate neighbours: in each table points are ordered by a random projection of their LSH signature, cut into blocks, and compared within one.
 
     A block holds ``block`` points or the ``share`` of all, whichever is more: among points without clusters, recall follows
     the share. Range partitions and running numbers place the points, so blocks are the same for any number of partitions,
     no task sees a whole table, and nothing goes to the driver."""
     params = params or lsh.Params(distance=distance, seed=seed)
-    size, n = len(points.first()["features"]), points.count()
+    size, n = dimension(points), points.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], "src long, dst long, distance double, rank int")
     blocks = max(1, n // max(block, math.ceil(share * n)))
     keys = []
-    for t in range(tables):
+    for t in range(first, first + tables):
         functions = lsh.hash_functions(params, size, seed=params.seed * 1009 + t)
         weights = np.random.default_rng(params.seed * 7919 + t).uniform(-1, 1, params.length)
         keys.append(sum((s * F.lit(float(w)) for s, w in zip(functions, weights, strict=True)), F.lit(0.0)))
-    keyed = points.select("index", F.posexplode(F.array(*keys)).alias("table", "key")).persist()
+    keyed = points.select("index", F.posexplode(F.array(*keys)).alias("table", "key"))
     placed = with_index(keyed, "table", "key", "index", name="at")  # every table has n rows
     placed = placed.select("index", "table", F.floor((F.col("at") - F.col("table") * n) * blocks / n).alias("block"))
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+from pyspark.mllib.linalg import SparseVector
+from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.distances import TANIMOTO, Distance
 from simplicia.functions.scalars import gaussian_similarity
 from simplicia.operators import pairs
+from simplicia.sources.readers import with_index
+from simplicia.storage import cut_lineage
 
 #: Columns of an embedding, at most.
 COLUMNS = 10
@@ -40,25 +43,32 @@ def embedding(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
     """index, values: leading left singular vectors of the normalised matrix, rows of unit length, largest entry of a column positive.
 
     A matrix without entries has no rows."""
-    norm = normalised(matrix)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("v", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0))
+    return singular_vectors(normalised(matrix), columns).withColumnRenamed("values", "v").withColumn("length", length).select("index", unit.alias("values"))
+
+
+def singular_vectors(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
+    """index, values: leading left singular vectors of a symmetric matrix (i, j, value), largest entry of a column positive.
+
+    The solver is mllib's: rows are spread, vectors of one number a row are the driver's. An empty matrix has no rows."""
     ids = matrix.select(F.col("i").alias("id")).union(matrix.select("j")).distinct()
-    numbers = ids.withColumn("n", F.row_number().over(Window.orderBy("id")) - 1).persist()
+    numbers = cut_lineage(with_index(ids, "id", name="n"))
     n = numbers.count()
     if not n:
         return matrix.sparkSession.createDataFrame([], "index long, values array<double>")
     k = min(COLUMNS, n)  # fewer make the solver fail now and then
-    placed = norm.join(numbers.select(F.col("id").alias("i"), F.col("n").alias("r")), "i").join(numbers.select(F.col("id").alias("j"), F.col("n").alias("c")), "j").select("r", "c", "value")
-    entries = placed.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2]))  # mllib's distributed SVD takes RDDs only
-    u = CoordinateMatrix(entries, n, n).toIndexedRowMatrix().computeSVD(k, computeU=True).U
-    rows = u.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    frame = matrix.sparkSession.createDataFrame(rows, "n long, u array<double>").persist()
-    width = min(columns, len(frame.first()["u"]))
+    placed = matrix.join(numbers.select(F.col("id").alias("i"), F.col("n").alias("r")), "i").join(numbers.select(F.col("id").alias("j"), F.col("n").alias("c")), "j")
+    lines = placed.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("cells")).select("r", "cells.c", "cells.value")
+    # mllib's distributed SVD takes RDDs only: one object a row of the matrix
+    rows = cut_lineage(lines).rdd.map(lambda r: IndexedRow(r[0], SparseVector(n, r[1], r[2])))
+    u = IndexedRowMatrix(rows, n, n).computeSVD(k, computeU=True).U
+    frame = matrix.sparkSession.createDataFrame(u.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())), "n long, u array<double>").persist()
+    first = frame.first()
+    width = min(columns, len(first["u"])) if first else 0
     tops = frame.agg(*(F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 9), -F.col("n"))) for j in range(width))).first()
-    signs = [s or 1.0 for s in tops]
-    turned = F.array(*(F.col("u")[j] * F.lit(float(signs[j])) for j in range(width)))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform("v", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0))
-    return frame.withColumn("v", turned).withColumn("length", length).join(numbers, "n").select(F.col("id").alias("index"), unit.alias("values"))
+    turned = F.array(*(F.col("u")[j] * F.lit(float(tops[j] or 1.0)) for j in range(width)))
+    return frame.join(numbers, "n").select(F.col("id").alias("index"), turned.alias("values"))
 
 
 def _defined(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplicia.functions.distances import DEFAULT, Distance, distance_matrix
+from simplicia.functions.scalars import dimension, hashed_share
 
 
 @dataclass(frozen=True)
@@ -32,7 +36,7 @@ def hash_functions(params: Params, size: int, seed: int | None = None) -> list[C
     for _ in range(params.length):
         w = rng.standard_cauchy(size) if stable else rng.standard_normal(size)
         shift = float(rng.uniform(0, params.radius))
-        inner = F.aggregate(F.zip_with("features", F.array(*map(F.lit, w.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        inner = F.aggregate(F.zip_with("features", F.array(*map(F.lit, w.tolist())).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         out.append((inner >= 0).cast("double") if name == "cosine" else F.floor((inner + shift) / params.radius).cast("double"))
     return out
 
@@ -41,26 +45,43 @@ def signature(params: Params, size: int) -> Column:
     return F.array(*hash_functions(params, size))
 
 
-def sketch(points: DataFrame, params: Params, prototype: str = "mean", seed: int = 0, group: int = 10) -> DataFrame:
-    """prototype (id), features, members: points of one signature collapse to a random member, their mean, or an approximate median."""
-    size = len(points.first()["features"])
-    keyed = points.select("index", "features", F.xxhash64(signature(params, size)).alias("prototype"))
-    members = F.sort_array(F.collect_list("index")).alias("members")
-    if prototype == "random":
-        return keyed.groupBy("prototype").agg(F.min_by("features", F.struct(F.xxhash64(F.lit(seed), "index"), "index")).alias("features"), members)
-    if prototype == "mean":
-        means = keyed.select("prototype", F.posexplode("features").alias("k", "x")).groupBy("prototype", "k").agg(F.avg("x").alias("x"))
-        means = means.groupBy("prototype").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("features"))
-        return means.join(keyed.groupBy("prototype").agg(members), "prototype")
-    if prototype == "median":
-
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("index")
-            x = np.stack(pdf["features"].to_list())
-            return pd.DataFrame({"prototype": [key[0]], "features": [x[approximate_median(x, group, seed, params.distance)]], "members": [pdf["index"].to_numpy()]})
-
-        return keyed.groupBy("prototype").applyInPandas(run, "prototype long, features array<double>, members array<long>")
-    raise ValueError("prototype is random, mean or median")
+def signature_id(params: Params, size: int) -> Column:
+    """A number of 60 bits for a signature, from the MD5 of its whole numbers."""
+    text = F.array_join(F.transform(signature(params, size), lambda x: x.cast("long").cast("string")), ",")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+#: What makes a prototype: takes rows of index, features and prototype (the signature's id), returns prototype and features.
+Strategy = Callable[[DataFrame], DataFrame]
+
+
+def random_candidate(seed: int = 0) -> Strategy:
+    """A member, the one of the least hash."""
+    return lambda keyed: keyed.groupBy("prototype").agg(F.min_by("features", F.struct(hashed_share("index", seed), "index")).alias("features"))
+
+
+def arithmetic_mean() -> Strategy:
+    return lambda keyed: keyed.groupBy("prototype").agg(Summarizer.mean(array_to_vector("features")).alias("mean")).select("prototype", vector_to_array("mean").alias("features"))
+
+
+def median_candidate(group: int = 10, seed: int = 0, distance: Distance = DEFAULT) -> Strategy:
+    """A member near the median, by :func:`approximate_median`; a signature's points are one task's work."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("index")["features"].to_list())
+        return pd.DataFrame({"prototype": [key[0]], "features": [x[approximate_median(x, group, seed, distance)]]})
+
+    return lambda keyed: keyed.groupBy("prototype").applyInPandas(run, "prototype long, features array<double>")
+
+
+def sketch(points: DataFrame, params: Params, prototype: str | Strategy = "mean", seed: int = 0, group: int = 10) -> DataFrame:
+    """prototype (id), features, members: points of one signature collapse to a random member, their mean, an approximate median, or what a strategy makes of them."""
+    named = {"random": random_candidate(seed), "mean": arithmetic_mean(), "median": median_candidate(group, seed, params.distance)}
+    if not callable(prototype) and prototype not in named:
+        raise ValueError("prototype is random, mean, median or a function")
+    keyed = points.select("index", "features", signature_id(params, dimension(points)).alias("prototype"))
+    made = prototype(keyed) if callable(prototype) else named[prototype](keyed)
+    return made.join(keyed.groupBy("prototype").agg(F.sort_array(F.collect_list("index")).alias("members")), "prototype")
 
 
 def exact_median(x: np.ndarray, distance: Distance) -> int:

@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplicia.functions.distances import DEFAULT, Distance
-from simplicia.functions.linkage import cluster, local_labels
+from simplicia.functions.linkage import Provider, cluster, local_labels
 from simplicia.functions.scale import Histogram, Selector
 
 
-def dendrograms(level_sets: DataFrame, distance: Distance = DEFAULT, method: str = "single") -> DataFrame:
+def dendrograms(level_sets: DataFrame, distance: Distance = DEFAULT, method: str = "single", provider: Provider = cluster) -> DataFrame:
     """level_set, members (index in order), heights, merges (pairs, flat) and diameter of every cell, to be cut many times."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index")
-        tree = cluster(np.stack(pdf["features"].to_list()), distance, method)
+        tree = provider(np.stack(pdf["features"].to_list()), distance, method)
         return pd.DataFrame({"level_set": [pdf["level_set"].iloc[0]], "members": [pdf["index"].to_numpy()], "heights": [tree.heights], "merges": [tree.merges.ravel()], "diameter": [tree.diameter]})
 
     rows = level_sets.select("level_set", "index", "features")
@@ -40,12 +40,12 @@ def cut(trees: DataFrame, scale: Selector = Histogram()) -> DataFrame:
     return trees.mapInPandas(run, "level_set array<int>, label int, index long")
 
 
-def local_clusters(level_sets: DataFrame, distance: Distance = DEFAULT, method: str = "single", scale: Selector = Histogram()) -> DataFrame:
+def local_clusters(level_sets: DataFrame, distance: Distance = DEFAULT, method: str = "single", scale: Selector = Histogram(), provider: Provider = cluster) -> DataFrame:
     """level_set, label, index: clustering and cut of every cell in one step."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index")
-        labels = local_labels(np.stack(pdf["features"].to_list()), distance, method, scale)
+        labels = local_labels(np.stack(pdf["features"].to_list()), distance, method, scale, provider)
         return pd.DataFrame({"level_set": list(pdf["level_set"]), "label": labels, "index": pdf["index"].to_numpy()})
 
     return level_sets.select("level_set", "index", "features").groupBy("level_set").applyInPandas(run, "level_set array<int>, label int, index long")

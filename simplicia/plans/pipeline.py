@@ -7,7 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 from simplicia.functions.distances import DEFAULT, Distance
-from simplicia.functions.scale import BiggestGap, Danifold, FirstGap, Fixed, Histogram, Selector
+from simplicia.functions.linkage import METHODS, Provider, cluster
+from simplicia.functions.scale import Danifold, FirstGap, Histogram, Selector
 from simplicia.operators import colour
 from simplicia.operators.cover import Filter, level_sets
 from simplicia.operators.mapper import form_clusters, local_clusters, nerve
@@ -21,6 +22,7 @@ class Params:
     scale: Selector = field(default_factory=Histogram)
     collapse: bool = True
     colouring: colour.Colouring = colour.nop
+    provider: Provider = cluster
 
     def _filter(self, i: int, **changes) -> Params:
         """A parameter set with filter ``i`` changed; unchanged for a filter that isn't there."""
@@ -45,6 +47,13 @@ class Params:
     def with_distance(self, distance: Distance) -> Params:
         return replace(self, distance=distance)
 
+    def with_method(self, method: str) -> Params:
+        """Another linkage; unchanged for one that isn't there."""
+        return replace(self, method=method.lower()) if method.lower() in METHODS else self
+
+    def with_colouring(self, colouring: colour.Colouring) -> Params:
+        return replace(self, colouring=colouring)
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -53,11 +62,10 @@ class Graph:
     colours: DataFrame
 
 
-def mapper(points: DataFrame, params: Params, frames: dict | None = None) -> Graph:
-    """Cover, cluster, collapse, connect and colour; nothing runs until a result is asked for."""
-    cells = level_sets(points, params.filters, frames)
-    clusters = form_clusters(local_clusters(cells, params.distance, params.method, params.scale), params.collapse)
-    return Graph(clusters, nerve(clusters), params.colouring(points, clusters))
+def mapper(points: DataFrame, params: Params, frames: dict | None = None, knn: dict[str, DataFrame] | None = None) -> Graph:
+    """Cover, cluster, collapse, connect and colour; nothing runs until a result is asked for.
 
-
-__all__ = ["BiggestGap", "Danifold", "FirstGap", "Fixed", "Graph", "Histogram", "Params", "mapper"]
+    ``frames``: ready values of lenses. ``knn``: neighbour graphs by distance name, for lenses that read one."""
+    cells = level_sets(points, params.filters, frames, knn)
+    clusters = form_clusters(local_clusters(cells, params.distance, params.method, params.scale, params.provider), params.collapse)
+    return Graph(clusters, nerve(clusters), params.colouring(points, clusters))

@@ -50,8 +50,9 @@ class Session:
     def update(self, params: Params) -> Graph:
         """The graph of ``params``: lens, dendrograms, cut, collapse and colours each come from memory if what they need is unchanged."""
         cells = (params.filters,)
-        trees = self._stage("trees", (*cells, params.distance.name, params.method), lambda: dendrograms(level_sets(self.points, params.filters, self._frames(params)), params.distance, params.method))
-        at = (*cells, params.distance.name, params.method, params.scale)
+        way = (params.distance.name, params.method, params.provider)
+        trees = self._stage("trees", (*cells, *way), lambda: dendrograms(level_sets(self.points, params.filters, self._frames(params)), params.distance, params.method, params.provider))
+        at = (*cells, *way, params.scale)
         labelled = self._stage("cut", at, lambda: cut(trees, params.scale))
         clusters = self._stage("clusters", (*at, params.collapse), lambda: form_clusters(labelled, params.collapse))
         edges = self._stage("edges", (*at, params.collapse), lambda: nerve(clusters))

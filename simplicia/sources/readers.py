@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from simplicia.storage import cut_lineage
+
 
 def points(df: DataFrame, index: str | Column, features: str | Column | list[str], *meta: str) -> DataFrame:
     """Name what identifies a row and its features; ``features`` is an array column or a list of numeric ones."""
@@ -21,7 +23,8 @@ def with_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Dense numbers from 0 in the order of ``order``, or of the file without it.
 
     Numbers come from a count of each range of rows and a running number inside it; no task sees all rows."""
-    parts = (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    parts = (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    parts = cut_lineage(parts)  # counts and rows are of one evaluation, whatever is lost later
     sizes = parts.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
     before = sizes.select("__part", "first", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("before") + F.col("__at") - F.col("first")).drop("__part", "__at", "first", "before")

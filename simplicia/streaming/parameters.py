@@ -8,14 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from simplicia.functions.distances import NAMED
+from simplicia.operators import colour
 from simplicia.plans.pipeline import Graph, Params
 from simplicia.plans.session import Session
 
-SCHEMA = "seq long, setting string, filter int, value double"
-
-
-def apply_message(params: Params, setting: str, filter_: int | None, value: float) -> Params:
-    """One message: bins, overlap, resolution or collapse. Unknown settings change nothing."""
+SCHEMA = "seq long, setting string, filter int, value double, name string"
+#: Colourings that a message may name; its value is the number of bins.
+COLOURINGS = {"nop": lambda bins: colour.nop, "constant": lambda bins: colour.constantly(bins), "size": lambda bins: colour.cluster_size(bins)}
+
+
+def apply_message(params: Params, setting: str, filter_: int | None, value: float | None, name: str | None = None) -> Params:
+    """One message: bins, overlap, resolution or collapse by value, distance, linkage or colour by name. Unknown settings and names change nothing."""
+    if setting == "distance":
+        return params.with_distance(NAMED.get(name or "", params.distance))
+    if setting == "linkage":
+        return params.with_method(name or "")
+    if setting == "colour":
+        return params.with_colouring(COLOURINGS[name](int(value or 0))) if name in COLOURINGS else params
+    if value is None:
+        return params
     if setting == "bins":
         return params.with_bins(filter_ or 0, int(value))
     if setting == "overlap":
@@ -35,7 +47,7 @@ class ParameterStream:
         """Fold a batch of messages, few by nature, and update once for each change."""
         def changes():
             for m in messages.orderBy("seq").collect():
-                self.params = apply_message(self.params, m.setting, m["filter"], m.value)
+                self.params = apply_message(self.params, m.setting, m["filter"], m.value, m.name)
                 yield self.params
 
         for graph in self.session.run(changes()):

@@ -1,16 +1,18 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from simplicia.functions import distances as D
 from simplicia.functions import filters as L
-from simplicia.functions.scale import Histogram
-from simplicia.operators import colour, inspect, knn, laplacian, pairs
+from simplicia.functions.linkage import cluster
+from simplicia.functions.scale import Fixed, Histogram
+from simplicia.operators import colour, inspect, knn, laplacian, lsh, pairs
 from simplicia.operators.cover import Filter, extra_bins, level_sets
 from simplicia.plans.pipeline import Params, mapper
 from simplicia.plans.session import Session
-from simplicia.streaming.parameters import ParameterStream
+from simplicia.streaming.parameters import ParameterStream, apply_message
 
 
 def points(spark, rows):
@@ -61,8 +63,9 @@ def test_fast_neighbours_keep_their_recall(spark, tmp_path):
     x = np.random.default_rng(3).normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert registry.queries()["fast_knn_accuracy"](spark, str(tmp_path)).first().accuracy >= 0.9
-    edges = lambda: {(r.src, r.dst, r.distance) for r in registry.queries()["fast_knn"](spark, str(tmp_path)).collect()}
+    assert registry.fast_accuracy(spark, str(tmp_path)).first().accuracy >= 0.9
+    p = registry.vectors(spark, str(tmp_path))
+    edges = lambda: {(r.src, r.dst, r.distance) for r in knn.fast_knn(p, 10, D.EUCLIDEAN, **registry._FAST).collect()}
     few = edges()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
@@ -135,7 +138,107 @@ def test_parameter_stream(spark, tmp_path):
     assert len(seen) == 2 and stream.params.filters[0].bins == 3 and not stream.params.collapse
 
 
+def test_empty_tables(spark):
+    p = spark.createDataFrame([], "index long, features array<double>")
+    assert knn.fast_knn(p, 3, D.EUCLIDEAN).count() == knn.exact_knn(p, 3, D.EUCLIDEAN).count() == 0
+    assert all(lsh.sketch(p, lsh.Params(2, 1.0, D.EUCLIDEAN), kind).count() == 0 for kind in ("mean", "random", "median"))
+    assert L.PrincipalComponent(0).frame(p).count() == 0
+    assert laplacian.embedding(laplacian.affinities(knn.exact_knn(p, 3, D.EUCLIDEAN))).count() == 0
+    assert mapper(p, Params((Filter(L.Feature(0), 4, 0.5),))).clusters.count() == 0
+
+
+def test_sketches(spark):
+    p = points(spark, [(0, 0), (0.1, 0), (0.2, 0), (50, 50), (50.1, 50)])
+    params = lsh.Params(3, 10.0, D.EUCLIDEAN, seed=1)
+    groups = {tuple(r.members): r.features for r in lsh.sketch(p, params).collect()}
+    assert sorted(i for g in groups for i in g) == list(range(5)) and all({0, 1, 2} >= set(g) or {3, 4} >= set(g) for g in groups)
+    x = np.array([(0, 0), (0.1, 0), (0.2, 0), (50, 50), (50.1, 50)])
+    assert all(f == pytest.approx(x[list(g)].mean(0)) for g, f in groups.items())
+    for kind in ("random", "median", lsh.median_candidate(2)):
+        assert all(list(r.features) in x[list(r.members)].tolist() for r in lsh.sketch(p, params, kind).collect())
+    assert {r["index"] for r in lsh.lookup(lsh.sketch(p, params)).collect()} == set(range(5))
+    assert sum(r["size"] * r.prototypes for r in lsh.sketch_frequencies(lsh.sketch(p, params)).collect()) == 5
+    with pytest.raises(ValueError, match="prototype"):
+        lsh.sketch(p, params, "none")
+    y = np.random.default_rng(2).normal(size=(200, 3))
+    sums = np.abs(y[:, None] - y[None]).sum(2).sum(1)
+    assert lsh.exact_median(y, D.MANHATTAN) == sums.argmin() and sums[lsh.approximate_median(y, 5)] < np.quantile(sums, 0.2)
+    # a lens on prototypes: points of one signature have one value
+    values = {r["index"]: r.value for r in L.Sketched(L.Eccentricity(1, D.EUCLIDEAN), params).frame(p).collect()}
+    assert all(len({values[i] for i in g}) == 1 for g in groups) and len(values) == 5
+    graph = mapper(p, Params((Filter(L.Sketched(L.Density(20.0, D.EUCLIDEAN), params), 3, 0.5),), D.EUCLIDEAN))
+    assert {i for c in graph.clusters.collect() for i in c.members} == set(range(5))
+
+
+@pytest.mark.parametrize("distance", [D.EUCLIDEAN, D.MANHATTAN, D.COSINE, D.lp_norm(0.5)], ids=lambda d: d.name)
+def test_signatures_of_near_points_agree(spark, distance):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(30, 8))
+    p = points(spark, np.concatenate([base, base + 1e-4, -base]))
+    params = lsh.Params(6, 4.0, distance, seed=2)
+    sig = [tuple(r.s) for r in p.orderBy("index").select(lsh.signature(params, 8).alias("s")).collect()]
+    share = lambda a, b: np.mean([x == y for x, y in zip(sig[a], sig[b], strict=True)])
+    assert np.mean([share(i, 30 + i) for i in range(30)]) > 0.95 > np.mean([share(i, 60 + i) for i in range(30)])
+    with pytest.raises(ValueError, match="hash family"):
+        lsh.hash_functions(lsh.Params(2, 1.0, D.JACCARD), 8)
+
+
+def test_fast_graph_in_jobs_and_symmetric(spark):
+    p = points(spark, np.random.default_rng(3).normal(size=(120, 4)))
+    params = knn.FastParams(k=4, distance=D.EUCLIDEAN, tables=4, share=0.4, lsh=lsh.Params(4, 1.0, D.EUCLIDEAN))
+    edges = lambda x: {(r.src, r.dst) for r in knn.fast_graph(p, x).collect()}
+    whole = edges(params)
+    assert whole == edges(replace(params, jobs=4))
+    assert edges(replace(params, symmetry=knn.Symmetry(mutual=True))) == {(a, b) for a, b in whole if (b, a) in whole}
+    assert params.exact() == (4, D.EUCLIDEAN)
+
+
+def test_batch_pipeline_with_a_graph_lens_and_a_provider(spark):
+    p = points(spark, [[v] for v in (*range(0, 10), *range(50, 60))])
+    graph = knn.symmetricize(knn.exact_knn(p, 12, D.EUCLIDEAN))
+    lens = L.LaplacianEigenVector(0, distance=D.EUCLIDEAN)
+    with pytest.raises(ValueError, match="neighbour graph"):
+        mapper(p, Params((Filter(lens, 3, 0.5),), D.EUCLIDEAN))
+    seen = mapper(p, Params((Filter(lens, 3, 0.5),), D.EUCLIDEAN), knn={"euclidean": graph}).clusters.collect()
+    assert {i for c in seen for i in c.members} == set(range(20))
+
+    def wider(x, distance, method):
+        return cluster(3 * x, distance, method)
+
+    cut = Params((Filter(L.Feature(0), 2, 0.0),), D.EUCLIDEAN, scale=Fixed(1.5))
+    assert sorted(sorted(c.members) for c in mapper(p, cut).clusters.collect()) == [list(range(10)), list(range(10, 19)), [19]]
+    assert sorted(sorted(c.members) for c in mapper(p, replace(cut, provider=wider)).clusters.collect()) == [[i] for i in range(20)]
+
+
+def test_messages_change_parameters():
+    params = Params((Filter(L.Feature(0), 4, 0.5),))
+    assert apply_message(params, "distance", None, None, "cosine").distance is D.COSINE
+    assert apply_message(params, "linkage", None, None, "Ward").method == "ward"
+    assert apply_message(params, "colour", None, 5, "size").colouring is not params.colouring
+    for setting, name in (("distance", "none"), ("linkage", "none"), ("colour", "none"), ("none", "x"), ("bins", None)):
+        assert apply_message(params, setting, 0, None, name) == params
+    assert apply_message(params, "overlap", 0, 0.25).filters[0].overlap == 0.25 and apply_message(params, "resolution", None, 7).scale == Histogram(7)
+
+
+def test_palettes():
+    assert colour.palette("Set1", 3) == ["#e41a1c", "#377eb8", "#4daf4a"] and len(colour.palette("Paired", 12)) == 12
+    assert colour.palette("Blues", 3)[0] == colour.ANCHORS["Blues"][0] and len(colour.ANCHORS) + len(colour.QUALITATIVE) == 35
+    assert colour.palette("YlGn", 3, {"YlGn": {3: ["#a", "#b", "#c"]}}) == ["#a", "#b", "#c"]
+    with pytest.raises(ValueError, match="colours"):
+        colour.palette("Set1", 10)
+
+
+def test_exports(spark):
+    p = points(spark, [[v] for v in range(12)])
+    g = mapper(p, Params((Filter(L.Feature(0), 3, 0.5),), D.EUCLIDEAN))
+    told = inspect.to_graph_dict(g.clusters, g.edges)
+    assert [n["label"] for n in told["nodes"]] == [str(i) for i in range(g.clusters.count())] and len(told["edges"]) == g.edges.count() > 0
+    dot = inspect.to_dot(g.clusters, g.edges, "g").splitlines()
+    assert dot[0] == "graph g {" and dot[-1] == "}" and sum("--" in x for x in dot) == len(told["edges"])
+    assert {e["source"] for e in told["edges"]} <= {n["id"] for n in told["nodes"]}
+
+
 def test_registered_sql_has_queries():
     from simplicia import registry
 
-    assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())

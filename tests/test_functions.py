@@ -32,6 +32,44 @@ def test_linkages_separate_squares(method):
         cluster(SQUARES, D.EUCLIDEAN, "none")
 
 
+def _naive(x, method):
+    """Heights by the linkages' definitions, from the points themselves."""
+    groups, heights = [[i] for i in range(len(x))], []
+    centre = {(i,): x[i] for i in range(len(x))}  # the median of wpgmc depends on the merges
+    mean = {((i,), (j,)): np.linalg.norm(x[i] - x[j]) for i in range(len(x)) for j in range(len(x))}  # so does wpgma
+
+    def apart(a, b):
+        d = [np.linalg.norm(x[i] - x[j]) for i in a for j in b]
+        if method == "single":
+            return min(d)
+        if method == "complete":
+            return max(d)
+        if method == "upgma":
+            return float(np.mean(d))
+        if method == "wpgma":
+            return mean[tuple(a), tuple(b)]
+        if method == "wpgmc":
+            return np.linalg.norm(centre[tuple(a)] - centre[tuple(b)])
+        gap = np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+        return gap if method == "upgmc" else gap * (2 * len(a) * len(b) / (len(a) + len(b))) ** 0.5
+
+    while len(groups) > 1:
+        h, a, b = min((apart(a, b), a, b) for k, a in enumerate(groups) for b in groups[k + 1 :])
+        heights.append(h)
+        groups = [g for g in groups if g not in (a, b)]
+        for g in groups:
+            mean[tuple(a + b), tuple(g)] = mean[tuple(g), tuple(a + b)] = (mean[tuple(a), tuple(g)] + mean[tuple(b), tuple(g)]) / 2
+        centre[tuple(a + b)] = (centre[tuple(a)] + centre[tuple(b)]) / 2
+        groups.append(a + b)
+    return heights
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_heights_equal_the_definitions(method):
+    x = np.random.default_rng(6).normal(size=(18, 3))
+    assert cluster(x, D.EUCLIDEAN, method).heights == pytest.approx(_naive(x, method))
+
+
 def test_one_feature_path_equals_the_tree():
     x = np.random.default_rng(1).normal(size=(40, 1))
     assert cluster(x, D.MANHATTAN).heights == pytest.approx(cluster(np.hstack([x, np.zeros_like(x)]), D.MANHATTAN).heights)

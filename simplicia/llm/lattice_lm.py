@@ -30,7 +30,7 @@ from simplicia.llm.pieces import SPACE, load
 #: Most frequent words whose figures every worker holds; rarer words meet theirs in a join.
 HEAD_WORDS = 150_000
 #: Rounds of expectation-maximisation.
-ROUNDS = 3
+ROUNDS = 2
 #: Uses of the whole vocabulary, dealt by its scores, that are added to those expected from training words.
 PRIOR = 200.0
 #: Distinct words that a task counts before it hands them on.
@@ -54,13 +54,11 @@ class Lattice:
         hashes = np.array([self._hash(n) for n in self.names], dtype=np.uint64)
         self.bits = np.uint64(20)
         self.keys, self.ids = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-        self.probes = 1
         for i, (h, at) in enumerate(zip(hashes, self._slot(hashes).tolist(), strict=True)):
             k = 0
             while self.ids[(at + k) & 0xFFFFF] >= 0:
                 k += 1
             self.keys[(at + k) & 0xFFFFF], self.ids[(at + k) & 0xFFFFF] = h, i
-            self.probes = max(self.probes, k + 1)
 
     @staticmethod
     def _hash(name: str) -> int:
@@ -86,11 +84,18 @@ class Lattice:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, or -1."""
-        at, out = self._slot(h).astype(np.int64), np.full(h.shape, -1, np.int32)
-        for k in range(self.probes):
-            slot = (at + k) & 0xFFFFF
-            out = np.where((self.keys[slot] == h) & (self.ids[slot] >= 0), self.ids[slot], out)
-        return out
+        own = h.ravel()
+        at = self._slot(own).astype(np.int64)
+        ids = self.ids[at]
+        out = np.where(self.keys[at] == own, ids, np.int32(-1))
+        left = np.flatnonzero((ids >= 0) & (out < 0))  # another piece is in the slot
+        while len(left):
+            at[left] = (at[left] + 1) & 0xFFFFF
+            ids = self.ids[at[left]]
+            same = (self.keys[at[left]] == own[left]) & (ids >= 0)
+            out[left[same]] = ids[same]
+            left = left[(ids >= 0) & ~same]
+        return out.reshape(h.shape)
 
     def _arcs(self, words: list[str], n: int, logp: np.ndarray):
         """For words of ``n`` characters: ids[l][:, i] of the piece of length l from i, log weights alike, and where bytes stand in."""

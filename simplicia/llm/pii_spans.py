@@ -148,7 +148,7 @@ def _check(kind: str, body: str, digits: str) -> int:
     if kind == "ip":
         return 0 if body.split(".")[0].strip("0") == "" else 1
     if kind == "secret":
-        return 1 if _entropy(body.lower()) >= 3.2 else 0
+        return 1 if _entropy(body.lower()) >= 3.2 and 10 * len(digits) >= len(body) else 0  # of random characters a sixth and more are digits
     if kind == "phone":
         return 0 if digits[0] == "0" or len(set(digits)) < 3 else 1
     return 1 if luhn(digits) and len(set(digits)) > 1 else 0 if kind in ("card", "number") else 2

@@ -95,8 +95,12 @@ def brute_contamination(rows, size=10):
     return [(i, t) for i, t in rows if i is None or not hit(t)]
 
 
+def number(doc_id):
+    return -1 if doc_id is None else doc_id
+
+
 def key(rows):
-    return sorted((-1 if i is None else i, hashlib.md5((t or "").encode()).hexdigest(), t is None) for i, t in rows)
+    return sorted((number(i), hashlib.md5((t or "").encode()).hexdigest(), t is None) for i, t in rows)
 
 
 def test_stages_and_run_equal_brute_force(spark, folder):
@@ -116,10 +120,10 @@ def test_stages_and_run_equal_brute_force(spark, folder):
     assert {200, 204, 211, 220, 230, 240} <= left and left.isdisjoint({100, 139, 201, 202, 203, 210, 221, 231})
     assert all(i in left for i in range(60))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
-    assert sorted((r.doc_id or -1, np.frombuffer(r.token_ids, "<u4").tolist()) for r in last) == sorted((-1 if i is None else i, sp.encode(t or "")) for i, t in rows)
+    assert sorted((number(r.doc_id), np.frombuffer(r.token_ids, "<u4").tolist()) for r in last) == sorted((number(i), sp.encode(t or "")) for i, t in rows)
     got = corpus_pipeline.run(spark, folder).collect()
     digest = lambda t: hashlib.sha256(np.array(sp.encode(t or ""), "<u4").tobytes()).hexdigest()
-    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.round_trip) for r in got) == sorted((i or -1 if i != 0 else -1, len(sp.encode(t or "")), digest(t), True) for i, t in rows)
+    assert sorted((number(r.doc_id), r.n_tokens, r.ids_sha256, r.round_trip) for r in got) == sorted((number(i), len(sp.encode(t or "")), digest(t), True) for i, t in rows)
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):

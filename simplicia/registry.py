@@ -419,6 +419,27 @@ def numbered_clusters(spark, d):
     return inspect.numbered_clusters(graph_1d(spark, d).clusters).select("cluster_id", F.col("number").cast("long").alias("number"))
 
 
+def cluster_points(spark, d):
+    return inspect.cluster_points(graph_1d(spark, d).clusters).select("cluster_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
+def synthetic_graphs(spark, d):
+    """A loop and a star over as many nodes as there are nations."""
+    n = _read(spark, d, "nation").count()
+    return readers.random_graph(spark, n, "loop").withColumn("kind", F.lit("loop")).unionByName(readers.random_graph(spark, n, "star").withColumn("kind", F.lit("star"))).select("kind", "src", "dst")
+
+
+def custom_lens(spark, d):
+    """Customers of each cell of a lens that is any DataFrame, here the sums of their orders."""
+    sums = _read(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("index")).agg(F.count("*").alias("value"))
+    cells = level_sets(customers(spark, d), (Filter(L.Custom("orders", sums), 6, 0.5),))
+    return cells.groupBy(F.col("level_set")[0].alias("bin")).agg(F.count("*").alias("n"))
+
+
+def frequencies(spark, d):
+    return scalars.frequencies(_read(spark, d, "events"), "event_type")
+
+
 def sliding_pairs(spark, d):
     e = _read(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
     return scalars.sliding_pairs(e, "event_type", "at", ("user_id",)).groupBy("user_id", "left", "right").agg(F.count("*").alias("n"))
@@ -531,17 +552,36 @@ def mapper_laplacian(spark, d):
 _LSH = lsh.Params(2, 1.0, D.EUCLIDEAN, seed=3)
 
 
-def _signature_sql(size: int = 64) -> str:
-    """The same projections in SQL: a list of whole numbers."""
+def _places_sql(params: lsh.Params, size: int = 64) -> str:
+    """A signature's whole numbers in SQL, from the same drawn projections."""
     import numpy as np
 
-    rng = np.random.default_rng(_LSH.seed)
+    rng, name = np.random.default_rng(params.seed), params.distance.name
     places = []
-    for _ in range(_LSH.length):
-        w = rng.standard_normal(size)
-        shift = float(rng.uniform(0, _LSH.radius))
-        places.append(f"CAST(floor((list_dot_product(e, {w.tolist()!r}::DOUBLE[]) + {shift!r}) / {_LSH.radius!r}) AS BIGINT)")
-    return f"{_V}, s AS (SELECT vec_id, e, CAST('0x' || substr(md5(concat_ws(',', {', '.join(places)})), 1, 15) AS BIGINT) AS prototype FROM v) "
+    for _ in range(params.length):
+        w = rng.standard_cauchy(size) if name == "manhattan" else rng.standard_normal(size)
+        shift = float(rng.uniform(0, params.radius))
+        inner = f"list_dot_product(e, {w.tolist()!r}::DOUBLE[])"
+        places.append(f"CAST({inner} >= 0 AS BIGINT)" if name == "cosine" else f"CAST(floor(({inner} + {shift!r}) / {params.radius!r}) AS BIGINT)")
+    return f"concat_ws(',', {', '.join(places)})"
+
+
+def _signature_sql() -> str:
+    return f"{_V}, s AS (SELECT vec_id, e, CAST('0x' || substr(md5({_places_sql(_LSH)}), 1, 15) AS BIGINT) AS prototype FROM v) "
+
+
+_SIGNED = {d.name: lsh.Params(6, 2.0, d, seed=4) for d in (D.EUCLIDEAN, D.COSINE, D.MANHATTAN)}
+
+
+def _signatures(name: str) -> tuple[Query, str]:
+    params = _SIGNED[name]
+
+    def run(spark, d):
+        p = vectors(spark, d)
+        text = F.array_join(F.transform(lsh.signature(params, scalars.dimension(p)), lambda x: x.cast("long").cast("string")), ",")
+        return p.select(F.col("index").alias("vec_id"), text.alias("signature"))
+
+    return run, f"{_V}SELECT vec_id, {_places_sql(params)} AS signature FROM v"
 
 
 def sketched_lens(spark, d):
@@ -706,6 +746,13 @@ def _registered() -> dict[str, tuple[Query, str | None]]:
         "graph_nodes": (graph_nodes, f"{_NUMBERED}SELECT cluster_id AS id, CAST(number AS VARCHAR) AS label, CAST(size AS BIGINT) AS size, CAST(bin AS DOUBLE) AS x, 0.0::DOUBLE AS y FROM numbered"),
         "graph_links": (graph_links, f"{_MAPPER}SELECT src || '-' || dst AS id, src AS source, dst AS target FROM edges"),
         "numbered_clusters": (numbered_clusters, f"{_NUMBERED}SELECT cluster_id, number FROM numbered"),
+        "cluster_points": (cluster_points, f"{_MAPPER}SELECT cluster_id, array_to_string(members, ',') AS members FROM clusters"),
+        "synthetic_graphs": (synthetic_graphs, "WITH n AS (SELECT count(*) AS n FROM nation), i AS (SELECT unnest(range(n)) AS src, n FROM n) SELECT 'loop' AS kind, src, (src + 1) % n AS dst FROM i UNION ALL SELECT 'star', src, 0 FROM i WHERE src <> 0"),
+        "custom_lens": (custom_lens, f"WITH v AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS x FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey), r AS (SELECT x, min(x) OVER () AS low, max(x) OVER () AS high FROM v) SELECT bin, count(*) AS n FROM (SELECT {_cover_sql('x', 6, 0.5, 1)} AS bin FROM r) GROUP BY bin"),
+        "frequencies": (frequencies, "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"),
+        "lsh_signature_euclidean": _signatures("euclidean"),
+        "lsh_signature_cosine": _signatures("cosine"),
+        "lsh_signature_manhattan": _signatures("manhattan"),
         "sliding_pairs": (sliding_pairs, "SELECT user_id, event_type AS \"left\", next AS \"right\", count(*) AS n FROM (SELECT user_id, event_type, lead(event_type) OVER w AS next, lead(event_id) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE following IS NOT NULL GROUP BY ALL"),
         "merged_maps": (merged_maps, "SELECT c_nationkey, c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY ALL"),
         "average_by_key": (average_by_key, "SELECT c_mktsegment, round(avg(c_nationkey), 6) AS average FROM customer GROUP BY ALL"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.mllib.linalg import SparseVector
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg import SparseVector, VectorUDT
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from simplicia.functions.distances import TANIMOTO, Distance
 from simplicia.functions.scalars import gaussian_similarity
@@ -60,13 +61,15 @@ def singular_vectors(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
     k = min(COLUMNS, n)  # fewer make the solver fail now and then
     placed = matrix.join(numbers.select(F.col("id").alias("i"), F.col("n").alias("r")), "i").join(numbers.select(F.col("id").alias("j"), F.col("n").alias("c")), "j")
     lines = placed.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("cells")).select("r", "cells.c", "cells.value")
-    # mllib's distributed SVD takes RDDs only: one object a row of the matrix
-    rows = cut_lineage(lines).rdd.map(lambda r: IndexedRow(r[0], SparseVector(n, r[1], r[2])))
+    # vectors are made once, in Python, and kept, as the solver reads all rows in each of its many steps
+    made = lines.rdd.map(lambda r: (r[0], SparseVector(n, r[1], r[2])))
+    rows = matrix.sparkSession.createDataFrame(made, StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).persist()
     u = IndexedRowMatrix(rows, n, n).computeSVD(k, computeU=True).U
     frame = matrix.sparkSession.createDataFrame(u.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())), "n long, u array<double>").persist()
     first = frame.first()
     width = min(columns, len(first["u"])) if first else 0
     tops = frame.agg(*(F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 9), -F.col("n"))) for j in range(width))).first()
+    rows.unpersist()
     turned = F.array(*(F.col("u")[j] * F.lit(float(tops[j] or 1.0)) for j in range(width)))
     return frame.join(numbers, "n").select(F.col("id").alias("index"), turned.alias("values"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -139,7 +140,24 @@ def without(docs: DataFrame, ids: DataFrame, limit: int = BROADCAST_IDS) -> Data
     return docs.join(F.broadcast(ids) if small else ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
-class Cache(dict):
+_memos: weakref.WeakSet = weakref.WeakSet()
+
+
+class Memo(dict):
+    """What a worker remembers from batch to batch; :func:`only` empties those that a task doesn't use."""
+
+    def __init__(self):
+        super().__init__()
+        _memos.add(self)
+
+    def __hash__(self):
+        return id(self)
+
+    def __eq__(self, other):
+        return self is other
+
+
+class Cache(Memo):
     """A dict that computes what it lacks and forgets its older half when full. Long keys aren't kept."""
 
     def __init__(self, compute: Callable, limit: int = 600_000, longest: int = 64):
@@ -156,3 +174,13 @@ class Cache(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def only(*used: Memo) -> None:
+    """Empty all memos of this worker but ``used``: one worker serves many stages, and its memory is theirs in turn."""
+    for memo in list(_memos):
+        if not any(memo is x for x in used) and memo:
+            memo.clear()
+            if isinstance(memo, Cache):
+                memo.old = {}
+    pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import Cache, dealt, forget, text_rows, without, workers, write_table
+from simplicia.llm.common import Cache, dealt, forget, only, text_rows, without, workers, write_table
 
 #: A pair at the asked similarity shares no band with at most about this probability, and a banding takes at most so many hashes.
 MISS, HASHES = 3e-6, 400
@@ -99,6 +99,7 @@ def _sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     n, depth = banding(percent)
 
     def run(batches):
+        only(_word_hash)
         for batch in batches:
             counts, digests, keys, low = [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from simplicia.llm.common import Cache, text_rows, workers
+from simplicia.llm.common import Cache, only, text_rows, workers
 from simplicia.llm.pieces import SPACE, Pieces, load, specification
 
 #: An arc: what it reads (None: nothing), what it writes (None: nothing), its weight, and the state it leads to.
@@ -170,12 +170,19 @@ class Transducer:
         if not (prefix and escape):
             raise ValueError("texts are cut at spaces, which needs a model that puts marks in front and for spaces")
         self.pieces = pieces
-        self.normaliser, self.lexicon, self.context = Normaliser(prefix, escape), Lexicon(pieces), Context(pieces)
+        self.normaliser, self.context = Normaliser(prefix, escape), Context(pieces)
         self.raw = np.array([n.replace(SPACE, " ").encode() for n in pieces.names], dtype=object)
         for b, i in pieces.byte_id.items():
             self.raw[i] = bytes((b,))
-        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=100_000)
-        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=200_000)
+        self.parts = Cache(lambda part: array("I", self.path(part)).tobytes(), limit=80_000)
+        self.packed = Cache(lambda unit: b"".join(map(self.parts.__getitem__, pieces.stretches(pieces.written(unit)))), limit=160_000)
+
+    @functools.cached_property
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.pieces)
+
+    def memos(self) -> tuple:
+        return self.parts, self.packed, self.pieces.pair
 
     def composed(self, text: str):
         """The whole cascade for one input."""
@@ -248,6 +255,7 @@ def with_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         m = machine(model_path)
+        only(*m.memos())
         for batch in batches:
             texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
             packed = [m.encode_packed(t) for t in texts]
@@ -282,6 +290,7 @@ def encoding_digest(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         m = machine(model_path)
+        only(*m.memos())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             packed = [m.encode_packed(t) for t in texts]

@@ -11,6 +11,8 @@ import re
 
 import sentencepiece
 
+from simplicia.llm.common import Memo
+
 #: The mark that SentencePiece puts in place of a space (fixed value).
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -28,7 +30,7 @@ class Pieces:
         self.byte_id = {int(self.names[i][1:-1], 16): i for i in range(len(self.names)) if sp.is_byte(i)}
         self.longest = max(map(len, self.score))
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[tuple[str, str], bool] = Memo()
         if odd := [p for p in self.score if SPACE in p.lstrip(SPACE) or "\n" in p]:
             raise ValueError(f"pieces that cross words: {odd[:5]}")
         if len(self.byte_id) != 256:
@@ -55,7 +57,7 @@ class Pieces:
         key = (left, right)
         known = self.pair.get(key)
         if known is None:
-            if len(self.pair) >= 400_000:
+            if len(self.pair) >= 200_000:
                 self.pair.clear()
             known = self.pair[key] = self.merge(left + right) == ([left, right] if left else [right])
         return known

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from simplicia.llm.common import fold, free_name, text_rows, workers
+from simplicia.llm.common import fold, free_name, only, text_rows, workers
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -58,6 +58,7 @@ def with_statistics(docs: DataFrame) -> tuple[DataFrame, str]:
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType(), False), False)])
 
     def run(batches):
+        only()
         for batch in batches:
             rows = [statistics(t or "") for t in batch.column(at).cast(pa.string()).to_pylist()]
             flat = pa.array(np.array(rows, dtype=np.float64).ravel())

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplicia.functions.filters import Lens
+from simplicia.storage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -56,17 +57,35 @@ def lens_values(points: DataFrame, filters: tuple[Filter, ...], frames: dict | N
     return out
 
 
+def balanced_cuts(values: DataFrame, column: str, bins: int, name: str) -> DataFrame:
+    """One row: the values at ranks ceil(k * n / bins) for k from 0 to ``bins``, exactly.
+
+    Distinct values are counted and dealt by ranges; running counts inside a range and a sum of the ranges before it give
+    every value's rank, so no task sees all of them."""
+    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    counts = cut_lineage(counts)  # sums and rows are of one evaluation
+    sizes = counts.groupBy("part").agg(F.sum("n").alias("size"))
+    ahead = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("part", ahead.alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))  # a row a range
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = counts.join(F.broadcast(before), "part").select("v", "total", upto.alias("upto"))
+    at = [F.greatest(F.lit(1), F.ceil(F.lit(k) * F.col("total") / bins)) for k in range(bins + 1)]
+    found = ranked.agg(*(F.min(F.when(F.col("upto") >= rank, F.col("v"))).alias(f"c{k}") for k, rank in enumerate(at)))
+    return found.select(F.array(*(f"c{k}" for k in range(bins + 1))).alias(name))
+
+
 def level_sets(points: DataFrame, filters: tuple[Filter, ...], frames: dict | None = None, knn: dict[str, DataFrame] | None = None) -> DataFrame:
     """``points`` once for each cell they are in: level_set (bin numbers) is added. Points without a lens value are in none.
 
-    One aggregate gives all ranges; cells come from arithmetic, so no point meets another."""
+    One aggregate gives all ranges, ranks the cuts of balanced ones; cells come from arithmetic, so no point meets another."""
     valued = lens_values(points, filters, frames, knn).dropna(subset=[f"f{i}" for i in range(len(filters))])
     bounds = []
     for i, f in enumerate(filters):
         bounds += [F.min(f"f{i}").alias(f"low{i}"), F.max(f"f{i}").alias(f"high{i}")]
-        if f.balanced:
-            bounds.append(F.percentile_approx(f"f{i}", [k / f.bins for k in range(f.bins + 1)], 10_000).alias(f"cuts{i}"))
     ranges = valued.agg(*bounds)  # one row
+    for i, f in enumerate(filters):
+        if f.balanced:
+            ranges = ranges.crossJoin(F.broadcast(balanced_cuts(valued, f"f{i}", f.bins, f"cuts{i}")))
     out = valued.crossJoin(F.broadcast(ranges))
     for i, f in enumerate(filters):
         numbers = bin_numbers(F.col(f"f{i}"), F.col(f"low{i}"), F.col(f"high{i}"), f.bins, f.overlap)

@@ -1,8 +1,11 @@
 import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from simplicia.functions import distances as D
 from simplicia.functions import filters as L
@@ -32,6 +35,20 @@ def test_cover_of_half_overlapping_bins(spark):
     assert low == {v: {v // 2 * 2 - 2, v // 2 * 2} for v in range(9)}
 
 
+def test_balanced_cuts_are_exact_ranks(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.concatenate([rng.normal(size=60_007), np.repeat(rng.normal(size=40), 500)]), 6)
+    p = spark.createDataFrame(pd.DataFrame({"index": np.arange(len(x)), "x": x})).select("index", F.array("x").alias("features"))
+    f = Filter(L.Feature(0), 10, 0.25, balanced=True)
+    s = np.sort(x)
+    cuts = s[[max(1, -(-k * len(x) // 10)) - 1 for k in range(11)]]
+    place = (x[:, None] >= cuts).sum(1) - 1
+    top = np.floor(np.round(place / (10 / (10 - 9 * 0.25) * 0.75), 9)).astype(int)
+    expected = Counter((top - 1).tolist()) + Counter(top.tolist())
+    got = level_sets(p, (f,)).groupBy(F.col("level_set")[0].alias("bin")).count().collect()
+    assert {r["bin"]: r["count"] for r in got} == dict(expected)
+
+
 def test_constant_lens_has_one_bin(spark):
     assert {tuple(r.level_set) for r in level_sets(points(spark, [[3], [3]]), (Filter(L.Feature(0), 5, 0.5),)).collect()} == {(0,)}
     with pytest.raises(ValueError):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplicia.llm.common import fold, forget, text_rows, workers, write_table
+from simplicia.llm.common import fold, forget, gathered, text_rows, workers, write_table
 from simplicia.llm.pieces import SPACE, load
 
 #: Most frequent words whose figures every worker holds; rarer words meet theirs in a join.
@@ -35,8 +35,12 @@ ROUNDS = 2
 PRIOR = 200.0
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
-#: Words of up to so many characters are summed without logarithms when uses are counted; longer ones could underflow.
+#: Bytes of the words' rows that are summed at a time: words of one length go side by side, so many words gain.
+WORD_BYTES = 2 << 20
+#: Words of up to so many characters are summed without logarithms, and again with them if the sum is below _SMALL.
 PLAIN = 60
+_SMALL = 1e-250
+_PLAIN = {"add": np.add, "times": np.multiply, "zero": 0.0, "one": 1.0}
 _LANES = 4096  # words side by side
 _MULT = np.uint64(0x100000001B3)
 
@@ -51,24 +55,23 @@ class Lattice:
         self.longest = p.longest
         self.size = len(self.names) + 256  # bytes come last
         self.first = np.array([n.startswith(SPACE) for n in self.names] + [False] * 256)
-        hashes = np.array([self._hash(n) for n in self.names], dtype=np.uint64)
-        self.bits = np.uint64(20)
-        self.keys, self.ids = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-        for i, (h, at) in enumerate(zip(hashes, self._slot(hashes).tolist(), strict=True)):
-            k = 0
-            while self.ids[(at + k) & 0xFFFFF] >= 0:
-                k += 1
-            self.keys[(at + k) & 0xFFFFF], self.ids[(at + k) & 0xFFFFF] = h, i
-
-    @staticmethod
-    def _hash(name: str) -> int:
-        h = 0
-        for c in name:
-            h = (h * int(_MULT) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
+        # what is known of each beginning of a piece: twice its number from 1 (0 if it is none), odd if a longer piece begins so
+        known: dict[int, int] = {}
+        for i, name in enumerate(self.names):
+            h = 0
+            for k, c in enumerate(name, 1):
+                h = (h * int(_MULT) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                known[h] = known.get(h, 0) | (1 if k < len(name) else 2 * (i + 1))
+        hashes = np.array(list(known), dtype=np.uint64)
+        self.bits = max(18, (4 * len(known)).bit_length())
+        self.keys, self.info = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        for h, at, info in zip(hashes, self._slot(hashes).tolist(), known.values(), strict=True):
+            while self.info[at]:
+                at = (at + 1) % len(self.info)
+            self.keys[at], self.info[at] = h, info
 
     def _slot(self, h):
-        return (h * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - self.bits)
+        return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def prior(self) -> np.ndarray:
         """Shares of pieces and bytes from the vocabulary's scores alone, as (goes on, ends the word); bytes share a thousandth."""
@@ -83,66 +86,82 @@ class Lattice:
         return np.log(q)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or -1."""
-        own = h.ravel()
-        at = self._slot(own).astype(np.int64)
-        ids = self.ids[at]
-        out = np.where(self.keys[at] == own, ids, np.int32(-1))
-        left = np.flatnonzero((ids >= 0) & (out < 0))  # another piece is in the slot
+        """What is known of each hash; 0 of one that begins no piece."""
+        at = self._slot(h).astype(np.int64)
+        held = self.info[at]
+        same = self.keys[at] == h
+        out = np.where(same, held, np.int32(0))
+        left = np.flatnonzero((held > 0) & ~same)  # another beginning is in the slot
         while len(left):
-            at[left] = (at[left] + 1) & 0xFFFFF
-            ids = self.ids[at[left]]
-            same = (self.keys[at[left]] == own[left]) & (ids >= 0)
-            out[left[same]] = ids[same]
-            left = left[(ids >= 0) & ~same]
-        return out.reshape(h.shape)
-
-    def _arcs(self, words: list[str], n: int, logp: np.ndarray):
-        """For words of ``n`` characters: ids[l][:, i] of the piece of length l from i, log weights alike, and where bytes stand in."""
-        codes = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n)
-        h, ids, weights = np.zeros(codes.shape, np.uint64), [None], [None]
+            at[left] = (at[left] + 1) % len(self.info)
+            held, same = self.info[at[left]], self.keys[at[left]] == h[left]
+            out[left[same]] = held[same]
+            left = left[(held > 0) & ~same]
+        return out
+
+    def _arcs(self, words: list[str], n: int):
+        """Arcs of words of ``n`` characters, whose places are start * words + word: for each length (places, pieces, how
+        many of them don't end the word), then the places where bytes stand in and, for each, which of ``spelled`` they are.
+
+        A start is followed only while a longer piece begins so."""
+        rows = len(words)
+        codes = np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(rows, n).T.ravel()
+        plus = codes.astype(np.uint64) + np.uint64(1)
+        live, h, arcs = np.arange(n * rows), np.zeros(n * rows, np.uint64), [None]
         for length in range(1, min(n, self.longest) + 1):
-            m = n - length + 1
-            h = h[:, :m] * _MULT + codes[:, length - 1 :].astype(np.uint64) + np.uint64(1)
-            found = self.find(h)
-            own = logp[0][found]
-            own[:, -1] = logp[1][found[:, -1]]
-            own[found < 0] = -np.inf
-            ids.append(found)
-            weights.append(own)
-        lacks = ids[1] < 0
-        spelled = {}
-        if lacks.any():
-            for code in np.unique(codes[lacks]).tolist():
-                spelled[code] = [len(self.names) + b for b in chr(code).encode("utf-8", "surrogatepass")]
-            for code, own in spelled.items():
-                hit = lacks & (codes == code)
-                before = logp[0][own[:-1]].sum()
-                weights[1][hit] = before + logp[0][own[-1]]
-                weights[1][hit[:, -1], -1] = before + logp[1][own[-1]]
-        return codes, ids, weights, spelled
+            inside = np.searchsorted(live, (n - length + 1) * rows)
+            live, h = live[:inside], h[:inside]
+            if not len(live):
+                break
+            h = h * _MULT + plus[live + (length - 1) * rows]
+            info = self.find(h)
+            piece = info > 1
+            places = live[piece]
+            arcs.append((places, (info[piece] >> 1) - 1, int(np.searchsorted(places, (n - length) * rows))))
+            if length == 1:
+                lacks = np.flatnonzero(~piece)
+            goes = (info & 1) > 0
+            live, h = live[goes], h[goes]
+        distinct, which = np.unique(codes[lacks], return_inverse=True)
+        spelled = [[len(self.names) + x for x in chr(code).encode("utf-8", "surrogatepass")] for code in distinct.tolist()]
+        return arcs, lacks, which, spelled
+
+    @staticmethod
+    def _weights(found, rows: int, n: int, logp: np.ndarray, plain: bool) -> list:
+        """weights[l][i]: those of the words' arcs of length l from i, logarithms or, ``plain``, themselves."""
+        arcs, lacks, which, spelled = found
+        table, out = np.exp(logp) if plain else logp, [None]
+        for length, (places, ids, goes) in enumerate(arcs[1:], 1):
+            own = np.full((n - length + 1) * rows, 0.0 if plain else -np.inf)
+            own[places[:goes]], own[places[goes:]] = table[0][ids[:goes]], table[1][ids[goes:]]
+            if length == 1 and len(lacks):
+                both = np.array([[logp[0][x[:-1]].sum() + logp[k][x[-1]] for x in spelled] for k in (0, 1)])
+                both = both[(lacks >= (n - 1) * rows).astype(int), which]
+                own[lacks] = np.exp(both) if plain else both
+            out.append(own.reshape(n - length + 1, rows))
+        return out
 
     @staticmethod
     def _forward(weights, rows: int, n: int, add=np.logaddexp, times=np.add, zero=-np.inf, one=0.0) -> np.ndarray:
-        """Sums over all segmentations of each beginning, in log space unless told otherwise."""
-        a = np.full((rows, n + 1), zero)
-        a[:, 0] = one
+        """Sums over all segmentations of each beginning, a row for each end, in log space unless told otherwise."""
+        a = np.full((n + 1, rows), zero)
+        a[0] = one
         for j in range(1, n + 1):
-            total = times(a[:, j - 1], weights[1][:, j - 1])
+            total = times(a[j - 1], weights[1][j - 1])
             for length in range(2, min(j, len(weights) - 1) + 1):
-                total = add(total, times(a[:, j - length], weights[length][:, j - length]))
-            a[:, j] = total
+                total = add(total, times(a[j - length], weights[length][j - length]))
+            a[j] = total
         return a
 
     @staticmethod
     def _backward(weights, rows: int, n: int, add=np.logaddexp, times=np.add, zero=-np.inf, one=0.0) -> np.ndarray:
-        b = np.full((rows, n + 1), zero)
-        b[:, n] = one
+        b = np.full((n + 1, rows), zero)
+        b[n] = one
         for i in range(n - 1, -1, -1):
-            total = times(b[:, i + 1], weights[1][:, i])
+            total = times(b[i + 1], weights[1][i])
             for length in range(2, min(n - i, len(weights) - 1) + 1):
-                total = add(total, times(b[:, i + length], weights[length][:, i]))
-            b[:, i] = total
+                total = add(total, times(b[i + length], weights[length][i]))
+            b[i] = total
         return b
 
     def groups(self, words: list[str]):
@@ -159,42 +178,61 @@ class Lattice:
         """Natural log of the summed probability of each word's segmentations into pieces; words carry their mark."""
         out = np.zeros(len(words))
         for at, n in self.groups(words):
-            _, _, weights, _ = self._arcs([words[i] for i in at], n, logp)
-            out[at] = self._forward(weights, len(at), n)[:, n]
+            out[at] = self._log_likelihood([words[i] for i in at], n, logp, n <= PLAIN)
+        return out
+
+    def _log_likelihood(self, words: list[str], n: int, logp: np.ndarray, plain: bool) -> np.ndarray:
+        rows = len(words)
+        a = self._forward(self._weights(self._arcs(words, n), rows, n, logp, plain), rows, n, **(_PLAIN if plain else {}))[n]
+        if not plain:
+            return a
+        small = np.flatnonzero(a < _SMALL)
+        out = np.log(np.maximum(a, _SMALL))
+        if len(small):
+            out[small] = self._log_likelihood([words[i] for i in small], n, logp, False)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected uses (goes on, ends) of each piece over the words, each word as often as counted."""
-        out = np.zeros((2, self.size))
+        out, counts = np.zeros((2, self.size)), np.asarray(counts, dtype=float)
         for at, n in self.groups(words):
-            codes, ids, weights, spelled = self._arcs([words[i] for i in at], n, logp)
-            if n <= PLAIN:
-                weights = [None, *(np.exp(w) for w in weights[1:])]
-                plain = {"add": np.add, "times": np.multiply, "zero": 0.0, "one": 1.0}
-                a, b = self._forward(weights, len(at), n, **plain), self._backward(weights, len(at), n, **plain)
-                share = lambda length, m: a[:, :m] * weights[length] * b[:, length:] / a[:, n:]  # noqa: B023, E731
-            else:
-                a, b = self._forward(weights, len(at), n), self._backward(weights, len(at), n)
-                share = lambda length, m: np.exp(a[:, :m] + weights[length] + b[:, length:] - a[:, n:])  # noqa: B023, E731
-            times = np.asarray(counts, dtype=float)[at][:, None]
-            for length in range(1, len(weights)):
-                m = n - length + 1
-                used, found = share(length, m) * times, ids[length]
-                known = found >= 0
-                ends = np.zeros_like(known)
-                ends[:, -1] = True
-                for k, where in enumerate((known & ~ends, known & ends)):
-                    out[k] += np.bincount(found[where], weights=used[where], minlength=self.size)
-                if length == 1:
-                    for code, own in spelled.items():
-                        hit = ~known & (codes == code)
-                        last = used[hit & ends].sum()
-                        for x in own[:-1]:
-                            out[0][x] += used[hit].sum()
-                        out[0][own[-1]] += used[hit].sum() - last
-                        out[1][own[-1]] += last
+            self._expect([words[i] for i in at], n, counts[at], logp, n <= PLAIN, out)
         return out
 
+    def _expect(self, words: list[str], n: int, counts: np.ndarray, logp: np.ndarray, plain: bool, out: np.ndarray) -> None:
+        rows, kind = len(words), _PLAIN if plain else {}
+        found = self._arcs(words, n)
+        weights = self._weights(found, rows, n, logp, plain)
+        a, b = self._forward(weights, rows, n, **kind), self._backward(weights, rows, n, **kind)
+        if plain:
+            small = np.flatnonzero(a[n] < _SMALL)
+            if len(small):
+                self._expect([words[i] for i in small], n, counts[small], logp, False, out)
+            b *= np.where(a[n] < _SMALL, 0.0, counts / np.maximum(a[n], _SMALL))
+        else:
+            b += np.log(counts) - a[n]
+        a, b = a.ravel(), b.ravel()
+
+        def share(length, places):
+            own, end = weights[length].ravel()[places], b[places + length * rows]
+            return a[places] * own * end if plain else np.exp(a[places] + own + end)
+
+        arcs, lacks, which, spelled = found
+        pieces, uses = [], []
+        for length, (places, ids, goes) in enumerate(arcs[1:], 1):
+            pieces += [ids[:goes], ids[goes:] + self.size]
+            uses.append(share(length, places))
+        out += np.bincount(np.concatenate(pieces), weights=np.concatenate(uses), minlength=2 * self.size).reshape(2, -1)
+        if len(lacks):
+            used = share(1, lacks)
+            every = np.bincount(which, weights=used)
+            last = np.bincount(which, weights=np.where(lacks >= (n - 1) * rows, used, 0.0))
+            for x, u, v in zip(spelled, every.tolist(), last.tolist(), strict=True):
+                for y in x[:-1]:
+                    out[0][y] += u
+                out[0][x[-1]] += u - v
+                out[1][x[-1]] += v
+
 
 @functools.lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
@@ -241,8 +279,8 @@ def _fit(words: DataFrame, path: str) -> np.ndarray:
         def expect(batches, sent=sent):
             own = lattice(path)
             total = np.zeros((2, own.size))
-            for batch in batches:
-                total += own.expected([SPACE + w.decode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(), sent.value)
+            for table in gathered(batches, WORD_BYTES):
+                total += own.expected([SPACE + w.decode() for w in table.column(0).to_pylist()], table.column(1).to_numpy(), sent.value)
             flat = total.ravel()
             at = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["piece", "uses"])
@@ -295,13 +333,13 @@ def score_documents(docs: DataFrame, model_path: str, parts: int = 7, held: int
 
     def weigh(batches):
         lat = lattice(model_path)
-        for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for table in gathered(batches, WORD_BYTES):
+            words, c = table.column(0).to_pylist(), table.column(1).to_numpy()
             by_pieces = lat.log_likelihood([SPACE + w.decode() for w in words], sent.value)
             with np.errstate(divide="ignore"):
                 by_word = np.log(np.maximum(c - discount, 0) / max(n_words, 1))
             both = np.logaddexp(by_pieces + math.log(share), by_word)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both / math.log(10) + log_word), pa.array(by_pieces / math.log(10) + log_word)], names=["word", "c", "total", "logp", "pieces"])
+            yield from pa.Table.from_arrays([*table.columns, pa.array(both / math.log(10) + log_word), pa.array(by_pieces / math.log(10) + log_word)], names=["word", "c", "total", "logp", "pieces"]).to_batches()
 
     weighed = write_table(counts.mapInArrow(weigh, "word binary, c long, total long, logp double, pieces double"), "word-weights")
     forget(counts)

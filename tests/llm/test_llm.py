@@ -276,6 +276,21 @@ def _brute_word(lat, names, logp, w):
     return rest(0)
 
 
+def _long_word(lat, names, logp, word):
+    """Log probability by one recursion over the ends, term by term."""
+    total = [0.0]
+    for j in range(1, len(word) + 1):
+        terms, k = [], int(j == len(word))
+        for i in range(j):
+            if word[i:j] in names:
+                terms.append(total[i] + logp[k][names[word[i:j]]])
+            elif j - i == 1:
+                *first, last = [len(lat.names) + x for x in word[i:j].encode()]
+                terms.append(total[i] + sum(logp[0][x] for x in first) + logp[k][last])
+        total.append(float(np.logaddexp.reduce(terms)))
+    return total[-1]
+
+
 def test_lattice(spark, docs, empty):
     lat = lattice_lm.lattice(PIECES)
     names = {n: i for i, n in enumerate(lat.names)}
@@ -290,6 +305,11 @@ def test_lattice(spark, docs, empty):
     lattice_lm.PLAIN = plain
     assert by_logs[0] == pytest.approx(by_logs[1]) and by_logs[0][1].sum() == pytest.approx(15)  # every word ends once
 
+    rare = ["\u2581" + "\U0001f600\U00012345" * 25, "\u2581abc"]  # without logarithms the first one's sum is 0
+    uses = lat.expected(rare, np.array([3, 2]), start)
+    assert np.isfinite(uses).all() and uses[1].sum() == pytest.approx(5)
+    assert lat.log_likelihood(rare, start) == pytest.approx([_long_word(lat, names, start, rare[0]), math.log(_brute_word(lat, names, start, rare[1]))])
+
     train = [(i, t) for i, t in TEXTS if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     count = {}
     for _, t in train:

@@ -12,6 +12,9 @@ from simplicia.functions.scale import Selector
 
 #: What clusters the points of a cell: (rows, distance, method) to a dendrogram; :func:`cluster` unless another is given.
 Provider = Callable[[np.ndarray, Distance, str], "Dendrogram"]
+#: Points in a block of a spanning tree.
+BLOCK = 2000
+_FAR = np.finfo(float).max  # for a distance that isn't a number or has no end
 METHODS = ("single", "complete", "upgma", "wpgma", "upgmc", "wpgmc", "ward")
 
 
@@ -62,21 +65,92 @@ def cluster(x: np.ndarray, distance: Distance = DEFAULT, method: str = "single")
 
 
 def _spanning_tree(x: np.ndarray, distance: Distance):
-    """Prim's algorithm, a row of distances at a time: memory is linear in the cell."""
-    n = len(x)
-    best, source, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    at, edges, weights, diameter = 0, [], [], 0.0
-    for _ in range(n - 1):
-        left[at] = False
-        d = distance.block(x[at : at + 1], x)[0]
-        d[at] = 0
-        diameter = max(diameter, float(d.max()))
-        closer = left & (d < best)
-        best[closer], source[closer] = d[closer], at
-        at = int(np.where(left, best, np.inf).argmin())
-        edges.append((source[at], at))
-        weights.append(best[at])
-    return np.array(edges), np.array(weights), max(diameter, float(distance.block(x[at : at + 1], x)[0].max()))
+    """Edges, weights and diameter of a minimum spanning tree, by blocks.
+
+    An edge of the whole's tree is in the tree of every part that holds it, so trees between all pairs of blocks hold it;
+    their edges are merged as they gather. Memory: two blocks' distances and a few edges a point."""
+    n, fast = len(x), distance.name == "euclidean"
+    if fast:  # squares from inner products find the edges; small ones, edges and the diameter are taken exactly
+        near = x - x.mean(0)
+        square = (near * near).sum(1)
+    exact = lambda i, j: ((x[i] - x[j]) ** 2).sum(1)
+    diameter, kept, held = 0.0, [], 0
+    for p in range(0, n, BLOCK):
+        for q in range(p, n, BLOCK):
+            if fast:
+                both = square[p : p + BLOCK, None] + square[None, q : q + BLOCK]
+                d = both - 2 * (near[p : p + BLOCK] @ near[q : q + BLOCK].T)
+                for r, row in enumerate(d <= 1e-6 * both):
+                    if row.any():
+                        c = np.flatnonzero(row)
+                        d[r, c] = exact(np.full(len(c), p + r), q + c)
+                r, c = np.unravel_index(d.argmax(), d.shape)
+                diameter = max(diameter, float(exact([p + r], [q + c])[0]))
+            else:
+                d = distance.block(x[p : p + BLOCK], x[q : q + BLOCK])
+                if p == q:
+                    np.fill_diagonal(d, 0)
+                diameter = float(np.max(d, where=d < np.inf, initial=diameter))
+                d[~(d < np.inf)] = _FAR
+            i, j, w = _tree_of_block(d, p == q)
+            i, j = i + p, j + q
+            kept.append((i, j, exact(i, j) if fast else w))
+            held += len(i)
+            if held > 20 * n + 8 * BLOCK:
+                kept = [_forest(n, kept)]
+                held = len(kept[0][2])
+    i, j, w = _forest(n, kept)
+    edges = np.stack([i, j], axis=1)
+    return (edges, np.sqrt(w), diameter**0.5) if fast else (edges, np.where(w < _FAR, w, np.inf), diameter)
+
+
+def _tree_of_block(d: np.ndarray, same: bool):
+    """Rows, columns and weights of a minimum spanning tree (Prim's) of a matrix's points or, unless it is of the ``same``
+    points both ways, of its rows and columns with no edge among either."""
+    a, c = d.shape
+    n, t = (a, d) if same else (a + c, np.ascontiguousarray(d.T))
+    best, bound, source = np.full(n, np.inf), np.full(n, np.inf), np.zeros(n, np.int64)
+    ends, order = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = 0
+    for k in range(n):
+        order[k], ends[k] = at, source[at]
+        best[at], bound[at] = np.inf, -np.inf  # it is in the tree
+        if same:
+            row, first = d[at], 0
+        elif at < a:
+            row, first = d[at], a
+        else:
+            row, first = t[at - a], 0
+        near = np.flatnonzero(row < bound[first : first + len(row)])
+        own = row[near]
+        near += first
+        best[near] = bound[near] = own
+        source[near] = at
+        at = int(best.argmin())
+    i, j = np.minimum(order[1:], ends[1:]), np.maximum(order[1:], ends[1:])
+    if not same:
+        j -= a
+    return i, j, d[i, j]
+
+
+def _forest(n: int, parts: list):
+    """The edges of a minimum spanning tree among those of ``parts``, lightest first (Kruskal's)."""
+    i, j, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(w, kind="stable")
+    root, keep = list(range(n)), []
+    for e, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        while root[b] != b:
+            root[b] = root[root[b]]
+            b = root[b]
+        if a != b:
+            root[b] = a
+            keep.append(e)
+            if len(keep) == n - 1:
+                break
+    return i[keep], j[keep], w[keep]
 
 
 def _from_tree(n: int, edges: np.ndarray, weights: np.ndarray, diameter: float) -> Dendrogram:

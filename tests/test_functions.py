@@ -1,7 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 
 from simplicia.functions import distances as D
+from simplicia.functions import linkage
 from simplicia.functions.linkage import METHODS, cluster, local_labels
 from simplicia.functions.scale import BiggestGap, Danifold, FirstGap, Histogram
 
@@ -70,6 +73,37 @@ def test_heights_equal_the_definitions(method):
     assert cluster(x, D.EUCLIDEAN, method).heights == pytest.approx(_naive(x, method))
 
 
+@pytest.mark.parametrize("distance", [D.EUCLIDEAN, D.MANHATTAN, D.COSINE], ids=lambda d: d.name)
+def test_tree_by_blocks_equals_all_edges(distance, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(8, 4)).repeat(4, axis=0), rng.integers(1, 3, size=(20, 4))]) + 100
+    every = linkage.distance_matrix(x, distance)
+    i, j = np.triu_indices(len(x), 1)
+    _, _, w = linkage._forest(len(x), [(i, j, every[i, j])])
+    for size in (7, 2000):
+        monkeypatch.setattr(linkage, "BLOCK", size)
+        tree = cluster(x, distance)
+        assert tree.heights == pytest.approx(np.sort(w), abs=1e-12) and tree.diameter == pytest.approx(every.max())
+        cutoff = float(np.median(w)) + 1e-9
+        near = every < cutoff
+        for _ in range(8):
+            near = near @ near
+        labels = tree.labels(cutoff)
+        assert (labels[:, None] == labels).tolist() == near.tolist()
+
+
+def _seconds(f):
+    start = time.process_time()
+    f()
+    return time.process_time() - start
+
+
+def test_single_linkage_costs_less_than_a_row_of_distances_a_point():
+    x = np.random.default_rng(9).normal(size=(4000, 64))
+    rows = _seconds(lambda: [D.EUCLIDEAN.block(x[:1], x) for _ in range(200)]) * 20
+    assert _seconds(lambda: cluster(x, D.EUCLIDEAN)) < 0.7 * rows
+
+
 def test_one_feature_path_equals_the_tree():
     x = np.random.default_rng(1).normal(size=(40, 1))
     assert cluster(x, D.MANHATTAN).heights == pytest.approx(cluster(np.hstack([x, np.zeros_like(x)]), D.MANHATTAN).heights)

@@ -114,6 +114,10 @@ NAMED = {d.name: d for d in (EUCLIDEAN, MANHATTAN, CHEBYSHEV, COSINE, PEARSON, S
 
 def distance_matrix(x: np.ndarray, distance: Distance = DEFAULT) -> np.ndarray:
     """All distances among a few rows, with zeros on the diagonal."""
-    out = distance.block(np.asarray(x, float), np.asarray(x, float))
+    x = np.asarray(x, float)
+    out = np.empty((len(x), len(x)))
+    for k in range(0, len(x), 256):  # a few rows at a time, so that there is one matrix, and each pair once
+        out[k : k + 256, k:] = distance.block(x[k : k + 256], x[k:])
+        out[k:, k : k + 256] = out[k : k + 256, k:].T
     np.fill_diagonal(out, 0)
     return out

@@ -173,15 +173,28 @@ def _from_tree(n: int, edges: np.ndarray, weights: np.ndarray, diameter: float)
 
 
 def _lance_williams(d: np.ndarray, method: str) -> Dendrogram:
+    """Merges the nearest two, of equals the first by row and column. ``d`` is overwritten: memory is one matrix.
+
+    Every row keeps its nearest column, so a merge costs a few rows and not the whole matrix."""
     n = len(d)
     diameter = float(d.max())
     squared = method in ("ward", "upgmc", "wpgmc")
-    d = d**2 if squared else d.copy()
+    if squared:
+        d *= d
     np.fill_diagonal(d, np.inf)
     size, node, live = np.ones(n), np.arange(n), np.ones(n, bool)
     merges, heights = np.zeros((n - 1, 2), int), np.zeros(n - 1)
+    # each row's least distance and its first column; where ``stale``, only a bound below it, until the row comes first
+    nearest = d.argmin(1)
+    least = d[np.arange(n), nearest]
+    stale = np.zeros(n, bool)
     for k in range(n - 1):
-        i, j = np.unravel_index(d.argmin(), d.shape)
+        i = int(least.argmin())
+        while stale[i]:
+            nearest[i] = d[i].argmin()
+            least[i], stale[i] = d[i, nearest[i]], False
+            i = int(least.argmin())
+        j = int(nearest[i])
         i, j = min(i, j), max(i, j)
         h, a, b = d[i, j], size[i], size[j]
         merges[k], heights[k] = sorted((node[i], node[j])), np.sqrt(max(h, 0)) if squared else h
@@ -203,6 +216,13 @@ def _lance_williams(d: np.ndarray, method: str) -> Dendrogram:
         new[i] = np.inf
         d[i, :], d[:, i] = new, new
         d[j, :] = d[:, j] = np.inf
+        lost = (nearest == i) | (nearest == j)
+        stale |= lost
+        closer = (new < least) | ((new == least) & ~stale & (i < nearest))
+        least[closer], nearest[closer], stale[closer] = new[closer], i, False
+        nearest[i] = new.argmin()
+        least[i], stale[i] = new[nearest[i]], False
+        least[j], stale[j], nearest[j] = np.inf, False, -1
         size[i] += b
         node[i] = n + k
     return Dendrogram(n, merges, heights, diameter)

@@ -104,6 +104,14 @@ def test_single_linkage_costs_less_than_a_row_of_distances_a_point():
     assert _seconds(lambda: cluster(x, D.EUCLIDEAN)) < 0.7 * rows
 
 
+@pytest.mark.parametrize("method", [m for m in METHODS if m != "single"])
+def test_linkages_cost_less_than_a_scan_of_the_matrix_a_merge(method):
+    x = np.random.default_rng(9).normal(size=(1600, 4))
+    d = linkage.distance_matrix(x, D.EUCLIDEAN)
+    scans = _seconds(lambda: [d.argmin() for _ in range(100)]) * 16
+    assert _seconds(lambda: cluster(x, D.EUCLIDEAN, method)) < 0.7 * scans
+
+
 def test_one_feature_path_equals_the_tree():
     x = np.random.default_rng(1).normal(size=(40, 1))
     assert cluster(x, D.MANHATTAN).heights == pytest.approx(cluster(np.hstack([x, np.zeros_like(x)]), D.MANHATTAN).heights)

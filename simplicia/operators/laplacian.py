@@ -19,6 +19,8 @@ from simplicia.storage import cut_lineage
 
 #: Columns of an embedding, at most.
 COLUMNS = 10
+#: Of the solver by products: columns of features it starts from, random ones beside them, columns it holds, residual of a vector as a share of its value, products.
+START, GUARD, HELD, SMALL, PRODUCTS = 64, 4, 128, 1e-9, 300
 
 
 def affinities(graph: DataFrame, sigma: float = 1.0, k: int | None = None) -> DataFrame:
@@ -88,6 +90,91 @@ def tanimoto_affinities(points: DataFrame) -> DataFrame:
     return one.select(F.col("src").alias("i"), F.col("dst").alias("j"), "value").unionByName(one.select(F.col("dst").alias("i"), F.col("src").alias("j"), "value"))
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same of two blocks, 0 for pairs without an entry."""
+    a, b = (x * x).sum(1), (y * y).sum(1)
+    if not (np.isfinite(a).all() and np.isfinite(b).all() and (a.all() or b.all())):
+        d = _defined(x, y)
+        return np.nan_to_num(np.exp(-d * d / 2))
+    tile = x @ y.T
+    below = a[:, None] + b[None, :]
+    below -= tile
+    tile /= below
+    tile -= 1
+    tile *= tile
+    tile *= -0.5
+    return np.exp(tile, out=tile)
+
+
+def tanimoto_vectors(points: DataFrame, columns: int = COLUMNS) -> DataFrame:
+    """index, values: what :func:`singular_vectors` gives of the normalised :func:`tanimoto_affinities`, without making that matrix.
+
+    Points that have no entry have no row. The driver keeps vectors of one number a point, ``HELD`` of them and their products at most."""
+    spark = points.sparkSession
+    numbers = cut_lineage(with_index(points.select("index", "features"), "index", name="n"))
+    n = numbers.count()
+    empty = spark.createDataFrame([], "index long, values array<double>")
+    if not n:
+        return empty
+    blocks = pairs.pack(numbers)
+    start = _start(blocks, n, columns)
+    image = pairs.multiply(blocks, _similar, start)
+    degree = image[:, 0] / start[:, 0]
+    if not (degree > 0).any():
+        return empty
+    if not (degree > 0).all():
+        alone = spark.createDataFrame([(int(i),) for i in np.flatnonzero(degree <= 0)], "n long")
+        return tanimoto_vectors(numbers.join(alone, "n", "left_anti"), columns)
+    u = _leading(lambda v: pairs.multiply(blocks, _similar, v), start, image, np.sqrt(degree)[:, None], columns)
+    tops = np.abs(u).round(9).argmax(0)
+    u = u * np.where(u[tops, np.arange(u.shape[1])] < 0, -1.0, 1.0)
+    parts = [(k, u[k : k + pairs.PACKED]) for k in range(0, n, pairs.PACKED)]
+    rows = spark.sparkContext.parallelize(parts, min(len(parts), spark.sparkContext.defaultParallelism)).flatMap(lambda p: [(p[0] + k, v.tolist()) for k, v in enumerate(p[1])])
+    return spark.createDataFrame(rows, "n long, values array<double>").join(numbers, "n").select("index", "values")
+
+
+def _start(blocks, n: int, columns: int) -> np.ndarray:
+    """Orthonormal columns, the first of equal numbers: all there can be of few points, else features (or mixtures of them) and random ones.
+
+    Features are near the vectors that are sought, since similarity is close to linear in the inner product. The leading
+    vector of a normalised matrix is known beforehand, so it alone needs none."""
+    rng = np.random.default_rng(0)
+    if n <= pairs.PACKED:
+        return np.linalg.qr(np.column_stack([np.ones(n), rng.normal(size=(n, n - 1))]))[0]
+    own = np.empty((n, 0))
+    if columns > 1:
+        d = blocks.first()[1].shape[1]
+        mix = rng.normal(size=(d, START)) if d > START else np.eye(d)
+        own = np.concatenate([x for _, x in sorted(blocks.mapValues(lambda x: np.where(np.isfinite(x), x, 0.0) @ mix).collect(), key=lambda b: b[0])])
+        own = own / np.maximum(np.abs(own).max(0), np.finfo(float).tiny)
+    return np.linalg.qr(np.column_stack([np.ones(n), own, rng.normal(size=(n, GUARD))]))[0]
+
+
+def _leading(multiply, start: np.ndarray, image: np.ndarray, root: np.ndarray, columns: int) -> np.ndarray:
+    """Leading singular vectors of D^-1/2 A D^-1/2, in columns: Rayleigh and Ritz on a basis that residuals extend until they are ``SMALL``.
+
+    ``image`` is A times ``start``, ``root`` the roots of the degrees; of two values of one size the positive comes first."""
+    basis, r = np.linalg.qr(start * root)
+    image = np.linalg.solve(r.T, (image / root).T).T
+    for _ in range(PRODUCTS):
+        h = basis.T @ image
+        value, turn = np.linalg.eigh((h + h.T) / 2)
+        order = np.lexsort((-value, -np.abs(value).round(12)))
+        value, turn = value[order], turn[:, order]
+        u = basis @ turn[:, : columns + GUARD]
+        rest = image @ turn[:, : columns + GUARD] - u * value[: columns + GUARD]
+        large = np.sqrt((rest * rest).sum(0)) > np.maximum(SMALL * np.abs(value[: columns + GUARD]), 1e-13)
+        if basis.shape[1] == len(basis) or not large[:columns].any():
+            return u[:, :columns]
+        if basis.shape[1] + large.sum() > HELD:
+            basis, image = basis @ turn[:, : HELD // 2], image @ turn[:, : HELD // 2]
+        more = rest[:, large][:, : len(basis) - basis.shape[1]]
+        for _ in range(2):  # once more, as rounding leaves a part of the basis in small vectors
+            more = np.linalg.qr(more - basis @ (basis.T @ more))[0]
+        basis, image = np.hstack([basis, more]), np.hstack([image, multiply(more / root) / root])
+    raise RuntimeError(f"vectors have not settled in {PRODUCTS} products")
+
+
 def tanimoto_embedding(points: DataFrame, columns: int = COLUMNS) -> DataFrame:
     return embedding(tanimoto_affinities(points), columns)
 

@@ -523,9 +523,9 @@ def pca_variances(spark, d):
     return one.select(F.array_min(F.array(*(c.cast("int") for c in zero))).alias("uncorrelated"), F.array_min(F.array(*(c.cast("int") for c in falls))).alias("falling"))
 
 
-def _first_vector(matrix: DataFrame) -> DataFrame:
+def _first_vector(vectors: DataFrame) -> DataFrame:
     """The leading singular vector of a normalised matrix: the roots of the degrees' shares."""
-    return laplacian.singular_vectors(laplacian.normalised(matrix), 1).select("index", F.round(F.col("values")[0], 5).alias("value"))
+    return vectors.select("index", F.round(F.col("values")[0], 5).alias("value"))
 
 
 def _lengths(rows: DataFrame) -> DataFrame:
@@ -766,8 +766,8 @@ def _registered() -> dict[str, tuple[Query, str | None]]:
         "dist_spearman": (_distance(D.SPEARMAN), _distance_sql(f"1 - {_DOT.format('a', 'b')} / (sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')}))", "WITH r AS (SELECT vec_id, list_transform(e, lambda x: len(list_filter(e, lambda y: y < x)) + (len(list_filter(e, lambda y: y = x)) - 1) / 2.0::DOUBLE) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)), v AS (SELECT vec_id, list_transform(e, lambda x: x - list_avg(e)) AS e FROM r) ")),
         "pca_lens": (pca_lens, f"{_V}SELECT b.vec_id, round(pow(list_distance(a.e, b.e), 2), 4) AS square FROM v a JOIN v b ON b.vec_id = a.vec_id + 1"),
         "pca_variances": (pca_variances, "SELECT CAST(1 AS INT) AS uncorrelated, CAST(1 AS INT) AS falling"),
-        "laplacian_first": (lambda s, d: _first_vector(_affinity(s, d)), f"{_AFFINITY}SELECT i AS index, round(sqrt(degree / (SELECT sum(degree) FROM degree)), 5) AS value FROM degree"),
-        "tanimoto_first": (lambda s, d: _first_vector(laplacian.tanimoto_affinities(vectors(s, d))), f"{_V}, w AS (SELECT a.vec_id AS i, sum(exp(-pow(1 - {dots[0]} / ({dots[1]} + {dots[2]} - {dots[0]}), 2) / 2)) AS degree FROM v a, v b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT i AS index, round(sqrt(degree / (SELECT sum(degree) FROM w)), 5) AS value FROM w"),
+        "laplacian_first": (lambda s, d: _first_vector(laplacian.singular_vectors(laplacian.normalised(_affinity(s, d)), 1)), f"{_AFFINITY}SELECT i AS index, round(sqrt(degree / (SELECT sum(degree) FROM degree)), 5) AS value FROM degree"),
+        "tanimoto_first": (lambda s, d: _first_vector(laplacian.tanimoto_vectors(vectors(s, d), 1)), f"{_V}, w AS (SELECT a.vec_id AS i, sum(exp(-pow(1 - {dots[0]} / ({dots[1]} + {dots[2]} - {dots[0]}), 2) / 2)) AS degree FROM v a, v b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT i AS index, round(sqrt(degree / (SELECT sum(degree) FROM w)), 5) AS value FROM w"),
         "mapper_laplacian": (mapper_laplacian, "SELECT vec_id, CAST(2 AS BIGINT) AS clusters FROM embeddings"),
         "mapper_nd": (mapper_nd, f"WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), r AS (SELECT vec_id, e, e[1] AS x0, list_avg(e) AS x1, min(e[1]) OVER () AS low0, max(e[1]) OVER () AS high0, min(list_avg(e)) OVER () AS low1, max(list_avg(e)) OVER () AS high1 FROM v), c AS (SELECT vec_id, e, bin0, {_cover_sql('x1', 3, 0.25, 1, '1')} AS bin1 FROM (SELECT *, {_cover_sql('x0', 4, 0.5, 1, '0')} AS bin0 FROM r)), pair AS (SELECT a.bin0, a.bin1, a.vec_id AS a, b.vec_id AS b FROM c a JOIN c b ON a.bin0 = b.bin0 AND a.bin1 = b.bin1 AND a.vec_id <> b.vec_id AND list_distance(a.e, b.e) < 1.25), reach AS (SELECT bin0, bin1, vec_id, vec_id AS seen FROM c UNION SELECT r.bin0, r.bin1, r.vec_id, p.b FROM reach r JOIN pair p ON r.bin0 = p.bin0 AND r.bin1 = p.bin1 AND r.seen = p.a) SELECT bin0, bin1, least, count(*) AS size FROM (SELECT bin0, bin1, vec_id, min(seen) AS least FROM reach GROUP BY ALL) GROUP BY bin0, bin1, least"),
         "knn_fraction": (knn_fraction, f"{_KNN}SELECT src, dst, round(distance, 6) AS distance FROM knn WHERE CAST('0x' || substr(md5('5:' || src), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2"),

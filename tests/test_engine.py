@@ -124,6 +124,51 @@ def test_tanimoto_embedding_of_signed_points(spark):
     assert laplacian.tanimoto_embedding(points(spark, [[1, 2]])).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to be dealt out."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def tanimoto_matrix(x):
+    inner = x @ x.T
+    a = np.exp(-((1 - inner / (np.diag(inner)[:, None] + np.diag(inner) - inner)) ** 2) / 2)
+    np.fill_diagonal(a, 0)
+    return a
+
+
+def test_leading_tanimoto_vector_deals_out_no_pairs(spark):
+    x = np.random.default_rng(6).normal(size=(1500, 6)).round(3)
+    before = shuffled(spark)
+    got = np.array([r["values"] for r in laplacian.tanimoto_vectors(points(spark, x), 1).orderBy("index").collect()])
+    assert shuffled(spark) - before < 4_000_000  # 1500 times 1500 entries are more
+    degree = tanimoto_matrix(x).sum(1)
+    assert got[:, 0] == pytest.approx(np.sqrt(degree / degree.sum()), abs=1e-12)
+
+
+def test_products_of_slices_and_blocks_are_those_of_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SENT", 8 * pairs.PACKED * 3 * 2)  # two blocks at a time
+    x = np.random.default_rng(9).normal(size=(5 * pairs.PACKED - 7, 3))
+    numbered = spark.createDataFrame(pd.DataFrame({"n": range(len(x)), "features": x.tolist()}))
+    blocks, a = pairs.pack(numbered), tanimoto_matrix(x)
+    for width in (2, pairs.NARROW + 1):  # a pair of blocks made once, and twice
+        v = np.random.default_rng(width).normal(size=(len(x), width))
+        assert pairs.multiply(blocks, laplacian._similar, v) == pytest.approx(a @ v, abs=1e-9)
+
+
+def test_tanimoto_vectors_of_odd_points(spark):
+    x = np.array([(1, 2), (0, 0), (-1, 1), (float("nan"), 1), (0, 0), (3, 1)])
+    rows = laplacian.tanimoto_vectors(points(spark, x), 1).orderBy("index").collect()
+    entries = {(r.i, r.j): r.value for r in laplacian.tanimoto_affinities(points(spark, x)).collect()}
+    degree = np.array([sum(v for (i, _), v in entries.items() if i == k) for k in (0, 1, 2, 4, 5)])
+    assert [r["index"] for r in rows] == [0, 1, 2, 4, 5]  # what has no entry has no row
+    assert [r["values"][0] for r in rows] == pytest.approx(np.sqrt(degree / degree.sum()), abs=1e-12)
+    for none in ([[0, 0], [0, 0]], [[1, 2]]):
+        assert laplacian.tanimoto_vectors(points(spark, none)).count() == 0
+    one = laplacian.tanimoto_vectors(points(spark, [[1, 0], [0, 1]]), 1).collect()  # values 1 and -1
+    assert [r["values"][0] for r in one] == pytest.approx([math.sqrt(0.5)] * 2)
+
+
 def test_mapper_and_session(spark):
     p = points(spark, [[v] for v in (*range(0, 10), *range(50, 60))])
     params = Params((Filter(L.Feature(0), 4, 0.5),), D.EUCLIDEAN, scale=Histogram(10), colouring=colour.cluster_size(5))

@@ -46,9 +46,13 @@ def embedding(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
     """index, values: leading left singular vectors of the normalised matrix, rows of unit length, largest entry of a column positive.
 
     A matrix without entries has no rows."""
+    return _unit_rows(singular_vectors(normalised(matrix), columns))
+
+
+def _unit_rows(vectors: DataFrame) -> DataFrame:
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = F.transform("v", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(0.0))
-    return singular_vectors(normalised(matrix), columns).withColumnRenamed("values", "v").withColumn("length", length).select("index", unit.alias("values"))
+    return vectors.withColumnRenamed("values", "v").withColumn("length", length).select("index", unit.alias("values"))
 
 
 def singular_vectors(matrix: DataFrame, columns: int = COLUMNS) -> DataFrame:
@@ -176,7 +180,8 @@ def _leading(multiply, start: np.ndarray, image: np.ndarray, root: np.ndarray, c
 
 
 def tanimoto_embedding(points: DataFrame, columns: int = COLUMNS) -> DataFrame:
-    return embedding(tanimoto_affinities(points), columns)
+    """index, values: :func:`embedding` of the Tanimoto affinities."""
+    return _unit_rows(tanimoto_vectors(points, columns))
 
 
 def local_embedding(matrix: np.ndarray, k: int) -> np.ndarray:

@@ -169,6 +169,16 @@ def test_tanimoto_vectors_of_odd_points(spark):
     assert [r["values"][0] for r in one] == pytest.approx([math.sqrt(0.5)] * 2)
 
 
+def test_tanimoto_embedding_of_many_points_deals_out_no_pairs(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1000, 4)), np.repeat(rng.normal(size=(1, 4)), 200, 0)])  # copies too
+    before = shuffled(spark)
+    rows = laplacian.tanimoto_embedding(points(spark, x), 3).orderBy("index").collect()
+    assert shuffled(spark) - before < 4_000_000
+    got, expected = np.array([r["values"] for r in rows]), laplacian.local_embedding(tanimoto_matrix(x), 3)
+    assert got.shape == (1200, 3) and np.abs(got) == pytest.approx(np.abs(expected), abs=1e-6)
+
+
 def test_mapper_and_session(spark):
     p = points(spark, [[v] for v in (*range(0, 10), *range(50, 60))])
     params = Params((Filter(L.Feature(0), 4, 0.5),), D.EUCLIDEAN, scale=Histogram(10), colouring=colour.cluster_size(5))

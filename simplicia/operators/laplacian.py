@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import RDD, StorageLevel
 from pyspark.mllib.linalg import SparseVector, VectorUDT
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
@@ -19,8 +20,8 @@ from simplicia.storage import cut_lineage
 
 #: Columns of an embedding, at most.
 COLUMNS = 10
-#: Of the solver by products: columns of features it starts from, random ones beside them, columns it holds, residual of a vector as a share of its value, products.
-START, GUARD, HELD, SMALL, PRODUCTS = 64, 4, 128, 1e-9, 300
+#: Of the solver by products: columns of features it starts from, random ones beside them, columns that the driver holds, residual of a vector as a share of its value, products.
+START, GUARD, HELD, SMALL, PRODUCTS = 64, 4, 64, 1e-9, 300
 
 
 def affinities(graph: DataFrame, sigma: float = 1.0, k: int | None = None) -> DataFrame:
@@ -122,14 +123,14 @@ def tanimoto_vectors(points: DataFrame, columns: int = COLUMNS) -> DataFrame:
         return empty
     blocks = pairs.pack(numbers)
     start = _start(blocks, n, columns)
-    image = pairs.multiply(blocks, _similar, start)
-    degree = image[:, 0] / start[:, 0]
-    if not (degree > 0).any():
-        return empty
+    wide = blocks.join(pairs.multiply_made(blocks, n, _similar, start), blocks.getNumPartitions()).map(lambda b: (b[0], (start(b[0], b[1][0]), b[1][1]))).persist(StorageLevel.MEMORY_AND_DISK)
+    degree = np.concatenate([d for _, d in sorted(wide.mapValues(lambda b: b[1][:, 0] / b[0][:, 0]).collect(), key=lambda b: b[0])])
     if not (degree > 0).all():
+        wide.unpersist()
         alone = spark.createDataFrame([(int(i),) for i in np.flatnonzero(degree <= 0)], "n long")
-        return tanimoto_vectors(numbers.join(alone, "n", "left_anti"), columns)
-    u = _leading(lambda v: pairs.multiply(blocks, _similar, v), start, image, np.sqrt(degree)[:, None], columns)
+        return tanimoto_vectors(numbers.join(alone, "n", "left_anti"), columns) if (degree > 0).any() else empty
+    u = _leading(lambda v: pairs.multiply(blocks, _similar, v), wide, np.sqrt(degree)[:, None], columns)
+    wide.unpersist()
     tops = np.abs(u).round(9).argmax(0)
     u = u * np.where(u[tops, np.arange(u.shape[1])] < 0, -1.0, 1.0)
     parts = [(k, u[k : k + pairs.PACKED]) for k in range(0, n, pairs.PACKED)]
@@ -137,45 +138,69 @@ def tanimoto_vectors(points: DataFrame, columns: int = COLUMNS) -> DataFrame:
     return spark.createDataFrame(rows, "n long, values array<double>").join(numbers, "n").select("index", "values")
 
 
-def _start(blocks, n: int, columns: int) -> np.ndarray:
-    """Orthonormal columns, the first of equal numbers: all there can be of few points, else features (or mixtures of them) and random ones.
+def _start(blocks: RDD, n: int, columns: int):
+    """What makes a block's rows of the first columns: equal numbers; all there can be of few points, else features (or mixtures of them) and random ones.
 
     Features are near the vectors that are sought, since similarity is close to linear in the inner product. The leading
     vector of a normalised matrix is known beforehand, so it alone needs none."""
-    rng = np.random.default_rng(0)
     if n <= pairs.PACKED:
-        return np.linalg.qr(np.column_stack([np.ones(n), rng.normal(size=(n, n - 1))]))[0]
-    own = np.empty((n, 0))
-    if columns > 1:
-        d = blocks.first()[1].shape[1]
-        mix = rng.normal(size=(d, START)) if d > START else np.eye(d)
-        own = np.concatenate([x for _, x in sorted(blocks.mapValues(lambda x: np.where(np.isfinite(x), x, 0.0) @ mix).collect(), key=lambda b: b[0])])
-        own = own / np.maximum(np.abs(own).max(0), np.finfo(float).tiny)
-    return np.linalg.qr(np.column_stack([np.ones(n), own, rng.normal(size=(n, GUARD))]))[0]
+        all_of_them = np.linalg.qr(np.column_stack([np.ones(n), np.random.default_rng(0).normal(size=(n, n - 1))]))[0]
+        return lambda p, x: all_of_them
+    d = blocks.first()[1].shape[1] if columns > 1 else 0
+    mix = np.random.default_rng(0).normal(size=(d, START)) if d > START else np.eye(d)
+    finite = lambda x: np.where(np.isfinite(x), x, 0.0)
+    top = blocks.map(lambda b: np.abs(finite(b[1])).max(initial=0.0)).max() or 1.0
+    return lambda p, x: np.column_stack([np.ones(len(x)), finite(x[:, :d]) / top @ mix, np.random.default_rng(p).normal(size=(len(x), GUARD))])
 
 
-def _leading(multiply, start: np.ndarray, image: np.ndarray, root: np.ndarray, columns: int) -> np.ndarray:
+def _leading(multiply, wide: RDD, root: np.ndarray, columns: int) -> np.ndarray:
     """Leading singular vectors of D^-1/2 A D^-1/2, in columns: Rayleigh and Ritz on a basis that residuals extend until they are ``SMALL``.
 
-    ``image`` is A times ``start``, ``root`` the roots of the degrees; of two values of one size the positive comes first."""
-    basis, r = np.linalg.qr(start * root)
-    image = np.linalg.solve(r.T, (image / root).T).T
+    ``multiply`` is by A, ``root`` the roots of the degrees. ``wide`` has each block's rows of the first columns and of A times
+    them, which stay where they are; the driver has the others and their products. Of two values of one size the positive comes first."""
+
+    def cut(x):
+        return [x[k : k + pairs.PACKED] for k in range(0, len(x), pairs.PACKED)]
+
+    def met(x):  # the first columns' inner products with others
+        sent = wide.context.broadcast(cut(x))
+        out = first.map(lambda b: b[1][0].T @ sent.value[b[0]]).reduce(np.add)
+        sent.destroy()
+        return out
+
+    def turned(a, b):  # mixtures of all columns, and of their products
+        if not m:
+            return own @ b, image @ b
+        parts = sorted(first.mapValues(lambda x: (x[0] @ a, x[1] @ a)).collect(), key=lambda x: x[0])
+        return np.concatenate([x for _, (x, _) in parts]) + own @ b, np.concatenate([y for _, (_, y) in parts]) + image @ b
+
+    roots = wide.context.broadcast(cut(root))
+    first = wide.map(lambda b: (b[0], (b[1][0] * roots.value[b[0]], b[1][1] / roots.value[b[0]])))
+    g, h = np.split(first.map(lambda b: np.hstack([b[1][0].T @ b[1][0], b[1][0].T @ b[1][1]])).reduce(np.add), 2, axis=1)
+    m, own, image = len(g), np.empty((len(root), 0)), np.empty((len(root), 0))
     for _ in range(PRODUCTS):
-        h = basis.T @ image
-        value, turn = np.linalg.eigh((h + h.T) / 2)
+        scale = 1 / np.sqrt(np.where(np.diag(g) > 0, np.diag(g), np.inf))
+        share, axes = np.linalg.eigh(g * scale * scale[:, None])
+        plain = scale[:, None] * axes[:, share > 1e-6] / np.sqrt(share[share > 1e-6])  # of columns that say the same, one stays
+        small = plain.T @ h @ plain
+        value, turn = np.linalg.eigh((small + small.T) / 2)
         order = np.lexsort((-value, -np.abs(value).round(12)))
-        value, turn = value[order], turn[:, order]
-        u = basis @ turn[:, : columns + GUARD]
-        rest = image @ turn[:, : columns + GUARD] - u * value[: columns + GUARD]
-        large = np.sqrt((rest * rest).sum(0)) > np.maximum(SMALL * np.abs(value[: columns + GUARD]), 1e-13)
-        if basis.shape[1] == len(basis) or not large[:columns].any():
+        value, turn = value[order], plain @ turn[:, order]
+        u, v = turned(turn[:m, : columns + GUARD], turn[m:, : columns + GUARD])
+        rest = v - u * value[: columns + GUARD]
+        large = np.sqrt((rest * rest).sum(0)) > np.maximum(SMALL * np.abs(value[: columns + GUARD]), 1e-12)
+        if len(value) == len(root) or not large[:columns].any():
             return u[:, :columns]
-        if basis.shape[1] + large.sum() > HELD:
-            basis, image = basis @ turn[:, : HELD // 2], image @ turn[:, : HELD // 2]
-        more = rest[:, large][:, : len(basis) - basis.shape[1]]
-        for _ in range(2):  # once more, as rounding leaves a part of the basis in small vectors
-            more = np.linalg.qr(more - basis @ (basis.T @ more))[0]
-        basis, image = np.hstack([basis, more]), np.hstack([image, multiply(more / root) / root])
+        if own.shape[1] + large.sum() > HELD:
+            own, image = turned(turn[:m, : HELD // 2], turn[m:, : HELD // 2])
+            m, g, h = 0, own.T @ own, own.T @ image
+        more = np.linalg.qr(rest[:, large])[0]
+        product = multiply(more / root) / root
+        beside = np.hsplit(met(np.hstack([more, product])), 2) if m else [np.empty((0, more.shape[1]))] * 2
+        across = [np.vstack([beside[0], own.T @ more]), np.vstack([beside[1], own.T @ product])]
+        g = np.block([[g, across[0]], [across[0].T, more.T @ more]])
+        h = np.block([[h, across[1]], [across[1].T, more.T @ product]])
+        own, image = np.hstack([own, more]), np.hstack([image, product])
     raise RuntimeError(f"vectors have not settled in {PRODUCTS} products")
 
 

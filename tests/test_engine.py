@@ -179,6 +179,14 @@ def test_tanimoto_embedding_of_many_points_deals_out_no_pairs(spark):
     assert got.shape == (1200, 3) and np.abs(got) == pytest.approx(np.abs(expected), abs=1e-6)
 
 
+def test_solver_by_products_begins_anew_when_it_holds_too_much(spark, monkeypatch):
+    monkeypatch.setattr(laplacian, "HELD", 30)
+    monkeypatch.setattr(laplacian, "START", 1)  # a mixture of the features, so that more products are needed
+    x = np.random.default_rng(3).normal(size=(600, 5))
+    got = np.array([r["values"] for r in laplacian.tanimoto_embedding(points(spark, x), 4).orderBy("index").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(laplacian.local_embedding(tanimoto_matrix(x), 4)), abs=1e-6)
+
+
 def test_mapper_and_session(spark):
     p = points(spark, [[v] for v in (*range(0, 10), *range(50, 60))])
     params = Params((Filter(L.Feature(0), 4, 0.5),), D.EUCLIDEAN, scale=Histogram(10), colouring=colour.cluster_size(5))

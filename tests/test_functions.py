@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -112,6 +113,49 @@ def test_linkages_cost_less_than_a_scan_of_the_matrix_a_merge(method):
     assert _seconds(lambda: cluster(x, D.EUCLIDEAN, method)) < 0.7 * scans
 
 
+@pytest.mark.parametrize("method", ["complete", "ward", "wpgmc"])
+def test_a_large_cell_needs_less_than_its_matrix(method):
+    x = np.random.default_rng(11).normal(size=(6000, 3))
+    tracemalloc.start()
+    try:
+        tree = cluster(x, D.EUCLIDEAN, method)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 0.7 * 8 * len(x) ** 2
+    assert len(tree.merges) == 5999 and sorted(tree.merges.ravel()) == list(range(2 * 6000 - 2))
+
+
+@pytest.mark.parametrize("distance", [D.EUCLIDEAN, D.MANHATTAN, D.COSINE], ids=lambda d: d.name)
+@pytest.mark.parametrize("method", [m for m in METHODS if m != "single"])
+def test_linkages_from_points_equal_those_of_the_matrix(method, distance, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(90, 6)) + 3, rng.normal(size=(8, 6)).repeat(4, axis=0), rng.normal(size=(30, 6)) / 10 + 5])
+    matrix = linkage._lance_williams(linkage.distance_matrix(x, distance), method)
+    for most, rows, kept in ((3, 1000, 4000), (2, 20000, 1), (40, 1 << 19, 1 << 23)):
+        for name, value in (("MATRIX", most), ("ROWS", rows), ("KEPT", kept)):
+            monkeypatch.setattr(linkage, name, value)
+        tree = cluster(x, distance, method)
+        assert tree.heights == pytest.approx(matrix.heights, abs=2e-7) and tree.diameter == pytest.approx(matrix.diameter)
+        groups = [[frozenset([i]) for i in range(len(x))] for _ in range(2)]
+        for found, t in zip(groups, (tree, matrix), strict=True):
+            for a, b in t.merges:
+                found.append(found[a] | found[b])
+        assert set(groups[0][len(x) + 24 :]) == set(groups[1][len(x) + 24 :])  # 24 merges of copies may come in any order
+
+
+@pytest.mark.parametrize("odd", [np.nan, np.inf])
+@pytest.mark.parametrize("method", [m for m in METHODS if m != "single"])
+@pytest.mark.filterwarnings("ignore::RuntimeWarning")
+def test_linkages_from_points_end_on_odd_values(method, odd, monkeypatch):
+    monkeypatch.setattr(linkage, "MATRIX", 3)
+    x = np.random.default_rng(12).normal(size=(40, 2))
+    x[[3, 17], 1] = odd
+    for distance in (D.EUCLIDEAN, D.MANHATTAN):
+        assert sorted(cluster(x, distance, method).merges.ravel()) == list(range(78))
+    assert cluster(np.ones((40, 2)), D.EUCLIDEAN, method).heights.tolist() == [0] * 39
+
+
 def test_one_feature_path_equals_the_tree():
     x = np.random.default_rng(1).normal(size=(40, 1))
     assert cluster(x, D.MANHATTAN).heights == pytest.approx(cluster(np.hstack([x, np.zeros_like(x)]), D.MANHATTAN).heights)
